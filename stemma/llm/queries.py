@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, cluster, similar, split
+from . import bpe, cluster, generated, similar, split
 
 
 def _groups(spark, d):
@@ -64,3 +64,23 @@ QUERIES = {
 ORACLE = {
     "p6_found": "select distinct result_id from rag_results where strlen(chunk_text) > 1500",
 }
+
+
+def _reasons(spark, d):
+    return generated.file_reasons(table(spark, d, "source_files"), table(spark, d, "library_files"))
+
+
+def _p1_report(spark, d):
+    """Files per language as the graph states it (nodes.language of the newest File or TestFile row) and reason."""
+    n = table(spark, d, "nodes").where(F.col("type").isin("File", "TestFile") & (F.col("branch") == "main"))
+    said = n.groupBy("file_path").agg(F.max(F.struct("indexed_at", "language")).alias("n")).select(F.col("file_path").alias("path"), F.lower(F.coalesce("n.language", F.lit(""))).alias("language"))
+    r = _reasons(spark, d).join(said, "path", "left")
+    hand = ~(F.col("generated") | F.col("minified") | F.col("vendored") | F.col("data"))
+    return r.groupBy(F.coalesce("language", F.lit("")).alias("language")).agg(
+        F.count("*").alias("files"), F.count_if(hand).alias("hand_written"), *(F.count_if(c).alias(c) for c in ("generated", "minified", "vendored", "data")))
+
+
+QUERIES |= {
+    "p1_found": lambda s, d: generated.not_hand_written(_reasons(s, d)).select(F.col("path").alias("file_path")),
+    "p1_report": _p1_report,
+}
