@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, cluster, generated, similar, split
+from . import bpe, cluster, docs, generated, similar, split
 
 
 def _groups(spark, d):
@@ -84,3 +84,14 @@ QUERIES |= {
     "p1_found": lambda s, d: generated.not_hand_written(_reasons(s, d)).select(F.col("path").alias("file_path")),
     "p1_report": _p1_report,
 }
+
+
+def _node_pairs(spark, d):
+    return docs.node_pairs(table(spark, d, "nodes"), table(spark, d, "source_files"))
+
+
+QUERIES |= {
+    "p4_found": lambda s, d: _node_pairs(s, d).select("branch", "node_id"),
+    "p4_pairs": _node_pairs,
+    "p4_source_pairs": lambda s, d: docs.source_pairs(table(s, d, "source_files")),
+}
