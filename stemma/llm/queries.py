@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, cluster, docs, generated, similar, split
+from . import bpe, cluster, docs, generated, mix, similar, split
 
 
 def _groups(spark, d):
@@ -95,3 +95,13 @@ QUERIES |= {
     "p4_pairs": _node_pairs,
     "p4_source_pairs": lambda s, d: docs.source_pairs(table(s, d, "source_files")),
 }
+
+
+def _mix(spark, d):
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+QUERIES |= {
+    "p9_copies": lambda s, d: _mix(s, d)[0],
+    "p9_shares": lambda s, d: _mix(s, d)[1],
+}
