@@ -43,10 +43,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def choose_centroids(u: np.ndarray, separation: float = SEPARATION, most: int = MAX_CENTROIDS, step: int = 1024):
+def choose_centroids(u: np.ndarray, separation: float = SEPARATION, most: int = MAX_CENTROIDS, step: int = 256):
     """Greedy leaders of the sample in its order, each moved to the mean of the sample rows nearest to it; and
     each sample row's leader."""
-    u = u.astype(np.float32)
+    u = u.astype(np.float32, copy=False)
     lead = np.zeros((min(most, len(u)), u.shape[1]), np.float32)
     n = 0
     own = np.zeros(len(u), np.int64)
@@ -74,8 +74,10 @@ def choose_centroids(u: np.ndarray, separation: float = SEPARATION, most: int =
 
 
 def _means(u: np.ndarray, own: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    order = np.argsort(own, kind="stable")
+    used, first = np.unique(own[order], return_index=True)
     total = np.zeros(lead.shape)
-    np.add.at(total, own, u)
+    total[used] = np.add.reduceat(u[order], first, axis=0, dtype=np.float64)
     norm = np.sqrt((total * total).sum(axis=1, keepdims=True))
     return np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), lead).astype(np.float32)
 
@@ -101,7 +103,7 @@ class CentroidGraph:
         self.c, self.links, self.pivots = centroids, links, pivots
 
     @staticmethod
-    def build(c: np.ndarray, degree: int = DEGREE, step: int = 1024) -> "CentroidGraph":
+    def build(c: np.ndarray, degree: int = DEGREE, step: int = 256) -> "CentroidGraph":
         n = len(c)
         k = min(degree, max(0, n - 1))
         out = np.zeros((n, k), np.int32)
@@ -178,13 +180,19 @@ class CentroidGraph:
 
 
 def fit(vectors: DataFrame, vector: str, key: str, sample: int = SAMPLE) -> CentroidGraph | None:
-    """The graph from a sample of at most `sample` rows in the order of a hash of their key; None without rows."""
+    """The graph from a sample of about `sample` rows at most, chosen by a hash of their key; None without rows."""
     total = vectors.count()
-    rows = vectors.select(F.xxhash64(F.col(key)).alias("h"), F.col(vector).alias("v")).orderBy("h").limit(sample)
-    pdf = rows.toPandas()
-    if pdf.empty:
+    rows = vectors.select(F.xxhash64(F.col(key)).alias("h"), F.col(vector).alias("v"))
+    if total > sample:
+        share = 0.97 * sample / total
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    arrow = rows.toArrow().combine_chunks()
+    if not arrow.num_rows:
         return None
-    u = unit(matrix(pdf["v"]))
+    order = np.argsort(arrow["h"].to_numpy(), kind="stable")[:sample]
+    values = arrow["v"].combine_chunks().flatten().to_numpy()
+    u = unit(values.reshape(len(arrow), -1)[order].astype(np.float64)).astype(np.float32)
+    del arrow, values
     c, own = choose_centroids(u)
     return CentroidGraph.build(balance(u, own, c, total / len(u)))
 
