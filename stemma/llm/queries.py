@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, cluster, docs, generated, mix, similar, split
+from . import bpe, cluster, docs, generated, mix, mojibake, similar, split
 
 
 def _groups(spark, d):
@@ -105,3 +105,13 @@ QUERIES |= {
     "p9_copies": lambda s, d: _mix(s, d)[0],
     "p9_shares": lambda s, d: _mix(s, d)[1],
 }
+
+
+def _garbled(spark, d):
+    return mojibake.find_garbled(table(spark, d, "documents"))
+
+
+QUERIES |= {
+    "p10_found": lambda s, d: _garbled(s, d).select("doc_id"),
+    "p10_restored": _garbled,
+}
