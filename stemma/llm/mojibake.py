@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import partitions, ship
 
 # Code pages that texts are wrongly read in, and encodings they were really in.
-READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "gbk", "cp932", "mac_cyrillic", "iso8859_5", "cp1250"]
+READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "gbk", "cp932", "mac_cyrillic", "iso8859_5", "cp1250", "iso8859_15"]
 WAS_IN = ["utf-8", "cp1252", "cp1251", "koi8_r", "cp866", "mac_roman", "cp932", "euc_jp", "gbk", "iso8859_5", "mac_cyrillic", "cp437", "cp850"]
 MARGIN, MAX_STATES, MAX_DEPTH, LONGEST = 0.5, 400, 4, 4000
 # Mishaps seen often; a step of another kind has to gain more.
@@ -66,6 +66,8 @@ def _char(c: str) -> tuple[str, float]:
         return "b", 0.3
     if 0xAA == o or 0xBA == o:
         return "s", 0.8
+    if 0x180 <= o < 0x2B0:
+        return "l", 1.8
     if o < 0x250 or 0x1E00 <= o < 0x1F00:
         if cat[0] == "L":
             return ("L" if cat == "Lu" else "l"), 0.9
@@ -206,7 +208,7 @@ def _decode(data: bytes, page: str) -> str | None:
 
 
 def _unescape(s: str) -> str:
-    s = html.unescape(s) if "&" in s else s
+    s = html.unescape(s.replace("&nbsp;", " ")) if "&" in s else s
     if "\\" in s:
         s = re.sub(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1) or m.group(2), 16)), s)
     if re.search(r"=[C-F][0-9A-F]=[89AB][0-9A-F]", s):
@@ -248,14 +250,10 @@ def step_cost(name: str, path: tuple) -> float:
 def search(s: str, model: Plausibility):
     """(best text, its cost, path, cost of the start). The start's escapes are undone at no gain: ordinary
     entities of web pages are no mishap."""
-    begin = model.cost(s)
     plain = _unescape(s)
-    start = model.cost(plain) if plain != s else begin
-    begin = max(begin, start)
-    heap, seen, best, n = [(begin, 0, s, (), 0.0)], {hash(s)}, (start, s, ()), 0
-    if plain != s:
-        heapq.heappush(heap, (start, 1, plain, ("unescape",), 0.0))
-        seen.add(hash(plain))
+    first = ("unescape",) if plain != s else ()
+    begin = start = model.cost(plain)
+    heap, seen, best, n = [(begin, 0, plain, first, 0.0)], {hash(plain)}, (start, plain, first), 0
     while heap and n < MAX_STATES:
         cost, _, text, path, spent = heapq.heappop(heap)
         if len(path) >= MAX_DEPTH or cost > begin + 4.0 + 0.5 * len(s):
