@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import graph, problems
 
 
 def _modules():
-    return [problems]
+    return [graph, problems]
 
 
 def queries() -> dict:
