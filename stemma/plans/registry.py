@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import graph, problems
+from . import graph, links, problems
 
 
 def _modules():
-    return [graph, problems]
+    return [graph, links, problems]
 
 
 def queries() -> dict:
