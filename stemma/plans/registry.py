@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import graph, links, problems
+from . import graph, links, problems, search
 
 
 def _modules():
-    return [graph, links, problems]
+    return [graph, links, search, problems]
 
 
 def queries() -> dict:
