@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import graph, links, problems, search
+from . import graph, ingest, links, problems, search
 
 
 def _modules():
-    return [graph, links, search, problems]
+    return [graph, links, search, ingest, problems]
 
 
 def queries() -> dict:

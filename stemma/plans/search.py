@@ -145,8 +145,8 @@ def _faces(g):
 query("l01_average_linkage")(lambda g: C.cluster_runs(_faces(g), "run", "average", 0.3, 2))
 query("l03_dbscan")(lambda g: C.cluster_runs(_faces(g), "run", "dbscan", 0.75, 2))
 query("l02_absorb_noise")(lambda g: (lambda f: C.absorb_noise(f, C.cluster_runs(f, "run", "average", 0.6, 2), 0.5))(_faces(g)))
-query("l06_suggest_merges", """with f as (select face_id, cluster_id as c, embedding::double[] as v from face_records where len(embedding) = 128 and cluster_id > 0 and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
- u as (select c, list_transform(v, x -> x / sqrt(list_inner_product(v, v))) as v from f), e as (select c, unnest(v) as x, generate_subscripts(v, 1) as i from u), m as (select c, i, avg(x) as x from e group by 1, 2)
+query("l06_suggest_merges", """with f as (select face_id, cluster_id as c, embedding::double[] as v from face_records where len(embedding) = 128 and cluster_id > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ u as (select c, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from f), e as (select c, unnest(v) as x, generate_subscripts(v, 1) as i from u), m as (select c, i, avg(x) as x from e group by 1, 2)
  select a.c as a, b.c as b, round(sum(a.x * b.x), 6) as avg from m a join m b on a.i = b.i and a.c < b.c group by 1, 2 having sum(a.x * b.x) > 0.2""")(
     lambda g: (lambda f: C.suggest_merges(f, f.select("id", "cluster")))(_faces(g)).withColumn("avg", F.round("avg", 6)))
 query("a23_cluster_sizes", "select cluster_id as cluster, count(*) as size from face_records where cluster_id > 0 group by 1")(lambda g: C.cluster_sizes(g.table("face_records").select(F.col("cluster_id").alias("cluster"))))
