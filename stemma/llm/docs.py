@@ -8,154 +8,17 @@ nothing in words beyond the function's name is dropped."""
 
 from __future__ import annotations
 
-import bisect
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexer import functions_of
 from ..session import partitions, ship
 
 FUNCTIONS = "path string, name string, line int, end_line int, signature string, doc string, code string"
 
-_STRINGS = {
-    "c": r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`',
-    "go": r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`',
-    "rust": r'r(?P<h>#*)".*?"(?P=h)|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n]{1,8})\'',
-    "java": r'"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'',
-    "cs": r'\$?@"(?:[^"]|"")*"|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'',
-    "python": r'(?:[rRbBuUfF]{0,2})(?:"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')',
-    "ruby": r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'',
-}
-_COMMENTS = {"python": r"#[^\n]*", "ruby": r"^=begin\b.*?^=end[^\n]*|#[^\n]*"}
-_C_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
-_FAMILY = {"py": "python", "pyi": "python", "rb": "ruby", "go": "go", "rs": "rust", "java": "java", "cs": "cs", "kt": "java"}
-_TOKENS: dict = {}
-
-_NAME_BEFORE = r"(?P<name>[A-Za-z_$][\w$]*)"
-_NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "new", "function", "else", "do", "try", "using", "lock", "foreach", "match", "sizeof", "typeof", "await", "throw", "super", "this"}
-_HEADS = {
-    "go": re.compile(rf"^[ \t]*func\s*(?:\([^)]*\)\s*)?{_NAME_BEFORE}\s*(?:\[[^\]]*\])?\(", re.M),
-    "rust": re.compile(rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+\S+\s+)*fn\s+{_NAME_BEFORE}\s*[(<]", re.M),
-    "python": re.compile(rf"^[ \t]*(?:async\s+)?def\s+{_NAME_BEFORE}\s*\(", re.M),
-    "ruby": re.compile(r"^[ \t]*def\s+(?:self\.)?(?P<name>[\w]+[?!=]?)", re.M),
-    "java": re.compile(rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|sealed|synchronized|default|native|unsafe|partial|extern|new)\s+)+(?:<[^>]+>\s*)?(?:[\w.$\[\]?]+(?:<[^;{{}}()]*>)?(?:\[\])*\s+)?{_NAME_BEFORE}\s*(?:<[^>]*>)?\(", re.M),
-    "c": re.compile(
-        rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME_BEFORE}\s*(?:<[^>]*>)?\("
-        r"|^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<arrow>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:function\b|\([^()\n]*\)\s*(?::[^=\n]+)?=>|[\w$]+\s*=>)"
-        r"|^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?P<method>[\w$]+)\s*(?:<[^>]*>)?\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)\s*(?::\s*[^{\n;]+)?\{", re.M),
-}
-_HEADS["cs"] = _HEADS["java"]
-
-
-def family(path: str, language: str | None = None) -> str:
-    """The lexer for a path's suffix; unknown ones are read like C."""
-    return _FAMILY.get(path.rsplit(".", 1)[-1].lower() if "." in path else "", "c")
-
-
-def lex(text: str, kind: str):
-    """(what, from, to) of all strings and comments, in order; the rest is code. Unclosed block comments run to the end."""
-    if kind not in _TOKENS:
-        comments = _COMMENTS.get(kind, _C_COMMENT)
-        _TOKENS[kind] = re.compile(f"(?P<comment>{comments})|(?P<string>{_STRINGS[kind]})", re.S | re.M)
-    for m in _TOKENS[kind].finditer(text):
-        yield ("comment" if m.group("comment") is not None else "string"), m.start(), m.end()
-
-
-def masked(text: str, tokens) -> str:
-    """The text with strings and comments blanked out, line ends kept; offsets stay the same."""
-    out, at = [], 0
-    for _, a, b in tokens:
-        out.append(text[at:a])
-        piece = text[a:b]
-        out.append(re.sub(r"[^\n]", " ", piece) if "\n" in piece else " " * (b - a))
-        at = b
-    out.append(text[at:])
-    return "".join(out)
-
-
-def _matching(code: str, at: int, opening: str = "{", closing: str = "}") -> int:
-    """Offset after the brace that closes the first one at or after `at`; the end of the text if none does."""
-    depth, pattern = 0, re.compile("[" + re.escape(opening + closing) + "]")
-    for m in pattern.finditer(code, at):
-        depth += 1 if m.group() == opening else -1
-        if depth == 0:
-            return m.end()
-    return len(code)
-
-
-def _body(code: str, m, kind: str) -> tuple[int, int]:
-    """(end of the signature, end of the function)."""
-    start = m.start() + len(m.group()) - len(m.group().lstrip())
-    if kind == "ruby":
-        line_end = code.find("\n", m.end())
-        depth, pos = 1, line_end if line_end >= 0 else len(code)
-        words = re.compile(r"^[ \t]*(?:class|module|def|if|unless|while|until|case|begin|for)\b|\bdo\b(?:\s*\|[^|]*\|)?[ \t]*$|^[ \t]*end\b|=[ \t]*(?:if|case|begin)\b", re.M)
-        for w in words.finditer(code, pos):
-            depth += -1 if w.group().strip() == "end" else 1
-            if depth == 0:
-                return pos, w.end()
-        return pos, len(code)
-    opening = code.find("(", m.end() - 1 if code[m.end() - 1 : m.end()] == "(" else m.start())
-    close = _matching(code, opening, "(", ")") if opening >= 0 else m.end()
-    if kind == "python":
-        colon = code.find(":", close)
-        colon = len(code) if colon < 0 else colon
-        indent = len(m.group()) - len(m.group().lstrip(" \t"))
-        for line in re.finditer(r"^([ \t]*)\S.*$", code[colon:], re.M):
-            if line.start() > 0 and len(line.group(1)) <= indent:
-                return colon, len(code[: colon + line.start()].rstrip())
-        return colon, len(code.rstrip())
-    brace = code.find("{", close if m.group()[-1:] != "{" else m.end() - 1)
-    semicolon = code.find(";", close)
-    if brace < 0 or 0 <= semicolon < brace:
-        end = semicolon + 1 if semicolon >= 0 else len(code)
-        return end, end
-    return brace, _matching(code, max(brace, start))
-
-
-def functions_of(text: str, path: str):
-    """(name, line, end_line, signature, doc, code) of every function of a file."""
-    kind = family(path)
-    tokens = list(lex(text, kind))
-    code = masked(text, tokens)
-    ends = [i for i, c in enumerate(text) if c == "\n"] if len(text) < 1 << 16 else [m.start() for m in re.finditer("\n", text)]
-    line_of = lambda at: bisect.bisect_left(ends, at) + 1
-    comments = [(a, b) for what, a, b in tokens if what == "comment"]
-    comment_ends = [b for _, b in comments]
-    strings = {a: b for what, a, b in tokens if what == "string"}
-    for m in _HEADS[kind].finditer(code):
-        groups = m.groupdict()
-        name = groups.get("name") or groups.get("arrow") or groups.get("method")
-        if name in _NOT_CALLS:
-            continue
-        start = m.start() + len(m.group()) - len(m.group().lstrip())
-        sig_end, end = _body(code, m, kind)
-        doc = ""
-        if kind == "python":
-            k = re.compile(r"\s*").match(text, sig_end + 1).end()
-            for a in (k, k + 1, k + 2):
-                if a in strings and text[k:a].isalpha() | (a == k):
-                    doc = text[k : strings[a]]
-                    break
-        if not doc:
-            # Comments that touch the function (annotations may stand between), upwards while only blanks part them.
-            at, parts = start, []
-            i = bisect.bisect_right(comment_ends, start) - 1
-            while i >= 0:
-                a, b = comments[i]
-                gap = code[b:at]
-                if not re.fullmatch(r"\s*(?:(?:@\w+(?:\([^)]*\))?|#\[[^\]]*\]|\[[\w(), \"=]*\])\s*)*", gap) or gap.count("\n") > (1 if parts or not gap.strip() else 9):
-                    break
-                if code[code.rfind("\n", 0, a) + 1 : a].strip():
-                    break
-                parts.append(text[a:b])
-                at, i = a, i - 1
-            doc = "\n".join(reversed(parts))
-        yield name, line_of(start), line_of(max(start, end - 1)), " ".join(text[start:sig_end].split()), doc, text[start:end]
-
-
 # ---- Descriptions -------------------------------------------------------------------------------
 
 _MARKS = re.compile(r"^\s*(?:/\*+!?|\*+/|\*(?!\*)|//[/!]?|#+(?!\w)|--+|;+|<!--|-->|\"\"\"|'''|%+)\s?|\s*(?:\*+/|-->|\"\"\"|''')\s*$")
