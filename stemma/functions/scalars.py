@@ -99,7 +99,7 @@ def normalize_python(name: Column) -> Column:
 
 
 def comma_split(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalize_topic(text: Column) -> Column:
@@ -116,7 +116,7 @@ def truncate(text: Column, n: int) -> Column:
 
 def snippet(text: Column, lines: int = 3, most: int = 200) -> Column:
     """The first lines that are neither blank nor a code fence, joined by ' | ', cut at `most`."""
-    kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("```"))
+    kept = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("```"))
     s = F.array_join(F.slice(kept, 1, lines), " | ")
     return F.when(F.length(s) > most, F.concat(F.substr(s, F.lit(1), F.lit(most)), F.lit("..."))).otherwise(s)
 

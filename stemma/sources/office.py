@@ -134,13 +134,12 @@ def office_text(path: str, data: bytes | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def _office(path: pd.Series, content: pd.Series) -> pd.Series:
-    return pd.Series([office_text(p, c) for p, c in zip(path, content)], dtype=object)
-
-
 def document_text(path: Column, content: Column) -> Column:
-    return _office(path, content)
+    @F.pandas_udf("string")
+    def read(p: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([office_text(a, b) for a, b in zip(p, c)], dtype=object)
+
+    return read(path, content)
 
 
 def documents(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
