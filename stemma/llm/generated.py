@@ -135,8 +135,9 @@ def minified(text: str, path: str) -> bool:
     if not total:
         return False
     by_name = bool(MINIFIED_PATH.search(path))
-    dense = sum(len(x) for x in lines if len(x) > 30 and sum(map(x.count, " \t")) < (0.12 if by_name else 0.08) * len(x))
-    return dense >= (0.7 if by_name else 0.9) * total and (total >= 256 or by_name)
+    dense = [len(x) for x in lines if len(x) > 30 and sum(map(x.count, " \t")) < (0.12 if by_name else 0.08) * len(x)]
+    few = len(lines) - len(dense) <= max(4, 0.5 * len(lines))
+    return few and sum(dense) >= (0.7 if by_name else 0.9) * total and (total >= 256 or by_name)
 
 
 _NAME, _NUMBER = re.compile(r"[A-Za-z_]\w*"), re.compile(r"\d+")
@@ -150,8 +151,9 @@ def stencilled(text: str) -> bool:
 
 
 def data_share(text: str) -> tuple[float, int]:
-    """(share, size) of the bytes outside comments that lie on lines of nothing but literals."""
-    total = data = 0
+    """(share, size) of the bytes outside comments that lie on lines of nothing but literals; a share of 0 where more
+    than four other lines outnumber a third of those."""
+    total = data = count = other = 0
     for line in text.splitlines():
         s = line.strip()
         if not s or _COMMENT.match(line):
@@ -160,8 +162,10 @@ def data_share(text: str) -> tuple[float, int]:
         rest = _LITERAL.sub("", s)
         names = re.sub(r"[\s,:\[\]{}()=>;+|&.*?-]", "", rest)
         if len(names) <= 0.04 * len(s) or (len(s) > 200 and len(names) <= 0.1 * len(s)) or (_CSV.fullmatch(s) and (len(s) < 2 or s[-1] not in "({,")):
-            data += len(s)
-    return (data / total if total else 0.0), data
+            data, count = data + len(s), count + 1
+        else:
+            other += 1
+    return (data / total if total and other <= max(4, count / 3) else 0.0), data
 
 
 _BLANKS = re.compile(r"\s+")

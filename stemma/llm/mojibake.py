@@ -273,6 +273,13 @@ def search(s: str, model: Plausibility):
     return best[1], best[0], best[2], start
 
 
+def enough(s: str, path: tuple, gain: float) -> bool:
+    """Whether a path's gain proves a mishap: a fixed margin, and without a UTF-8 step more the longer the text is."""
+    if not path or path == ("unescape",) or gain < MARGIN:
+        return False
+    return any(p.endswith(">utf-8") for p in path) or gain >= 0.12 * sum(1 for c in s if c > "\x7f")
+
+
 class Restorer:
     def __init__(self, bigrams: dict[str, int] | None = None):
         self.model, self.memo = Plausibility(bigrams), {}
@@ -284,14 +291,14 @@ class Restorer:
             return known
         text, cost, path, start = search(s, self.model) if len(s) <= LONGEST else (s, 0.0, (), 0.0)
         gain = start - cost
-        if not path or path == ("unescape",) or gain < MARGIN:
+        if not enough(s, path, gain):
             # Only a part may be garbled, next to characters the wrong code page never had.
             out, most, how, at = [], 0.0, (), 0
             for m in _RUN.finditer(s):
                 for a in range(m.start(), m.end(), LONGEST):
                     piece = s[a : min(a + LONGEST, m.end())]
                     t, c, p, b = search(piece, self.model)
-                    if p and p != ("unescape",) and b - c >= MARGIN:
+                    if enough(piece, p, b - c):
                         out.append(s[at:a] + t)
                         at, most, how = a + len(piece), most + b - c, p
             out.append(s[at:])

@@ -1,0 +1,130 @@
+import random
+
+import numpy as np
+import pytest
+
+from stemma.llm import cluster, postings, similar
+
+DIM = 128
+
+
+def faces(seed=0, groups=40, singles=60, hot=300):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        c = rng.normal(size=DIM)
+        c /= np.linalg.norm(c)
+        for _ in range(hot if g == 0 else int(rng.integers(2, 12))):
+            x = c + rng.normal(size=DIM) * 0.045
+            rows.append(x / np.linalg.norm(x) * rng.choice([1.0, 1.0, 7.5]))
+    rows += [rng.normal(size=DIM) for _ in range(singles)]
+    rows += [rows[0].copy(), rows[0] * 3.0]
+    order = rng.permutation(len(rows))
+    return [(int(k * 3 + 1), [float(v) for v in rows[i]]) for k, i in enumerate(order)]
+
+
+BAD = [(900001, None), (900002, []), (900003, [0.0] * DIM), (900004, [1.0] * 5), (900005, [float("nan")] + [1.0] * 127), (900006, [float("inf")] + [0.0] * 127), (900007, [None] + [1.0] * 127)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, "x", -1) for i, v in rows], "face_id long, embedding array<double>, id string, list int")
+
+
+def brute(rows, k=5, least=0.75):
+    ids = np.array([i for i, _ in rows])
+    u = postings.unit(np.array([v for _, v in rows]))
+    s = u @ u.T
+    near, parent = set(), list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        c = [b for b in range(len(rows)) if b != a and s[a, b] >= least]
+        for b in sorted(c, key=lambda b: (-round(s[a, b], 12), ids[b]))[:k]:
+            near.add((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        for b in c:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    groups = {}
+    for a in range(len(rows)):
+        groups.setdefault(find(a), []).append(int(ids[a]))
+    return near, {(i, min(g)) for g in groups.values() if len(g) > 1 for i in g}
+
+
+def test_neighbours_and_groups_against_brute_force(spark):
+    rows = faces()
+    df = frame(spark, rows + BAD)
+    near, groups = brute(rows)
+    got = {(r.a, r.b) for r in similar.pairs(similar.nearest(df, "face_id", "embedding")).collect()}
+    assert len(got & near) >= 0.98 * len(near) and len(got - near) <= 0.02 * len(near)
+    found = cluster.similarity_groups(df, "face_id", "embedding").cache()
+    assert {(r.id, r.group) for r in found.select("id", "group").collect()} == groups
+    # Markov clusters lie within groups, and every group is described once.
+    assert found.select("cluster", "group").distinct().count() == found.select("cluster").distinct().count()
+    told = {r["group"]: r for r in cluster.describe(found, "group").collect()}
+    assert sum(r.size for r in told.values()) == len(groups) and all(1 <= len(r.typical) <= 3 for r in told.values())
+
+
+def test_empty_and_only_bad_rows(spark):
+    for rows in ([], BAD):
+        df = frame(spark, rows)
+        assert similar.nearest(df, "face_id", "embedding").count() == 0
+        assert cluster.similarity_groups(df, "face_id", "embedding") is None
+
+
+def test_identical_vectors_tie_by_id(spark):
+    v = [1.0] + [0.0] * 127
+    df = frame(spark, [(i, v) for i in range(1, 10)])
+    got = {(r.id, r.rank): r.neighbour for r in similar.nearest(df, "face_id", "embedding").collect()}
+    assert [got[(9, k)] for k in range(1, 6)] == [1, 2, 3, 4, 5] and [got[(1, k)] for k in range(1, 6)] == [2, 3, 4, 5, 6]
+
+
+def test_hot_list_in_blocks_equals_one_block(spark):
+    rows = faces(3, groups=1, singles=0, hot=120)
+    df = frame(spark, rows)
+    whole = {tuple(r) for r in similar.list_links(df, "face_id", "embedding", 5, 0.75, False).select("a", "b").distinct().collect()}
+    best = {}
+    for r in similar.list_links(df, "face_id", "embedding", 5, 0.75, True, block=16).where("near").collect():
+        best.setdefault(r.a, {})[r.b] = r.cosine
+    parts = {(a, b) for a, m in best.items() for b in sorted(m, key=lambda b: (-round(m[b], 12), b))[:5]}
+    assert parts == whole
+
+
+def test_graph_search_finds_near_centroids():
+    rng = np.random.default_rng(5)
+    c = postings.unit(rng.normal(size=(3000, DIM))).astype(np.float32)
+    g = postings.CentroidGraph.build(c)
+    pick = rng.integers(0, 3000, 200)
+    q = postings.unit(c[pick] + rng.normal(size=(200, DIM)) * 0.04)
+    ids, sim = g.search(q, 4)
+    assert (ids[:, 0] == pick).mean() >= 0.99 and (np.diff(sim, axis=1) <= 1e-6).all()
+
+
+def test_balance_splits_heavy_centroids():
+    rng = np.random.default_rng(6)
+    u = postings.unit(np.r_[rng.normal(size=(400, DIM)) * 0.03 + np.eye(DIM)[0], rng.normal(size=(40, DIM))])
+    c, own = postings.choose_centroids(u)
+    assert len(postings.balance(u, own, c, 1.0, 100_000)) == len(c)
+    assert len(postings.balance(u, own, c, 1000.0, 100_000)) >= len(c) + 6
+
+
+def test_markov_clusters_of_two_cliques_and_a_bridge(spark):
+    links = [(a, b, 0.9) for a in range(5) for b in range(a)] + [(a + 10, b + 10, 0.9) for a in range(5) for b in range(a)] + [(4, 10, 0.3), (7, 7, 1.0), (None, 3, 1.0)]
+    got = {r.id: r.cluster for r in cluster.markov_clusters(spark.createDataFrame(links, "a long, b long, weight double")).collect()}
+    assert len({got[k] for k in range(5)}) == 1 and len({got[k + 10] for k in range(5)}) == 1 and got[0] != got[10]
+    assert cluster.markov_clusters(spark.createDataFrame([], "a long, b long, weight double")).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 7, 33])
+def test_chains_are_connected_parts(n):
+    rng = random.Random(n)
+    s = np.zeros((n, n), bool)
+    for _ in range(n // 2):
+        a, b = rng.randrange(n), rng.randrange(n)
+        if a != b:
+            s[a, b] = s[b, a] = True
+    parts = similar.chains(s)
+    assert sorted(x for p in parts for x in p) == sorted(np.flatnonzero(s.any(axis=1)))
