@@ -174,7 +174,7 @@ def test_reasons(spark):
     for p, _, want in CASES:
         assert got[p] == ({want} if want else set()), p
     assert got["twice.go"] == {"generated"} and None not in got
-    assert generated.not_hand_written(generated.file_reasons(df, None)).where("path = 'lib/x.js'").count() == 0
+    assert generated.file_reasons(df, None).where("path = 'lib/x.js' and vendored").count() == 0
     assert generated.file_reasons(df.limit(0), lib).count() == 0
 
 
