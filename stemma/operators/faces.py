@@ -142,11 +142,23 @@ def suggest_merges(faces: DataFrame, labels: DataFrame, least: float = 0.2) -> D
     formed. The means (checked to fit 64 MiB, some 65,000 clusters) go to all tasks and are multiplied in blocks;
     only pairs above the threshold leave a task. Clusters beyond that bound have to be given in parts."""
     spark = faces.sparkSession
-    f = faces.select("id", "embedding").join(labels.where("cluster > 0").select("id", "cluster"), "id")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = f.withColumn("n", norm).where("n > 0").select("cluster", F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("n"))).alias("u"))
-    mean = unit.select("cluster", F.posexplode("u").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"))
-    means = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))  # one entry per dimension
+    f = faces.select("id", "embedding").join(labels.where("cluster > 0").select("id", "cluster"), "id").select("cluster", F.col("embedding").cast("array<double>").alias("e"))
+
+    def sums(frames):
+        for pdf in frames:
+            pdf = pdf[[v is not None and len(v) > 0 for v in pdf["e"]]]
+            if pdf.empty:
+                continue
+            u = _units(pdf["e"])
+            own, at = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)
+            total = np.zeros((len(own), u.shape[1]))
+            np.add.at(total, at, u)
+            count = np.bincount(at, weights=(u != 0).any(axis=1))
+            yield pd.DataFrame({"cluster": own, "k": count.astype(np.int64), "s": list(total)})
+
+    part = f.mapInPandas(sums, "cluster int, k long, s array<double>")  # one row per cluster and batch
+    counts = part.select("cluster", "k", F.posexplode("s").alias("i", "x")).groupBy("cluster", "i").agg((F.sum("x") / F.greatest(F.sum("k"), F.lit(1))).alias("x"))
+    means = counts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))  # one entry per dimension
     if (means.agg(F.sum(F.size("v") * 8)).first()[0] or 0) > MAX_MEANS_BYTES:
         raise ValueError("the clusters' means exceed 64 MiB; suggest merges for parts of them")
     rows = sorted((r.cluster, r.v) for r in means.collect())
