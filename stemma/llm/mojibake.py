@@ -26,6 +26,8 @@ from ..session import partitions, ship
 # Code pages that texts are wrongly read in, and encodings they were really in.
 READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "gbk", "cp932", "mac_cyrillic", "iso8859_5", "cp1250", "iso8859_15"]
 WAS_IN = ["utf-8", "cp1252", "cp1251", "koi8_r", "cp866", "mac_roman", "cp932", "euc_jp", "gbk", "iso8859_5", "mac_cyrillic", "cp437", "cp850"]
+#: Two-byte pages swallow whatever follows; of one-byte pages only the usual ones are told apart after that.
+WIDE, NARROW = {"gbk", "cp932"}, {"koi8_r", "cp866", "mac_roman", "iso8859_5", "mac_cyrillic", "cp437", "cp850"}
 MARGIN, MAX_STATES, MAX_DEPTH, LONGEST = 0.5, 400, 4, 4000
 # Mishaps seen often; a step of another kind has to gain more.
 USUAL_STEPS = {"cp1252>cp1251", "cp1251>cp1252", "cp1251>koi8_r", "koi8_r>cp1251", "cp1251>cp866", "cp1252>koi8_r", "cp1252>mac_roman", "mac_roman>cp1252", "cp1252>cp437", "cp1252>cp850", "cp437>cp1252", "cp850>cp1252", "cp1252>cp932", "cp932>euc_jp", "cp1252>euc_jp", "cp1252>gbk", "latin-1>cp932", "latin-1>cp1251", "gbk>cp932", "gbk>euc_jp"}
@@ -230,7 +232,7 @@ def moves(s: str):
             continue
         done.add((page, data))
         for enc in WAS_IN:
-            if enc == page:
+            if enc == page or page in WIDE and enc in NARROW:
                 continue
             t = _decode(data, enc)
             if t is not None and t != s:
@@ -289,6 +291,9 @@ class Restorer:
         known = self.memo.get(s)
         if known is not None:
             return known
+        if self.model.cost(_unescape(s)) < MARGIN:  # no path can gain more than the whole cost
+            self.memo[s] = (s, 0.0, ())
+            return self.memo[s]
         text, cost, path, start = search(s, self.model) if len(s) <= LONGEST else (s, 0.0, (), 0.0)
         gain = start - cost
         if not enough(s, path, gain):
