@@ -218,13 +218,18 @@ def index(vectors: DataFrame, key: str, vector: str, graph: CentroidGraph) -> Da
     return rows.repartition(partitions(spark), "id").mapInPandas(run, "list int, id long, v binary")
 
 
+PACK = 32
+
+
 def blocks(indexed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(list, qb, sb, query, id, v): the units of work. A list of more than `block` rows is divided into blocks by the
-    ids' hash; every pair of its blocks qb <= sb is one unit, so no unit holds more than some 2 * block rows."""
+    """(pack, list, qb, sb, query, id, v): the units of work are (pack, qb, sb). Lists of up to `block` rows are packed by
+    PACK, so small lists cost no group each. A longer list is divided into blocks by the ids' hash; every pair of its
+    blocks qb <= sb is one unit, so no unit holds more than PACK * block rows, and one of a long list some 2 * block."""
     sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     rows = indexed.join(sizes, "list").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(F.col("b"), k).alias("qb"), F.greatest(F.col("b"), k).alias("sb")))
-    return rows.select("list", F.explode(others).alias("p"), "b", "id", "v").select("list", "p.qb", "p.sb", (F.col("b") == F.col("p.qb")).alias("query"), "id", "v")
+    pack = F.when(F.col("nb") == 1, F.floor(F.col("list") / PACK)).otherwise(-1 - F.col("list")).cast("int").alias("pack")
+    return rows.select(pack, "list", F.explode(others).alias("p"), "b", "id", "v").select("pack", "list", "p.qb", "p.sb", (F.col("b") == F.col("p.qb")).alias("query"), "id", "v")
 
 
 def unpack(series, dim: int) -> np.ndarray:
