@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -43,6 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_CUTS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget() -> None:
+    """Removes what cut() wrote once the driver ends in good order; later plans of a session may still read it before."""
+    for spark, path in _CUTS:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone; its folder is the cluster's to clean
+            return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: short lineage, true size statistics, safe
     against lost executors. Call drop_cut on tables that no later plan reads."""
@@ -54,15 +73,15 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stemma_path = path
+    _CUTS.append((spark, path))
     return back
 
 
 def drop_cut(df: DataFrame) -> None:
     path = getattr(df, "_stemma_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        _CUTS[:] = [c for c in _CUTS if c[1] != path]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -132,3 +132,10 @@ def test_facade_tools(spark):
     assert h.delete_files(spark.createDataFrame([("a/b.go",)], "file_path string")).get("a").first().name == "Run"
     g.register_views()
     assert spark.sql("select count(*) n from graph_nodes").first().n == 3
+
+
+def test_entry_and_query_names(spark):
+    import __spark_entry__ as entry
+
+    q, sql = entry.queries(), entry.oracle_sql()
+    assert set(sql) <= set(q) and len(q) > 150 and "j08_unused_antijoin" in q
