@@ -1,7 +1,7 @@
 """Problem 2: references to records that do not exist at the time of the reference.
 
-A Bloom filter of all (branch, id) keys of the parent table is built by partial aggregation on the
-executors and travels to every task. Its size has a fixed bound (max_bits, 8 MiB), so it never
+A Bloom filter of all (branch, id) keys of the parent table is built by aggregation on the executors and
+travels to every task. Its size has a fixed bound (max_bits, 8 MiB), so it never
 grows with the data; beyond the bound only its false-positive rate grows. What the filter rejects is a
 definite orphan ('missing') and takes part in no join. What it accepts is verified exactly
 against the parent rows, which are reduced map-side to one row per (branch, id, deletion time).
@@ -15,35 +15,41 @@ from pyspark.sql import functions as F
 MAIN = "main"
 
 
-def _jvm(df):
-    return df.sparkSession._jvm
+WORD_BITS, BITS_PER_KEY = 64, 12
 
 
-def _expr(df: DataFrame, column: Column):
-    """The Catalyst expression of a column, to feed Spark's own Bloom filter expressions."""
-    return _jvm(df).org.apache.spark.sql.classic.ExpressionUtils.expression(column._jc)
+def _hash(branch: Column, node: Column, seed: int) -> Column:
+    return F.xxhash64(branch, node, F.lit(seed))
 
 
-def _column(df: DataFrame, expression) -> Column:
-    return Column(_jvm(df).org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+def _bits(branch: Column, node: Column) -> Column:
+    """Three of a word's 64 bits."""
+    h = _hash(branch, node, 1)
+    one = F.lit(1).cast("long")
+    bit = lambda k: F.call_function("shiftleft", one, F.shiftright(h, k).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
 
 
-def bloom_filter(keys: DataFrame, key: Column, items: int, max_bits: int = 1 << 26) -> Column:
-    """Bloom filter of a bigint key column as a scalar subquery; at most max_bits / 8 bytes, null for no rows."""
-    bits = max(1 << 10, min(max_bits, 12 * max(1, items)))
-    number = lambda v: _expr(keys, F.expr(f"{v}L"))
-    aggregate = _jvm(keys).org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate
-    agg = aggregate(_expr(keys, key), number(max(1, items)), number(bits))
-    return keys.agg(_column(keys, agg.toAggregateExpression()).alias("bloom")).scalar()
+class BloomFilter:
+    """A blocked Bloom filter: a key sets three bits of one 64-bit word.
 
+    Words are built by a bitwise-or aggregate per word number, combined on the map side and spread over all reducers;
+    only the finished words, at most max_bits / 8 bytes, come together in one row, which queries read as a scalar
+    subquery. Beyond the bound the filter only passes more keys."""
 
-def might_contain(df: DataFrame, bloom: Column, key: Column) -> Column:
-    contain = _jvm(df).org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain
-    return F.coalesce(_column(df, contain(_expr(df, bloom), _expr(df, key))), F.lit(False))
+    def __init__(self, keys: DataFrame, items: int, max_bits: int = 1 << 26):
+        self.words = max(1, min(max_bits, BITS_PER_KEY * max(1, items)) // WORD_BITS)
+        word = F.pmod(_hash(F.col("branch"), F.col("id"), 0), F.lit(self.words)).alias("word")
+        some = keys.select(word, _bits(F.col("branch"), F.col("id")).alias("m")).groupBy("word").agg(F.bit_or("m").alias("m"))
+        every = keys.sparkSession.range(self.words).select(F.col("id").alias("word"))
+        full = every.join(some, "word", "left").select("word", F.coalesce("m", F.lit(0).cast("long")).alias("m"))
+        row = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "m"))), lambda x: x["m"]).alias("words"))
+        self.column = row.scalar()
 
-
-def _key(branch: Column, node: Column) -> Column:
-    return F.xxhash64(branch, node)
+    def might_contain(self, branch: Column, node: Column) -> Column:
+        bits = _bits(branch, node)
+        held = F.get(self.column, F.pmod(_hash(branch, node, 0), F.lit(self.words)).cast("int"))
+        return held.bitwiseAND(bits) == bits
 
 
 def reference_ends(edges: DataFrame) -> DataFrame:
@@ -78,11 +84,9 @@ def find_orphans(edges: DataFrame, nodes: DataFrame, max_bits: int = 1 << 26) ->
     ends are 'missing' when no row is visible, else 'deleted'. Extra columns are ignored."""
     ends = reference_ends(edges.select("branch", "id", "type", "source_id", "target_id", "indexed_at"))
     keys = nodes.select("branch", "id", "indexed_at", "deleted_at").where("id is not null and branch is not null")
-    bloom = bloom_filter(keys, _key(F.col("branch"), F.col("id")), keys.count(), max_bits)
-    hit = might_contain(ends, bloom, _key(F.col("branch"), F.col("node_id"))) | might_contain(
-        ends, bloom, _key(F.lit(MAIN), F.col("node_id"))
-    )
-    probed = ends.withColumn("hit", hit)
+    bloom = BloomFilter(keys, keys.count(), max_bits)
+    hit = bloom.might_contain(F.col("branch"), F.col("node_id")) | bloom.might_contain(F.lit(MAIN), F.col("node_id"))
+    probed = ends.withColumn("hit", F.coalesce(hit, F.lit(False)))
     cols = ["branch", "edge_id", "type", "side", "node_id", "at"]
     definite = probed.where(~F.col("hit")).select(*cols, F.lit("missing").alias("reason"))
     # One row per (branch, id, deletion time) decides as all its rows do: of equal deletion times the
