@@ -5,6 +5,8 @@ closer than SEPARATION, then moved to the mean of their sample. They are searche
 every centroid links to its nearest ones, a small layer of pivots gives the entry points, and a beam walks from
 there. The graph is at most 60 MB whatever the data and is broadcast. Where the sample says that a list
 would exceed MAX_LIST rows, its centroid is split into as many as balance it.
+Rows far from all centroids, whose like the sample missed, get a second level of centroids, drawn from a bounded sample
+of themselves; so small groups find each other too.
 Index: every row enters its nearest list and, at a boundary, all lists whose distance is within RATIO of the
 nearest or whose centroid's cosine is at least REACH, at most REPLICAS: a row similar to a member of a list (cosine
 0.75, the member being some 0.8 from its centroid) is itself about 0.6 from that centroid. Lists above BLOCK rows are worked on in blocks (query block times stored
@@ -169,14 +171,24 @@ class CentroidGraph:
         ids, sim = ids[:, :k], sim[:, :k]
         return np.where(sim > -3, ids, -1), sim
 
-    def lists(self, q: np.ndarray, replicas: int = REPLICAS, ratio: float = RATIO):
-        """(row, list, rank) of every row of q: its nearest list and those within ratio of that distance."""
-        ids, sim = self.search(q, replicas)
+    def scan(self, q: np.ndarray, k: int):
+        """As search, but exact: against all centroids in a block."""
+        s = q.astype(np.float32) @ self.c.T
+        k = min(k, s.shape[1])
+        ids = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        sim = np.take_along_axis(s, ids, 1)
+        order = np.argsort(-sim, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
+
+    def lists(self, q: np.ndarray, replicas: int = REPLICAS, ratio: float = RATIO, exact: bool = False):
+        """(row, list, far) of every row of q: its nearest list and those within ratio of that distance or with a cosine
+        of REACH; far where no centroid is as near as SEPARATION."""
+        ids, sim = self.scan(q, replicas) if exact else self.search(q, replicas)
         dist = np.sqrt(np.maximum(2 - 2 * sim, 1e-9))
         use = (ids >= 0) & ((dist <= dist[:, :1] * ratio) | (sim >= REACH))
         use[:, 0] = True
         row, rank = np.nonzero(use)
-        return row, ids[row, rank], rank
+        return row, ids[row, rank], sim[row, 0] < SEPARATION
 
 
 def fit(vectors: DataFrame, vector: str, key: str, sample: int = SAMPLE) -> CentroidGraph | None:
@@ -197,8 +209,9 @@ def fit(vectors: DataFrame, vector: str, key: str, sample: int = SAMPLE) -> Cent
     return CentroidGraph.build(balance(u, own, c, total / len(u)))
 
 
-def index(vectors: DataFrame, key: str, vector: str, graph: CentroidGraph) -> DataFrame:
-    """(list, id, v): every row in its lists, v being the raw numbers as float64 or, from array<float>, float32 bytes."""
+def index(vectors: DataFrame, key: str, vector: str, graph: CentroidGraph, first: int = 0, exact: bool = False) -> DataFrame:
+    """(list, id, v, far): every row in its lists (numbered from first), v being the raw numbers as float64 or, from
+    array<float>, float32 bytes. exact: the nearest lists come from a scan of all centroids instead of the graph."""
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast((graph.c, graph.links, graph.pivots))
     dtype = np.float32 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else np.float64
@@ -210,12 +223,12 @@ def index(vectors: DataFrame, key: str, vector: str, graph: CentroidGraph) -> Da
             u = unit(x)
             ids = pdf["id"].to_numpy()
             for a in range(0, len(x), 256):
-                row, lists, _ = g.lists(u[a : a + 256])
+                row, lists, far = g.lists(u[a : a + 256], exact=exact)
                 raw = x[a : a + 256].astype(dtype)
-                yield pd.DataFrame({"list": lists.astype(np.int32), "id": ids[a + row], "v": [raw[r].tobytes() for r in row]})
+                yield pd.DataFrame({"list": (lists + first).astype(np.int32), "id": ids[a + row], "v": [raw[r].tobytes() for r in row], "far": far})
 
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    return rows.repartition(partitions(spark), "id").mapInPandas(run, "list int, id long, v binary")
+    return rows.repartition(partitions(spark), "id").mapInPandas(run, "list int, id long, v binary, far boolean")
 
 
 PACK = 32
