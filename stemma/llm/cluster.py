@@ -22,11 +22,11 @@ WIDTH, PRUNE, INFLATION, ROUNDS = 8, 0.01, 2.0, 12
 
 
 def _columns(entries: DataFrame, width: int) -> DataFrame:
-    """Prunes every column j of entries(i, j, w) to its strongest `width` entries above PRUNE and rescales it to 1."""
+    """Keeps of every column j of entries(i, j, w) its strongest `width`, of those the ones above PRUNE of their sum, and
+    rescales them to 1. The rank limit cuts a hub's column down before the shuffle."""
     w = Window.partitionBy("j")
-    ranked = entries.withColumn("p", F.col("w") / F.sum("w").over(w))
-    ranked = ranked.withColumn("r", F.row_number().over(w.orderBy(F.col("p").desc(), "i")))
-    kept = ranked.where((F.col("r") <= width) & ((F.col("p") >= PRUNE) | (F.col("r") == 1)))
+    top = entries.withColumn("r", F.row_number().over(w.orderBy(F.col("w").desc(), "i"))).where(F.col("r") <= width)
+    kept = top.withColumn("p", F.col("w") / F.sum("w").over(w)).where((F.col("p") >= PRUNE) | (F.col("r") == 1))
     return kept.select("i", "j", (F.col("p") / F.sum("p").over(w)).alias("w"))
 
 
