@@ -163,6 +163,38 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
+def first_json_array(text: str | None) -> str | None:
+    """The first balanced [...] of a text, brackets in strings left out of account; None if there is none."""
+    start = (text or "").find("[")
+    if start < 0:
+        return None
+    depth, quoted, skip = 0, False, False
+    for k in range(start, len(text)):
+        c = text[k]
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "[]":
+            depth += 1 if c == "[" else -1
+            if depth == 0:
+                return text[start : k + 1]
+    return None
+
+
+def json_array(text: Column) -> Column:
+    """first_json_array of a column, to be read by from_json."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(first_json_array)
+
+    return cut(text)
+
+
 # ---- Test naming (F07-F09, X08, X09) ---------------------------------------------------------------------
 
 

@@ -146,3 +146,11 @@ def search_nodes(nodes: DataFrame, condition, n: int = 50) -> DataFrame:
     total = hits.agg(F.count("*").alias("total"))
     first = hits.orderBy("file_path", "line", "id").limit(n).select("id", "name", "type", "file_path", "line")
     return first.join(F.broadcast(total))  # one row
+
+
+def architecture_facets(classified: DataFrame, per_role: int = 5) -> DataFrame:
+    """(role, n, packages, examples): nodes and packages per role and the first few names."""
+    some = classified.where("role <> ''")
+    w = Window.partitionBy("role").orderBy("name", "id")
+    first = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_role).groupBy("role").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("x"))
+    return some.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("package").alias("packages")).join(first, "role").select("role", "n", "packages", F.array_join(F.transform("x", lambda s: s["name"]), ",").alias("examples"))

@@ -208,3 +208,35 @@ def one_hop(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, per_type: int
     named = links.join(nodes.select(F.col("id").alias("peer_id"), F.col("name").alias("peer_name")), "peer_id")
     w = Window.partitionBy("node_id", "edge_type").orderBy("peer_id", "direction", "edge_id")
     return named.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_type).select("node_id", "edge_type", "direction", "peer_id", "peer_name", F.col("r").alias("place"))
+
+
+# ---- The stored index (K12, K13, V10) -----------------------------------------------------------------------------------
+
+
+def save_index(chunks_with_vectors: DataFrame, path: str, provider: str, model: str, dim: int) -> None:
+    """Writes the chunks and a one-row meta table with the counts and a version one above the stored one."""
+    spark = chunks_with_vectors.sparkSession
+    try:
+        version = spark.read.json(f"{path}/meta").first().version + 1
+    except Exception:  # noqa: BLE001 - no index yet
+        version = 1
+    chunks_with_vectors.write.mode("overwrite").parquet(f"{path}/chunks")
+    n = spark.read.parquet(f"{path}/chunks").agg(F.count("*").alias("chunks"), F.count_distinct("id").alias("nodes"))
+    n.select(F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), "chunks", "nodes", F.lit(version).alias("version"), F.current_timestamp().alias("built_at")).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/chunks"), spark.read.json(f"{path}/meta")
+
+
+def remove_nodes(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without the chunks of some nodes(id)."""
+    return index.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def semantic_context(nodes: DataFrame, edges: DataFrame, hits: DataFrame, top: int = 20, most: int = 800) -> DataFrame:
+    """The best nodes with their text of at most `most` characters and how many neighbours they have."""
+    best = hits.orderBy(F.col("score").desc(), "id").limit(top)
+    near = one_hop(nodes, edges, best.select(F.col("id").alias("node_id"))).groupBy(F.col("node_id").alias("id")).agg(F.count("*").alias("links"))
+    text = node_texts(nodes).select("id", F.substr("text", F.lit(1), F.lit(most)).alias("text"))
+    return best.join(text, "id").join(near, "id", "left").fillna(0, ["links"])

@@ -252,6 +252,10 @@ query("a07_layers_roles", _CLS + " select layer, role, count(*) as n from CL whe
 query("a10_models", _CLS + """ select case new_type when 'DBModel' then 'database' when 'DomainModel' then 'domain' else 'transfer' end as label, count(*) as n, count(distinct package) as packages
  from CL where new_type in ('DBModel','DomainModel','ViewModel','DTO') group by 1""")(lambda g: A.models(_cls(g)))
 
+query("a22_architecture_facets", _CLS + """, y as (select *, row_number() over (partition by role order by name, id) r from CL where role <> '')
+ select role, count(*) as n, count(distinct package) as packages, string_agg(name, ',' order by r) filter (r <= 5) as examples from y group by 1""")(lambda g: A.architecture_facets(_cls(g)))
+query("t08_summaries", " select id, name from M where type = 'Document' and coalesce(properties['generated'], '') = 'true'")(lambda g: A.summaries(g.mn).select("id", "name"))
+
 # ---- Traversal ----------------------------------------------------------------------------------------------------------------------
 
 _BFS = """, b as (select distinct target_id as id, source_id as nxt from ME where type in ({types}) and source_id <> target_id), roots as (select id as root_id from M where type in ({roots})),

@@ -105,6 +105,13 @@ query("f14_rag_filters", " select distinct result_id from rag_results where type
 query("w05_ranks", " select query_id, result_id, cast(row_number() over (partition by query_id order by score desc, result_id) as int) as place from (select distinct query_id, result_id, score from rag_results where score is not null)")(
     lambda g: (lambda r: r.withColumn("place", F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "result_id"))).select("query_id", "result_id", "place"))(g.table("rag_results").where("score is not null").select("query_id", "result_id", "score").distinct()))
 
+query("v06_best_chunk", "select query_id as node_id, max(score) as score, min(rank) filter (score = m) as chunk_index from (select *, max(score) over (partition by query_id) as m from rag_results where score is not null) group by 1")(
+    lambda g: R.best_chunk(g.table("rag_results").where("score is not null").select(F.col("query_id").alias("node_id"), "score", F.col("rank").alias("chunk_index"))))
+query("v10_semantic_context")(lambda g: R.semantic_context(g.mn, g.me, _vector_scores(g)))
+query("x20_question_entities")(lambda g: g.table("documents").where("text is not null").select("doc_id", X.entity_in_question(F.col("text")).alias("entity")))
+query("x25_diff_files", "select distinct path from source_files")(
+    lambda g: g.table("source_files").select(F.explode(X.diff_files(F.concat(F.lit("--- a/x\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n")))).alias("path")).distinct())
+
 # ---- Scalars over the tables -----------------------------------------------------------------------------------------------
 
 _TOP = "case when file_path = '' then '' when not contains(file_path, '/') or starts_with(file_path, '/') then '(root)' else split_part(file_path, '/', 1) end"

@@ -183,3 +183,18 @@ def test_topics_and_directories(spark):
     assert [r.name for r in n.collect()] == ["a b"] and e.count() == 2
     n, e = D.directories(spark.createDataFrame([("x/y/z.md",), ("x/q.md",), ("top.md",)], "path string"), "path")
     assert sorted(r.name for r in n.collect()) == ["x", "x/y"] and e.count() == 3
+
+
+def test_json_array_and_stored_index(spark, tmp_path):
+    from stemma.functions import scalars as X
+
+    assert X.first_json_array('say [1, "]", [2]] and [3]') == '[1, "]", [2]]' and X.first_json_array("[1") is None and X.first_json_array(None) is None
+    df = spark.createDataFrame([('x [{"a": 1}] y',), (None,)], "t string")
+    assert [r.x for r in df.select(X.json_array(F.col("t")).alias("x")).collect()] == ['[{"a": 1}]', None]
+    vec = spark.createDataFrame([("n1", 0, [1.0]), ("n1", 1, [0.5]), ("n2", 0, [0.1])], "id string, chunk_index int, embedding array<float>")
+    for version in (1, 2):
+        R.save_index(vec, str(tmp_path / "ix"), "hash", "m", 1)
+        chunks, meta = R.load_index(spark, str(tmp_path / "ix"))
+        assert (meta.first().version, meta.first().chunks, meta.first().nodes) == (version, 3, 2)
+    assert not R.needs_reindex(meta, "hash", "m") and R.needs_reindex(meta, "hash", "other") and R.needs_reindex(meta.limit(0), "hash", "m")
+    assert R.remove_nodes(chunks, spark.createDataFrame([("n1",)], "id string")).count() == 1
