@@ -143,9 +143,8 @@ def summaries(nodes: DataFrame) -> DataFrame:
 def search_nodes(nodes: DataFrame, condition, n: int = 50) -> DataFrame:
     """The first n matches by file, line and id, with the number of all matches."""
     hits = nodes.where(condition)
-    total = hits.agg(F.count("*").alias("total"))
-    first = hits.orderBy("file_path", "line", "id").limit(n).select("id", "name", "type", "file_path", "line")
-    return first.join(F.broadcast(total))  # one row
+    total = hits.agg(F.count("*").alias("total")).scalar()
+    return hits.orderBy("file_path", "line", "id").limit(n).select("id", "name", "type", "file_path", "line", total.alias("total"))
 
 
 def architecture_facets(classified: DataFrame, per_role: int = 5) -> DataFrame:

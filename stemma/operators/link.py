@@ -31,6 +31,23 @@ def _pick(rows: DataFrame, key: str, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def substrings(rows: DataFrame, text: str, longest: int, out: str, keep: list[str]) -> DataFrame:
+    """keep columns with every distinct substring of a text of 1 to `longest` characters as column out.
+
+    Long texts are first cut into overlapping slices, so no row holds more than some (256 + 2 * longest) * longest
+    substrings, however long a text is."""
+    size = max(256, longest)
+    at = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / size).cast("int"))
+    slices = rows.where(F.length(text) > 0).select(*keep, F.explode(F.transform(at, lambda k: F.substr(text, k * size + 1, F.lit(size + longest)))).alias("_s"))
+    ends = F.transform(F.sequence(F.lit(1), F.length("_s")), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.length("_s") - a + 1, F.lit(longest))), lambda n: F.substr("_s", a, n)))
+    return slices.select(*keep, F.explode(F.array_distinct(F.flatten(ends))).alias(out))
+
+
+def longest_of(rows: DataFrame, column: Column) -> int:
+    """Length of the longest value, at least 1."""
+    return max(1, rows.agg(F.max(F.length(column)).alias("n")).first().n or 1)
+
+
 # ---- Phases 1 and 2: services, endpoints -------------------------------------------------------------------
 
 
@@ -148,8 +165,8 @@ def match_imports(imports: DataFrame, deps: DataFrame) -> DataFrame:
     prefixes = prefixes.select("import_id", "ig", F.array_join(F.slice(F.split("name", "/"), 1, F.col("k")), "/").alias("key"), (F.lit(1000000) - F.length(F.array_join(F.slice(F.split("name", "/"), 1, F.col("k")), "/"))).alias("tier"))
     dotted, first = i.where(F.col("name").contains(".")), F.split_part("name", F.lit("."), F.lit(1))
     twice = i.where(F.size(F.split("name", r"\.")) >= 3)
-    low = F.lower("name")
-    subs = twice.select("import_id", "ig", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda a: F.transform(F.sequence(F.lit(1), F.length("name") - a + 1), lambda n: F.substr(low, a, n))))).alias("sub")).distinct()
+    low = twice.withColumn("low", F.lower("name"))
+    subs = substrings(low, "low", longest_of(deps, F.col("name")), "sub", ["import_id", "ig"]).distinct()
     contained = subs.join(deps.select(F.col("name").alias("key"), F.lower(F.replace("name", F.lit("-"), F.lit("."))).alias("sub")).distinct(), "sub")
     # Which contained name is taken is open; the smallest is.
     contained = contained.groupBy("import_id", "ig").agg(F.min("key").alias("key")).withColumn("tier", F.lit(5000000))
@@ -190,8 +207,7 @@ def structural_implements(nodes: DataFrame, language: str = "go", exact_receiver
     else:
         # Containment as equality: every substring of a receiver is a key.
         r = methods.select("method", "receiver").distinct()
-        sub = F.flatten(F.transform(F.sequence(F.lit(1), F.length("receiver")), lambda a: F.transform(F.sequence(F.lit(1), F.length("receiver") - a + 1), lambda n: F.substr("receiver", a, n))))
-        has = r.select("method", F.explode(F.array_distinct(sub)).alias("sname")).join(structs, "sname")
+        has = substrings(r, "receiver", longest_of(structs, F.col("sname")), "sname", ["method"]).distinct().join(structs, "sname")
     have = has.select("source_id", "sfile", "method").distinct()
     both = have.join(need, "method").where((F.col("sfile") == F.col("ifile")) if same_file else (F.col("sfile") != F.col("ifile")))
     full = both.groupBy("source_id", "target_id").agg(F.count("*").alias("n")).join(size, "target_id").where("n = needed")
@@ -267,28 +283,23 @@ def link_calls(nodes: DataFrame, language: str = "go") -> DataFrame:
 DOCUMENTED = ["Function", "Method", "Class", "Struct", "Interface", "Package", "File"]
 
 
-def link_documents(nodes: DataFrame, exact: bool = True) -> DataFrame:
+def link_documents(nodes: DataFrame) -> DataFrame:
     """Document documents every code node whose name its text contains (names of 3 bytes, texts of 20 and more,
-    case ignored).
+    case ignored). Names of blanks only are never mentioned.
 
-    A name that is a chain of word characters lies within one word run of the text or is a part of it; so the
-    text's word runs and all their substrings of a known name's length are join keys, then containment is checked.
-    Names with other characters are found by their longest word run."""
+    A text that contains a name has the name's longest run (of word characters or of marks) within one of its own
+    runs; so the runs of the texts and their substrings up to the longest key are join keys, and containment of the
+    whole name is checked on what they bring together."""
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)"), F.lit(1))
     docs = nodes.where("type = 'Document'").select(F.col("id").alias("source_id"), F.lower("doc_comment").alias("text")).where(F.octet_length("text") >= 20)
     names = nodes.where(F.col("type").isin(DOCUMENTED)).select(F.col("id").alias("target_id"), F.lower("name").alias("name")).where(F.octet_length("name") >= 3)
-    distinct = names.select("name").distinct().withColumn("runs", F.regexp_extract_all("name", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    # The key is the name's longest run, which any text containing the name has inside one of its runs.
-    longest = F.reduce(F.col("runs"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    keyed = distinct.withColumn("key", longest)
-    words = docs.select("source_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("w"))
-    vocabulary = words.select("w").distinct()
-    subs = vocabulary.select("w", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda a: F.transform(F.sequence(F.lit(1), F.length("w") - a + 1), lambda n: F.substr("w", a, n)))))).alias("key"))
-    seen = subs.join(keyed.where("key <> ''").select("key").distinct(), "key")
-    pairs = words.join(seen, "w").select("source_id", "key").distinct().join(keyed.select("name", "key"), "key")
+    key = F.reduce(runs("name"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    keyed = names.select("name").distinct().withColumn("key", key).where("key <> ''")
+    words = docs.select("source_id", F.explode(F.array_distinct(runs("text"))).alias("w"))
+    subs = substrings(words.select("w").distinct(), "w", longest_of(keyed, F.col("key")), "key", ["w"])
+    seen = subs.join(keyed.select("key").distinct(), "key").distinct()
+    pairs = words.join(seen, "w").select("source_id", "key").distinct().join(keyed, "key")
     hits = pairs.join(docs, "source_id").where(F.contains("text", "name")).select("source_id", "name")
-    # Names without any letter or digit have no key; they are few and compared with every text.
-    bare = keyed.where("key = ''").select("name")
-    hits = hits.unionByName(docs.join(bare, F.contains("text", "name")).select("source_id", "name")) if exact and bare.limit(1).count() else hits
     out = hits.join(names, "name").select("source_id", "target_id").distinct()
     return out.select(
         edge_id("edge", F.col("source_id"), F.concat("target_id", F.lit(":Documents"))).alias("id"), F.lit("Documents").alias("type"), "source_id", "target_id", F.lit("").alias("kind"))
