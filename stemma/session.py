@@ -30,6 +30,7 @@ def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> Spa
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,9 +92,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster whose workers do not see the repository."""
+    """Send this package to the Python workers, which need not see the repository; once a session. Spark's own file
+    server hands the archive out."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") and not sc.master.startswith("local-cluster") or getattr(sc, "_stemma_shipped", False):
+    if getattr(sc, "_stemma_shipped", False):
         return
     root = Path(__file__).resolve().parent
     out = os.path.join(tempfile.mkdtemp(prefix="stemma-pkg-"), "stemma_pkg.zip")
