@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexer import functions_of
+from ..functions.lexer import family, functions_of, lex, masked
 from ..session import partitions, ship
 
-FUNCTIONS = "path string, name string, line int, end_line int, signature string, doc string, code string"
+FUNCTIONS = "path string, name string, line int, end_line int, signature string, doc string, code string, body string"
 
 # ---- Descriptions -------------------------------------------------------------------------------
 
@@ -89,12 +89,14 @@ def _name_stems(name: str) -> set[str]:
     return {_stem(p) for p in parts} | {_stem(p) for p in re.findall(r"[^\W\d_]+", name or "")} | {_stem(re.sub(r"[\W_]", "", name or ""))}
 
 
-def words_said(name: str | None, doc: str | None) -> int:
+def words_said(name: str | None, doc: str | None, body: str | None = None) -> int:
     """How many words of a documentation comment say something beyond the function's name; CJK text counts two
-    characters as a word. 0 for what only marks, points elsewhere, instructs tools, states rights, is code or to do."""
+    characters as a word. 0 for what only marks, points elsewhere, instructs tools, states rights, is code or to do. Lines
+    that stand in the function's body as lexed (strings and comments left out) are code put into a comment."""
     text = clean(doc)
     if not text:
         return 0
+    own = {x for x in map(str.strip, body.split("\n")) if len(x) > 3} if body else ()
     known = _name_stems(name or "")
     lines, params = [], set()
     for raw in text.split("\n"):
@@ -110,7 +112,7 @@ def words_said(name: str | None, doc: str | None) -> int:
             lines.append(("tag", s[m.end():]))
             continue
         s = _TAG_WORDS.sub("", s)
-        if not s or _TAG_OTHER.match(s) or _HEADING.match(s) or _TOOL.match(s) or _RIGHTS.search(s) or _CODE_LINE.match(s):
+        if not s or _TAG_OTHER.match(s) or _HEADING.match(s) or _TOOL.match(s) or _RIGHTS.search(s) or _CODE_LINE.match(s) or s in own:
             continue
         lines.append(("text", s))
     total = 0
@@ -137,8 +139,8 @@ def words_said(name: str | None, doc: str | None) -> int:
     return total
 
 
-def informative(name: str | None, doc: str | None, least: int = 2) -> bool:
-    return words_said(name, doc) >= least
+def informative(name: str | None, doc: str | None, body: str | None = None, least: int = 2) -> bool:
+    return words_said(name, doc, body) >= least
 
 
 # ---- Operators ----------------------------------------------------------------------------------
@@ -159,7 +161,8 @@ def extract_functions(files: DataFrame, path: str = "path", content: str = "cont
             rows = []
             for p, c in zip(pdf["path"], pdf["content"]):
                 text = c.decode("utf-8", "replace") if isinstance(c, (bytes, bytearray)) else (c or "")
-                rows.extend((p, *f) for f in functions_of(text.replace("\r\n", "\n").replace("\r", "\n"), p))
+                for f in functions_of(text.replace("\r\n", "\n").replace("\r", "\n"), p):
+                    rows.append((p, *f, masked(f[-1], lex(f[-1], family(p)))))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FUNCTIONS.split(", ")])
 
     return newest.repartition(partitions(files.sparkSession), "path").mapInPandas(run, FUNCTIONS)
@@ -172,10 +175,10 @@ def source_pairs(files: DataFrame, **columns) -> DataFrame:
 
 def _described(df: DataFrame, doc: str) -> DataFrame:
     @F.pandas_udf("string")
-    def description(name: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([clean(d) if d and informative(n, d) else None for n, d in zip(name, text)], dtype=object)
+    def description(name: pd.Series, text: pd.Series, body: pd.Series) -> pd.Series:
+        return pd.Series([clean(d) if d and informative(n, d, b) else None for n, d, b in zip(name, text, body)], dtype=object)
 
-    return df.withColumn("description", description(F.coalesce(F.col("name"), F.lit("")), F.col(doc)))
+    return df.withColumn("description", description(F.coalesce(F.col("name"), F.lit("")), F.col(doc), F.col("body")))
 
 
 def node_pairs(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -187,9 +190,10 @@ def node_pairs(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
     cols = ["type", "name", "file_path", "line", "signature", "doc_comment"]
     newest = nodes.groupBy("branch", "id").agg(F.max(F.struct("indexed_at", "deleted_at", *cols)).alias("n")).select("branch", F.col("id").alias("node_id"), "n.*")
     alive = newest.where("type in ('Function', 'Method') and deleted_at is null and signature <> '' and doc_comment <> ''")
-    spread = alive.select("branch", "node_id", *cols).repartition(partitions(nodes.sparkSession), "file_path", "line")
-    kept = _described(spread, "doc_comment").where("description is not null")
+    wanted = alive.select("branch", "node_id", *cols)
     if files is None:
-        return kept.select("branch", "node_id", "name", "signature", "description", F.lit(None).cast("string").alias("code"))
-    found = extract_functions(files).groupBy(F.col("path").alias("file_path"), "line").agg(F.max("code").alias("code"))
-    return kept.join(found, ["file_path", "line"], "left").select("branch", "node_id", "name", "signature", "description", "code")
+        found = wanted.select("file_path", "line").limit(0).withColumn("code", F.lit("")).withColumn("body", F.lit(""))
+    else:
+        found = extract_functions(files).groupBy(F.col("path").alias("file_path"), "line").agg(F.max_by("code", "body").alias("code"), F.max("body").alias("body"))
+    kept = _described(wanted.join(found, ["file_path", "line"], "left"), "doc_comment").where("description is not null")
+    return kept.select("branch", "node_id", "name", "signature", "description", "code")

@@ -262,3 +262,8 @@ def test_garbled_frames(spark):
     assert sorted(r.doc_id for r in got) == [2, 2, 5]
     assert next(r for r in got if r.doc_id == 2).restored == TEXTS[0] and next(r for r in got if r.doc_id == 5).lost == 1
     assert mojibake.find_garbled(df.limit(0)).count() == 0
+
+
+def test_lines_of_the_own_body_are_code():
+    body = "func Pay() {\n\tmove the money now\n}"
+    assert docs.informative("Pay", "move the money now") and not docs.informative("Pay", "move the money now", body)
