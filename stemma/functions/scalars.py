@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,8 +187,6 @@ def first_json_array(text: str | None) -> str | None:
 
 def json_array(text: Column) -> Column:
     """first_json_array of a column, to be read by from_json."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(s: pd.Series) -> pd.Series:
         return s.map(first_json_array)
