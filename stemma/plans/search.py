@@ -61,7 +61,7 @@ query("v01_chunk_counts_ascii", """with recursive d as (select doc_id, text as t
  e as (select doc_id, n, max(k) as chunks, max(cut) filter (cut < n) as lastcut from c where k > 0 group by 1, 2)
  select doc_id, cast(case when n <= 1500 then 1 when n - (lastcut - 200) < 100 then chunks - 1 else chunks end as bigint) as chunks from e""")(
     lambda g: R.chunks(g.table("documents").where(F.octet_length("text") == F.length("text")), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("chunks")))
-query("p10_embeddable_text", """ select id, name || case when package <> '' then chr(10) || 'Package: ' || package else '' end || case when file_path <> '' then chr(10) || 'File: ' || file_path else '' end
+query("v02_embeddable_text", """ select id, name || case when package <> '' then chr(10) || 'Package: ' || package else '' end || case when file_path <> '' then chr(10) || 'File: ' || file_path else '' end
  || case when qualified_name <> '' and qualified_name <> name then chr(10) || 'Qualified: ' || qualified_name else '' end || case when coalesce(properties['architectural_role'], '') <> '' then chr(10) || 'Role: ' || properties['architectural_role'] else '' end
  || case when doc_comment <> '' then chr(10) || doc_comment else '' end || case when signature <> '' then chr(10) || signature else '' end as text
  from M where (doc_comment <> '' or signature <> '') and type in ('Function','Method','Class','Struct','Interface','Document','APIEndpoint','Service','DBModel','AIGuideline','Directory','Topic','Person')""", SQL)(lambda g: R.node_texts(g.mn))
