@@ -1,8 +1,9 @@
 """Clustering of embeddings as the studied system defines it: average linkage, noise absorption, DBSCAN, merging,
 splitting, merge suggestions, labels, and non-maximum suppression (L01-L08, A23, A24, T10).
 
-Average linkage and DBSCAN depend on the order of all rows of a run, so a run is one group and at most MAX_RUN rows;
-larger collections are grouped first (the similarity groups of the llm package, or any key)."""
+Average linkage and DBSCAN depend on the order of all rows of a run. cluster_runs takes the runs as given, each of at
+most MAX_RUN rows. cluster_whole clusters a whole collection: neither method ever joins rows that no chain of pairs at
+or above its threshold connects, so the connected parts of that graph are runs that give the result of one run over all."""
 
 from __future__ import annotations
 
@@ -12,9 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
-from ..session import partitions
+from ..session import cut, partitions, ship
+from .components import connected_components
 
 MAX_RUN = 4000
+BLOCK_ROWS, STRIP = 8192, 512
+#: Joins of at least this similarity are made first, in the small connected parts of that level.
+COARSE = 0.6
 LABELS = "run string, id long, cluster int"
 
 
@@ -61,29 +66,90 @@ def agglomerate(u: np.ndarray, images: list, least: float, min_size: int) -> lis
     return [labels[o] for o in owner]
 
 
+def linkage(total: np.ndarray, size: np.ndarray, images: list[set], least: float) -> np.ndarray:
+    """The clusters of `agglomerate` without its matrix: row i is a cluster of size[i] rows whose unit vectors add up to
+    total[i]; the result is each row's first row. Joining two clusters never brings the new one closer to a third than
+    the closer of the two was (a mean lies between its parts, a common image stays one), so all pairs that are each
+    other's nearest can be joined at once and only rows that lose their nearest look for another. Similarities are
+    compared to 12 decimals, ties go to the lower row."""
+    n = len(total)
+    total, size, images = total.copy(), size.astype(np.float64), [set(x) for x in images]
+    where: dict = {}
+    for i, own in enumerate(images):
+        for image in own:
+            where.setdefault(image, set()).add(i)
+    alive, dirty, owner = np.ones(n, bool), np.ones(n, bool), np.arange(n)
+    near, best = np.full(n, -1), np.full(n, -np.inf)
+    while True:
+        live, todo = np.flatnonzero(alive), np.flatnonzero(alive & dirty)
+        mean, place = total[live] / size[live, None], np.full(n, -1)
+        place[live] = np.arange(len(live))
+        for a in range(0, len(todo), STRIP):
+            rows = todo[a : a + STRIP]
+            s = np.round(mean[place[rows]] @ mean.T, 12)
+            for k, row in enumerate(rows):
+                s[k, place[row]] = -np.inf
+                for image in images[row]:
+                    s[k, place[list(where[image])]] = -np.inf
+            at = s.argmax(axis=1)
+            near[rows], best[rows] = live[at], s[np.arange(len(rows)), at]
+        some = np.flatnonzero(alive & (best >= least) & (best > 0))
+        if not len(some):
+            break
+        first = some[(near[near[some]] == some) & (some < near[some])]
+        if not len(first):  # rounding parted the two directions of a pair
+            first = some[[best[some].argmax()]]
+        changed = []
+        for a, b in zip(first.tolist(), near[first].tolist()):
+            a, b = min(a, b), max(a, b)
+            total[a] += total[b]
+            size[a] += size[b]
+            for image in images[b]:
+                where[image].discard(b)
+                where[image].add(a)
+            images[a] |= images[b]
+            alive[b], owner[b] = False, a
+            changed += [a, b]
+        dirty = np.isin(near, changed)
+        dirty[changed] = True
+    while (owner != owner[owner]).any():
+        owner = owner[owner]
+    return owner
+
+
 def dbscan(u: np.ndarray, images: list, least: float, min_pts: int) -> list[int]:
-    """Density clustering in row order; a cluster takes one row per image. -1 is noise."""
+    """Density clustering in row order; a cluster takes one row per image. -1 is noise. Neighbours are found a strip of
+    rows at a time as they are asked for."""
     n, labels, cluster = len(u), [0] * len(u), 0
-    near = (u @ u.T) >= least
+    known: dict[int, np.ndarray] = {}
+
+    def neighbours(i: int, soon) -> np.ndarray:
+        if i not in known:
+            rows = list(dict.fromkeys([i, *[j for j in soon if labels[j] <= 0 and j not in known]]))[:STRIP]
+            known.update(zip(rows, map(np.flatnonzero, (u[rows] @ u.T) >= least)))
+        return known.pop(i)
+
     for i in range(n):
         if labels[i]:
             continue
-        around = [j for j in np.flatnonzero(near[i]) if j != i]
+        around = [j for j in neighbours(i, range(i + 1, min(n, i + STRIP))) if j != i]
         if len(around) + 1 < min_pts:
             labels[i] = -1
             continue
         cluster += 1
         labels[i] = cluster
-        used, queue = {images[i]}, list(around)
-        while queue:
-            j = queue.pop(0)
+        # A row passed over once is passed over for good, so it waits in the queue once.
+        used, queue, waited = {images[i]}, list(around), {i, *around}
+        for at, j in enumerate(queue):
             if labels[j] > 0 or images[j] in used:
                 continue
             labels[j] = cluster
             used.add(images[j])
-            more = [k for k in np.flatnonzero(near[j]) if k != j]
+            more = [k for k in neighbours(j, queue[at + 1 : at + STRIP]) if k != j]
             if len(more) + 1 >= min_pts:
-                queue.extend(k for k in more if labels[k] <= 0)
+                new = [k for k in more if labels[k] <= 0 and k not in waited]
+                queue.extend(new)
+                waited.update(new)
     return labels
 
 
@@ -103,6 +169,94 @@ def cluster_runs(faces: DataFrame, run: str, method: str = "average", least: flo
     return src.groupBy("run").applyInPandas(go, LABELS)
 
 
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of a[i] and b[i]; label holds every row's smallest row."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
+def similar_links(faces: DataFrame, levels: list[float]) -> DataFrame:
+    """(level, u, v): for each of the levels, links that connect all rows which pairs of at least that cosine connect.
+
+    All pairs are compared, a pair of blocks a task; of what a task finds only a spanning star per connected part
+    leaves it. Single precision proposes, double precision decides near a level."""
+    n = max(1, -(-faces.count() // BLOCK_ROWS))
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, block, u = pdf["id"].to_numpy(), pdf["block"].to_numpy(), _units(pdf["embedding"])
+        left, right, w = np.flatnonzero(block == pdf["lo"].iloc[0]), np.flatnonzero(block == pdf["hi"].iloc[0]), u.astype(np.float32)
+        labels = [np.arange(len(ids)) for _ in levels]
+        for at in range(0, len(left), STRIP):
+            rows = left[at : at + STRIP]
+            s = w[rows] @ w[right].T
+            for label, least in zip(labels, levels):
+                r, c = np.nonzero(s >= least - 1e-5)
+                x, y, ok = rows[r], right[c], np.ones(len(r), bool)
+                close = np.flatnonzero(s[r, c] < least + 1e-5)
+                ok[close] = np.einsum("ij,ij->i", u[x[close]], u[y[close]]) >= least
+                _unite(label, x[ok], y[ok])
+        out = [pd.DataFrame({"level": k, "u": ids[x[m]], "v": ids[m]}) for k, x in enumerate(labels) for m in [np.flatnonzero(x != np.arange(len(x)))]]
+        return pd.concat(out).astype({"level": np.int32})
+
+    src = faces.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    paired = src.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "embedding", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"))
+    return paired.groupBy("lo", "hi").applyInPandas(go, "level int, u long, v long")
+
+
+def cluster_whole(faces: DataFrame, method: str = "average", least: float = 0.3, min_size: int = 2, reach: float | None = None) -> DataFrame:
+    """faces(id, image, embedding) -> LABELS: one clustering over all rows, in the order of id. run is the smallest id of
+    the row's connected part at `reach` (at most `least`, which it is if not given); clusters are numbered within it.
+
+    A part is one task of time quadratic in its rows (average linkage: in its clusters at COARSE) and memory in proportion to them."""
+    ship(faces.sparkSession)
+    reach, high = min(least, least if reach is None else reach), max(least, COARSE)
+    src = faces.select(F.col("id").cast("long").alias("id"), "image", "embedding").where("embedding is not null")
+    levels = [reach, high] if method == "average" and high > reach else [reach]
+    links = cut(similar_links(src, levels))
+    parts = [connected_components(links.where(F.col("level") == k).select("u", "v")).withColumnRenamed("component", "run") for k in range(len(levels))]
+
+    def join_high(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        own = linkage(_units(pdf["embedding"]), np.ones(len(pdf)), [{x} for x in pdf["image"]], high)
+        return pd.DataFrame({"id": pdf["id"], "head": pdf["id"].to_numpy()[own]})
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        u = _units(pdf["embedding"])
+        if method != "average":
+            cluster = dbscan(u, pdf["image"].tolist(), least, min_size)
+        else:
+            _, at = np.unique(pdf["head"].to_numpy(), return_inverse=True)
+            count = np.bincount(at)
+            total, images = np.zeros((len(count), u.shape[1])), [set() for _ in count]
+            np.add.at(total, at, u)
+            for k, image in zip(at.tolist(), pdf["image"]):
+                images[k].add(image)
+            own = linkage(total, count, images, least)
+            size = np.bincount(own, weights=count, minlength=len(count))
+            kept = np.flatnonzero(size >= max(min_size, 1))
+            number = np.full(len(count), -1)
+            number[kept] = np.arange(1, len(kept) + 1)
+            cluster = number[own][at]
+        return pd.DataFrame({"run": pdf["run"].astype(str), "id": pdf["id"], "cluster": cluster})
+
+    rows = src.join(parts[0], "id", "left")
+    joined = rows.where("run is not null")
+    if len(parts) > 1:
+        heads = src.join(parts[1], "id").groupBy("run").applyInPandas(join_high, "id long, head long")
+        joined = joined.join(heads, "id", "left").withColumn("head", F.coalesce("head", "id"))
+    else:
+        joined = joined.withColumn("head", F.col("id"))
+    alone = rows.where("run is null").select(F.col("id").cast("string").alias("run"), "id", F.lit(1 if min_size <= 1 else -1).alias("cluster"))
+    return joined.groupBy("run").applyInPandas(go, LABELS).unionByName(alone)
+
+
 def absorb_noise(faces: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """(id, cluster): noise rows join the cluster of their most similar member, unless it has a row of their image;
     ties go to the lower cluster. Pairs are compared within a run only."""

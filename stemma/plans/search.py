@@ -10,6 +10,7 @@ from ..model import SQL
 from ..operators import faces as C
 from ..operators import retrieve as R
 from ..operators import store as S
+from ..session import cut
 from .graph import Graph
 
 QUERIES: dict = {}
@@ -135,31 +136,37 @@ query("p11_directories", """ , d as (select distinct file_path as p from M where
 query("p12_topic_nodes", " select distinct substr(sha256('Topic::' || trim(regexp_replace(lower(name), '\\s+', ' ', 'g'))), 1, 24) as id, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) as topic from M where type = 'Topic'", SQL)(
     lambda g: g.mn.where("type = 'Topic'").select(X.normalize_topic(F.col("name")).alias("topic")).distinct().select(S.node_id("Topic", "", F.col("topic")).alias("id"), "topic"))
 
-# ---- Clustering: runs are the images' folders; pairs never cross a run ------------------------------------------------------------
+# ---- Clustering: of all valid faces, in runs that no similar pair crosses ----------------------------------------------------------
 
 
 def _faces(g):
-    """Valid faces; a run is the record's earlier cluster, bounded like the reference's runs."""
-    from ..functions.scalars import cosine  # noqa: F401
-
+    """Valid faces, whatever cluster they had."""
     f = g.table("face_records").where("size(embedding) = 128")
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    f = f.where(ok & F.col("cluster_id").isNotNull() & (F.col("cluster_id") > 0))
-    n = f.groupBy("cluster_id").agg(F.ceil(F.count("*") / 1000).alias("parts"))
-    return f.join(n, "cluster_id").select(F.col("face_id").alias("id"), F.col("image_path").alias("image"), "embedding", F.concat_ws("/", F.col("cluster_id"), F.pmod(F.xxhash64("face_id"), F.col("parts"))).alias("run"), F.col("cluster_id").alias("cluster"))
+    return f.where(ok).select(F.col("face_id").alias("id"), F.col("image_path").alias("image"), "embedding", F.col("cluster_id").alias("cluster"))
+
+
+def _clustered(g):
+    """Valid faces of the record's earlier clusters."""
+    return _faces(g).where("cluster > 0")
+
+
+def _absorbed(f):
+    labels = cut(C.cluster_whole(f, "average", 0.6, 2, reach=0.5))
+    return C.absorb_noise(f, labels, 0.5).join(labels.select("run", "id"), "id").select("run", "id", "cluster")
 
 
-query("l01_average_linkage")(lambda g: C.cluster_runs(_faces(g), "run", "average", 0.3, 2))
-query("l03_dbscan")(lambda g: C.cluster_runs(_faces(g), "run", "dbscan", 0.75, 2))
-query("l02_absorb_noise")(lambda g: (lambda f: C.absorb_noise(f, C.cluster_runs(f, "run", "average", 0.6, 2), 0.5))(_faces(g)))
+query("l01_average_linkage")(lambda g: C.cluster_whole(_faces(g), "average", 0.3, 2))
+query("l03_dbscan")(lambda g: C.cluster_whole(_faces(g), "dbscan", 0.75, 2))
+query("l02_absorb_noise")(lambda g: _absorbed(_faces(g)))
 query("l06_suggest_merges", """with f as (select face_id, cluster_id as c, embedding::double[] as v from face_records where len(embedding) = 128 and cluster_id > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
  u as (select c, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from f), e as (select c, unnest(v) as x, generate_subscripts(v, 1) as i from u), m as (select c, i, avg(x) as x from e group by 1, 2)
  select a.c as a, b.c as b, round(sum(a.x * b.x), 6) as avg from m a join m b on a.i = b.i and a.c < b.c group by 1, 2 having sum(a.x * b.x) > 0.2""")(
-    lambda g: (lambda f: C.suggest_merges(f, f.select("id", "cluster")))(_faces(g)).withColumn("avg", F.round("avg", 6)))
+    lambda g: (lambda f: C.suggest_merges(f, f.select("id", "cluster")))(_clustered(g)).withColumn("avg", F.round("avg", 6)))
 query("a23_cluster_sizes", "select cluster_id as cluster, count(*) as size from face_records where cluster_id > 0 group by 1")(lambda g: C.cluster_sizes(g.table("face_records").select(F.col("cluster_id").alias("cluster"))))
 query("l04_merge", "select face_id as id, case when cluster_id in (2, 3) then 1 else cluster_id end as cluster from face_records where cluster_id is not null")(
     lambda g: C.merge_clusters(g.table("face_records").where("cluster_id is not null").select(F.col("face_id").alias("id"), F.col("cluster_id").alias("cluster")), g.spark.createDataFrame([(2, "two")], "cluster int, name string"), [2, 3], 1)[0])
-query("l05_split")(lambda g: (lambda f: C.split_cluster(f, f.select("id", "cluster"), 1, 0.75))(_faces(g)))
+query("l05_split")(lambda g: (lambda f: C.split_cluster(f, f.select("id", "cluster"), 1, 0.75))(_clustered(g)))
 query("l08_suppression")(lambda g: C.suppress(g.table("face_records").select(F.col("image_path").alias("image"), F.col("face_idx").alias("idx"), "confidence", "bbox.*")))
 query("p15_appearances", "select distinct 'person ' || cluster_id as person, image_path as image from face_records where cluster_id > 0")(
     lambda g: (lambda f: C.appearances(f.select("id", "image"), f.select("id", "cluster"), f.select("cluster", F.concat(F.lit("person "), F.col("cluster").cast("string")).alias("name")).distinct()))(

@@ -3,6 +3,7 @@ import json
 import subprocess
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,56 @@ def test_clusterings(spark):
     assert sorted(r.idx for r in C.suppress(boxes).collect()) == [0, 2]
 
 
+def plain_dbscan(u, images, least, min_pts):
+    near, labels, cluster = (u @ u.T) >= least, [0] * len(u), 0
+    for i in range(len(u)):
+        if labels[i] == 0 and near[i].sum() < min_pts:
+            labels[i] = -1
+        elif labels[i] == 0:
+            cluster += 1
+            labels[i], used, queue = cluster, {images[i]}, [j for j in np.flatnonzero(near[i]) if j != i]
+            for j in queue:
+                if labels[j] <= 0 and images[j] not in used:
+                    labels[j] = cluster
+                    used.add(images[j])
+                    queue.extend(k for k in np.flatnonzero(near[j]) if k != j and near[j].sum() >= min_pts)
+    return labels
+
+
+def test_whole_clusterings_equal_one_run_over_all(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    x = np.concatenate([centres[rng.integers(0, 12, 260)] + 0.35 * rng.normal(size=(260, 8)), rng.normal(size=(40, 8))])
+    images = [f"i{k}" for k in rng.integers(0, 150, len(x))]
+    f = spark.createDataFrame([(i, images[i], x[i].tolist()) for i in range(len(x))], "id long, image string, embedding array<double>")
+    monkeypatch.setattr(C, "BLOCK_ROWS", 90)
+    u = C._units(x)
+    groups = lambda labels: {frozenset(np.flatnonzero(np.array(labels) == c).tolist()) for c in set(labels) if c > 0}
+
+    def got(df):
+        rows = {r.id: (r.run, r.cluster) for r in df.collect()}
+        assert len(rows) == len(x)
+        return {frozenset(i for i in rows if rows[i] == c) for c in set(rows.values()) if c[1] > 0}
+
+    for least, reach in ((0.3, None), (0.6, 0.5), (0.9, None)):
+        assert got(C.cluster_whole(f, "average", least, 2, reach)) == groups(C.agglomerate(u, images, least, 2))
+    assert got(C.cluster_whole(f, "dbscan", 0.8, 3)) == groups(plain_dbscan(u, images, 0.8, 3))
+
+
+def test_face_queries_take_all_valid_rows(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from stemma.plans import search
+
+    v = lambda k, e=0.0: [float(i == k) + e * (i == 100) for i in range(128)]
+    rows = [(1, "a", v(0), 7), (2, "b", v(0, 0.1), 8), (3, "c", v(0, 0.2), None), (4, "d", v(1), -1), (5, "e", v(1, 0.1), 0), (6, "f", v(2), 7), (7, "g", v(0)[:5], 7), (8, "h", [0.0] * 128, 7)]
+    faces = spark.createDataFrame(rows, "face_id long, image_path string, embedding array<float>, cluster_id int")
+    monkeypatch.setattr(search, "Graph", lambda spark, d: SimpleNamespace(table=lambda name: faces))
+    for name in ("l01_average_linkage", "l02_absorb_noise", "l03_dbscan"):
+        got = {r.id: (r.run, r.cluster) for r in search.QUERIES[name](spark, "").collect()}
+        assert set(got) == {1, 2, 3, 4, 5, 6} and got[1] == got[2] == got[3] != got[4] == got[5] and got[6][1] == -1, name
+
+
 def test_topics_and_directories(spark):
     n, e = D.topic_rows(spark.createDataFrame([("d1", ["A  b", "a B", ""]), ("d2", ["a b"])], "doc_id string, topics array<string>"))
     assert [r.name for r in n.collect()] == ["a b"] and e.count() == 2
