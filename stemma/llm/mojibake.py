@@ -9,6 +9,7 @@ clearly more plausible. Characters already lost (U+FFFD) are a case of their own
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
 import math
@@ -35,6 +36,7 @@ _CYRILLIC = re.compile("[а-яёА-ЯЁ]+")
 _TOKEN = re.compile(r"[^ \t\r\n]+")
 _SPECIAL = re.compile(r"[^\x00-\x7f]|&#|&(?:[AaENOIU][a-z]+|euro);|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|=[C-F][0-9A-F]=|%[C-Fc-f][0-9A-Fa-f]%")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_ESCAPE = re.compile(r"&#?\w{1,8};|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|=[0-9A-F]{2}|%[0-9A-Fa-f]{2}")
 _USUAL = set("äöüßéèêëàâîïôûùçñáíóúãõœæøåìòýãõ")
 _USUAL_UPPER = set("ÄÖÜÉÈÊËÀÂÎÏÔÛÙÇÑÁÍÓÚÃÕŒÆØÅÌÒ")
 _QUIET = set("¡¿«»§©®°±µ·€£¢¥½¼¾²³…–—‘’“”„•™×÷→←↑↓↔⇒≤≥≠≈∞✅✓✔✗★☆№​‍﻿️")
@@ -202,9 +204,10 @@ def _encode(s: str, page: str) -> bytes | None:
     return bytes(out)
 
 
-def _decode(data: bytes, page: str) -> str | None:
+def _decode(data: bytes, page: str, open_end: bool = False) -> str | None:
+    """open_end: the bytes go on, so a character that is unfinished at their end is left out."""
     try:
-        return data.decode(page)
+        return codecs.getincrementaldecoder(page)().decode(data) if open_end else data.decode(page)
     except UnicodeDecodeError:
         return None
 
@@ -220,7 +223,7 @@ def _unescape(s: str) -> str:
     return s
 
 
-def moves(s: str):
+def moves(s: str, open_end: bool = False):
     """(name, text) of all texts one undone mishap away."""
     t = _unescape(s)
     if t != s:
@@ -234,7 +237,7 @@ def moves(s: str):
         for enc in WAS_IN:
             if enc == page or page in WIDE and enc in NARROW:
                 continue
-            t = _decode(data, enc)
+            t = _decode(data, enc, open_end)
             if t is not None and t != s:
                 yield f"{page}>{enc}", t
 
@@ -249,7 +252,22 @@ def step_cost(name: str, path: tuple) -> float:
     return base + (0.6 if path and path != ("unescape",) else 0.0)
 
 
-def search(s: str, model: Plausibility):
+def undo(s: str, path: tuple) -> str | None:
+    """The text that a path leads to, None if it can't be followed."""
+    for name in path:
+        if name == "unescape":
+            s = _unescape(s)
+            continue
+        page, enc = name.split(">")
+        data = _encode(s, page)
+        t = None if data is None else _decode(data, enc)
+        if t is None:
+            return None
+        s = t
+    return s
+
+
+def search(s: str, model: Plausibility, open_end: bool = False):
     """(best text, its cost, path, cost of the start). The start's escapes are undone at no gain: ordinary
     entities of web pages are no mishap."""
     plain = _unescape(s)
@@ -260,7 +278,7 @@ def search(s: str, model: Plausibility):
         cost, _, text, path, spent = heapq.heappop(heap)
         if len(path) >= MAX_DEPTH or cost > begin + 4.0 + 0.5 * len(s):
             continue
-        for name, t in moves(text):
+        for name, t in moves(text, open_end):
             h = hash((t, name.endswith("utf-8")))
             if h in seen:
                 continue
@@ -294,20 +312,7 @@ class Restorer:
         if self.model.cost(_unescape(s)) < MARGIN:  # no path can gain more than the whole cost
             self.memo[s] = (s, 0.0, ())
             return self.memo[s]
-        text, cost, path, start = search(s, self.model) if len(s) <= LONGEST else (s, 0.0, (), 0.0)
-        gain = start - cost
-        if not enough(s, path, gain):
-            # Only a part may be garbled, next to characters the wrong code page never had.
-            out, most, how, at = [], 0.0, (), 0
-            for m in _RUN.finditer(s):
-                for a in range(m.start(), m.end(), LONGEST):
-                    piece = s[a : min(a + LONGEST, m.end())]
-                    t, c, p, b = search(piece, self.model)
-                    if enough(piece, p, b - c):
-                        out.append(s[at:a] + t)
-                        at, most, how = a + len(piece), most + b - c, p
-            out.append(s[at:])
-            text, gain, path = "".join(out), most, how
+        text, gain, path = self.pieces(s)
         if not path or gain < MARGIN:
             text, gain, path = s, 0.0, ()
         if len(self.memo) > 200_000:
@@ -315,6 +320,68 @@ class Restorer:
         self.memo[s] = (text, gain, path)
         return self.memo[s]
 
+    def piece(self, s: str, open_end: bool):
+        """(characters of s that are settled, their restored text, gain, path); no path if s is no case. Where the text
+        goes on behind s, what is settled ends with a whole character of every reading on the path."""
+        t, c, path, start = search(s, self.model, open_end)
+        if not enough(s, path, start - c):
+            return len(s), s, 0.0, ()
+        if not open_end:
+            return len(s), t, start - c, path
+        inside = {k for m in _ESCAPE.finditer(s) for k in range(m.start() + 1, m.end())} if "unescape" in path else ()
+        for n in range(len(s), max(0, len(s) - 256), -1):
+            t = undo(s[:n], path) if n not in inside else None
+            if t is not None:
+                spent = sum(step_cost(name, path[:k]) for k, name in enumerate(path))
+                gain = self.model.cost(_unescape(s[:n])) - self.model.cost(t) - spent
+                return (n, t, gain, path) if enough(s[:n], path, gain) else (len(s), s, 0.0, ())
+        return len(s), s, 0.0, ()
+
+    def pieces(self, s: str):
+        """(restored, gain, path) of a stretch, LONGEST characters at most at a time. A piece ends before a run of
+        non-ASCII characters or an escape; within a longer run the next piece starts where the last one's reading ends."""
+        out, most, how, at, astray = [], 0.0, (), 0, False
+        while at < len(s):
+            end = min(at + LONGEST, len(s))
+            open_end = end < len(s)
+            if open_end and s[end] > "\x7f":
+                back = end
+                while back > at and s[back - 1] > "\x7f":
+                    back -= 1
+                end = back if back > at else end
+            elif open_end:
+                m = next((m for m in _ESCAPE.finditer(s, max(at, end - 10), end + 10) if m.start() < end < m.end()), None)
+                end = m.start() if m and m.start() > at else end
+            part = s[at:end]
+            if part.isascii() and not _SPECIAL.search(part) or self.model.cost(_unescape(part)) < MARGIN:
+                out.append(part)
+                at, astray = end, False
+                continue
+            n, t, gain, path = self.piece(part, open_end)
+            if path:
+                out.append(t)
+                at, most, how, astray = at + n, most + gain, path, False
+                continue
+            # Only a part may be garbled, next to characters the wrong code page never had.
+            done = 0
+            for m in _RUN.finditer(part):
+                # Behind a piece without a reading, a run may begin within a character.
+                for skip in range(0, 4 if astray and m.start() == 0 else 1):
+                    a, goes_on = m.start() + skip, open_end and m.end() == len(part)
+                    if a >= m.end() or m.end() - a == len(part):
+                        continue
+                    n, t, gain, path = self.piece(part[a : m.end()], goes_on)
+                    if path:
+                        out.append(part[done:a] + t)
+                        done, most, how = a + n, most + gain, path
+                        break
+                if path:
+                    part, end = (part[:done], at + done) if goes_on else (part, end)
+            out.append(part[done:])
+            astray = open_end and not (path and done == len(part)) and part[-1] > "\x7f"
+            at = end
+        return "".join(out), most, how
+
     def document(self, text: str | None):
         """(restored text, total gain, paths, lost characters) of a whole text."""
         if not text or text.isascii() and not _SPECIAL.search(text):

@@ -255,6 +255,23 @@ def test_one_byte_pages(restorer, was, read, text):
     assert restorer.document(bad)[1] > 0
 
 
+@pytest.mark.parametrize("read", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("n", [1333, 1334, 1700, 5000])
+def test_long_runs_are_restored_like_short_ones(restorer, read, n):
+    text = ("依存関係は日に確認しました。節点の一覧を記録する。" * n)[:n]
+    bad = "".join(chr(b) if read == "latin-1" or b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in text.encode())
+    assert restorer.document(bad)[0] == text
+    mixed = "{" + '"k":"v",' * 700 + bad + '"k":1,' * 900 + bad + "}"
+    assert restorer.document(mixed)[0] == mixed.replace(bad, text)
+    escaped = "".join(f"&#{ord(c)};" for c in text.encode().decode("latin-1"))
+    assert restorer.document(escaped)[0] == text
+
+
+def test_long_clean_runs_are_no_case(restorer):
+    for text in ("依存関係は確認しました。" * 900, "é" * 9000, "x" * 9000 + "Größe", "Каждыйсписок" * 900):
+        assert restorer.document(text)[:2] == (text, 0)
+
+
 def test_garbled_frames(spark):
     rows = [(1, TEXTS[0]), (2, DAMAGE[1](TEXTS[0])), (3, None), (4, ""), (5, "lost: caf\ufffd"), (2, DAMAGE[1](TEXTS[0])), (6, "x" * 50_000 + " " + "é" * 5000)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, gain double")
