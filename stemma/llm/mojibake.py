@@ -27,8 +27,6 @@ from ..session import partitions, ship
 # Code pages that texts are wrongly read in, and encodings they were really in.
 READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "gbk", "cp932", "mac_cyrillic", "iso8859_5", "cp1250", "iso8859_15"]
 WAS_IN = ["utf-8", "cp1252", "cp1251", "koi8_r", "cp866", "mac_roman", "cp932", "euc_jp", "gbk", "iso8859_5", "mac_cyrillic", "cp437", "cp850"]
-#: Two-byte pages swallow whatever follows; of one-byte pages only the usual ones are told apart after that.
-WIDE, NARROW = {"gbk", "cp932"}, {"koi8_r", "cp866", "mac_roman", "iso8859_5", "mac_cyrillic", "cp437", "cp850"}
 MARGIN, MAX_STATES, MAX_DEPTH, LONGEST = 0.5, 400, 4, 4000
 # Mishaps seen often; a step of another kind has to gain more.
 USUAL_STEPS = {"cp1252>cp1251", "cp1251>cp1252", "cp1251>koi8_r", "koi8_r>cp1251", "cp1251>cp866", "cp1252>koi8_r", "cp1252>mac_roman", "mac_roman>cp1252", "cp1252>cp437", "cp1252>cp850", "cp437>cp1252", "cp850>cp1252", "cp1252>cp932", "cp932>euc_jp", "cp1252>euc_jp", "cp1252>gbk", "latin-1>cp932", "latin-1>cp1251", "gbk>cp932", "gbk>euc_jp"}
@@ -162,7 +160,8 @@ class Plausibility:
         shout = 0.25 if len(word) >= 4 and word.isupper() else 0.0
         return odd + shout + 0.3 * caps
 
-    def cost(self, s: str) -> float:
+    def cost(self, s: str, limit: float = math.inf) -> float:
+        """Every character and pair adds to the cost, so from `limit` on the rest of the text need not be looked at."""
         c = self.known.get(s)
         if c is not None:
             return c
@@ -178,6 +177,8 @@ class Plausibility:
                     total += _PAIR.get(last + k, 0.0)
             if k == "L" and last == "a" and before.islower():
                 total += 0.9
+            if total >= limit:
+                return total
             earlier, last, before = last, k, ch
         for m in _CYRILLIC.finditer(s):
             total += self.letters(m.group())
@@ -231,11 +232,11 @@ def moves(s: str, open_end: bool = False):
     done = set()
     for page in READ_AS:
         data = _encode(s, page)
-        if data is None or (page, data) in done:
+        if data is None or data in done:  # equal bytes give equal readings
             continue
-        done.add((page, data))
+        done.add(data)
         for enc in WAS_IN:
-            if enc == page or page in WIDE and enc in NARROW:
+            if enc == page:
                 continue
             t = _decode(data, enc, open_end)
             if t is not None and t != s:
@@ -285,7 +286,7 @@ def search(s: str, model: Plausibility, open_end: bool = False):
             seen.add(h)
             n += 1
             now = spent + step_cost(name, path)
-            c = model.cost(t) + now
+            c = model.cost(t, max(best[0], cost + 1.5) - now) + now
             if c < best[0] - 1e-9:
                 best = (c, t, (*path, name))
             if c < cost + 1.5:

@@ -255,6 +255,27 @@ def test_one_byte_pages(restorer, was, read, text):
     assert restorer.document(bad)[1] > 0
 
 
+def test_every_encoding_is_read_after_every_page():
+    tried = {}
+    for page in mojibake.READ_AS:
+        for enc in mojibake.WAS_IN:
+            # Two bytes that a page and an encoding both know, of different characters.
+            for data in (bytes([a, b]) for a in range(0xA1, 0xF0, 3) for b in range(0xA1, 0xF0, 3)):
+                s, t = mojibake._decode(data, page), mojibake._decode(data, enc)
+                if s and t and s != t and mojibake._encode(s, page) == data:
+                    tried[page, enc] = t in {x for _, x in mojibake.moves(s)}
+                    break
+    assert all(tried.values()) and {(p, e) for p in ("gbk", "cp932") for e in ("koi8_r", "cp866", "mac_roman", "iso8859_5", "mac_cyrillic", "cp437", "cp850")} <= set(tried)
+
+
+def test_a_limit_only_stops_texts_beyond_it(restorer):
+    for t in [*CLEAN, *TEXTS, *(d(t) for d in DAMAGE for t in TEXTS)]:
+        whole = mojibake.Plausibility(restorer.model.counts).cost(t)
+        for limit in (0.0, 0.7 * whole, whole, whole + 1e-6):
+            c = mojibake.Plausibility(restorer.model.counts).cost(t, limit)
+            assert c == whole or limit <= c <= whole
+
+
 @pytest.mark.parametrize("read", ["latin-1", "cp1252"])
 @pytest.mark.parametrize("n", [1333, 1334, 1700, 5000])
 def test_long_runs_are_restored_like_short_ones(restorer, read, n):
