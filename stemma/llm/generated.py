@@ -5,7 +5,8 @@ generated  a generation notice anywhere in the leading or closing comments, foun
            automaton (Aho-Corasick), the path of a generator's output, or a body of a few line shapes;
 minified   code with almost no blanks, whatever its suffix;
 vendored   an upstream notice in the leading comments, a copy of a catalogued library file (blanks and line
-           ends ignored), or a package manager's directory;
+           ends ignored), a package manager's directory, or a directory for others' code (vendor, third_party,
+           external, deps) with a second sign: a library's folder in it or the file's licence header;
 data       literals make up nearly all of the file.
 Hand-written code that only mentions such things has them in strings or later comments, not in its header."""
 
@@ -41,6 +42,16 @@ GENERATED_PATH = re.compile(
     r"|\.(gen|generated|g)\.\w+$|_autogen\.\w+$|\.Designer\.(cs|vb)$|(Grpc|OuterClass)\.java$|^.*\.min\.\w+\.map$"
 )
 PACKAGE_PATH = re.compile(r"(^|/)(node_modules|bower_components|jspm_packages|site-packages|Godeps/_workspace|Pods|Carthage/Checkouts)/")
+# Directories for others' code, folders that are parts of an application and no library,
+# and licence headers (an SPDX line alone is what a firm's own files carry).
+OTHERS_PATH = re.compile(r"(?:^|.*?/)(?:vendor|third_party|external|deps)/(?P<rest>.+)$")
+LAYOUT = set(
+    "app api apis models model entities entity domain controllers controller views view schemas schema services service handlers handler routes router routers "
+    "components pages repositories repository migrations types serializers forms admin auth common core shared utils util helpers internal clients client tests test spec".split())
+VERSION = re.compile(r"(?:^|[-_@.])v?\d+(?:[._]\d+)+")
+LICENCE = re.compile(
+    r"permission is hereby granted|redistribution and use in source|licen[cs]ed under the|released under the|distributed under the|dual licen[cs]ed|@licen[cs]e|\b(?:mit|bsd|isc|apache|zlib|boost|mozilla public|gnu (?:lesser |affero )?general public)[\w. -]{0,20}licen[cs]e"
+    r"|subject to the terms of the|copyright (?:\(c\) |© )?[\d, -]*\d{4}[\d, -]*.*\b(?:authors|contributors|foundation|project|developers|maintainers|team)\b", re.I)
 LOCK_NAMES = {
     "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "gemfile.lock", "cargo.lock", "poetry.lock",
     "pipfile.lock", "go.sum", "packages.lock.json", "uv.lock",
@@ -195,11 +206,26 @@ class Catalogue:
         return any(n >= 3 and (n >= self.least * self.sizes[k] or n >= self.least * len(own)) for k, n in hits.items())
 
 
+def others(path: str, head: str) -> bool:
+    """Whether a file lies in a directory for others' code and a second sign says that it is a copy: the folder of a
+    library below it, with or without version, or a licence in the file's header. Below a part of an application (as
+    app/models/vendor) the directory's name is a word of the trade; there only a folder with a version counts."""
+    m = OTHERS_PATH.match(path)
+    if not m:
+        return False
+    above, folders = path[: m.start("rest")].rstrip("/").split("/")[:-1], m["rest"].split("/")[:-1]
+    if any(VERSION.search(x) for x in folders):
+        return True
+    if above and above[-1].lower() in LAYOUT:
+        return False
+    return bool(folders) and folders[0].lower() not in LAYOUT or bool(LICENCE.search(head))
+
+
 def judge(path: str, text: str, machine, catalogue: Catalogue):
     head = header(text)
     name = path.rsplit("/", 1)[-1].lower()
     generated = noticed(head, machine) or noticed(footer(text), machine) or bool(GENERATED_PATH.search(path)) or name in LOCK_NAMES
-    vendored = bool(UPSTREAM.search(head)) or bool(PACKAGE_PATH.search(path)) or catalogue.copies(text)
+    vendored = bool(UPSTREAM.search(head)) or bool(PACKAGE_PATH.search(path)) or others(path, head) or catalogue.copies(text)
     share, size = data_share(text)
     data, dense = share >= 0.85 and size >= 1000, minified(text, path)
     if not (generated or data or dense or vendored):

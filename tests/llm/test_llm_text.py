@@ -178,6 +178,15 @@ def test_reasons(spark):
     assert generated.file_reasons(df.limit(0), lib).count() == 0
 
 
+@pytest.mark.parametrize("path,head,copy", [
+    ("web/vendor/oxbow/a.go", "", True), ("third_party/kit-1.2.3/a.go", "// Copyright 2010 Jo Doe\n", True), ("svc/external/kettle_2.0/src/a.go", "", True), ("deps/parsnip/parse.go", "", True), ("vendor/github.com/x/y/a.go", "", True),
+    ("static/vendor/kit.js", "/*!\n * Released under the MIT license\n */\n", True), ("vendor/kit.c", "// Redistribution and use in source and binary forms, with or without\n", True), ("third_party/a.go", "// Licensed under the Apache License, Version 2.0\n", True), ("web/models/vendor/kit-1.2/a.go", "", True),
+    ("app/models/vendor/sample.go", "", False), ("app/models/vendor/orders/sample.go", "", False), ("app/vendor/model.go", "", False), ("app/vendor/model.go", "// SPDX-License-Identifier: MIT\n", False), ("app/api/deps/auth/token.go", "", False), ("web/vendor/model.go", "// Pays vendors.\n", False), ("web/vendor/export.go", "// Copyright 2023 Firm\n// SPDX-License-Identifier: Apache-2.0\n", False), ("web/vendors/export.go", "", False), ("web/vendors.go", "// Licensed under the MIT licence\n", False), ("web/external/client.go", "", False)])
+def test_directories_for_others_code(path, head, copy):
+    machine = generated.automaton(generated.NOTICES, generated.RETRACTIONS)
+    assert generated.judge(path, head + HAND, machine, generated.Catalogue([])) == (False, False, copy, False)
+
+
 # ---- 4: functions and their documentation --------------------------------------------------------------------------------------------
 
 
