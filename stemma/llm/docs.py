@@ -34,18 +34,31 @@ _TOOL = re.compile(
     r"^(?:noqa\b|nolint\b|eslint[-\w]*|ts-(?:ignore|expect-error|nocheck)|tslint:|jshint|jslint|istanbul\b|c8 ignore|v8 ignore|prettier-ignore|pylint:|flake8:|mypy:|pyright:|type:\s*ignore|"
     r"pragma\b|nosec\b|nosonar\b|rubocop:|standard:|checkstyle|spotless|go:\w+|lint:\w+|\+build\b|rustfmt::|clippy::|allow\(|suppresswarnings|suppress\b|resharper\b|noinspection\b|stylecop|codeql|coverage:|"
     r"#?region\b|#?endregion\b|mark:|pragma mark|generated by|language=|vim:|-\*-|fmt:|yapf:|isort:|black:|sonar\b|biome-ignore|deno-lint-ignore|phpcs:|psalm-|swiftlint:|ktlint|detekt|nocov|skipcq|cspell:|spell-checker:)", re.I)
-_RIGHTS = re.compile(r"spdx-license-identifier|copyright\b|\(c\)\s*\d{4}|all rights reserved|licen[cs]ed (?:under|to)|use of this source|governed by the licen[cs]e|licence in the|license in the|^author\b|^authors?:|^written by\b|^maintainer|^created by\b|^since\b\s*[\d.]+|^version\b\s*[\d.]+", re.I)
+_RIGHTS = re.compile(
+    r"^\W*(?:spdx-license-identifier|copyright\b(?=\W*(?:$|\(c\)|©|\d{4}|by\b|notice\W*$|(?-i:[A-Z])))|©|(?:this|the) (?:\w+ ){1,3}(?:is|are) (?:free software|licen[cs]ed (?:under|to)\b)|(?:dual[- ])?licen[cs]ed (?:under|to)\b|"
+    r"use of this source|governed by the licen[cs]e|authors?(?:\s*[:=]|\W*$|\s+(?-i:[A-Z]))|(?:written|created) by\b\s*(?:$|:|(?-i:[A-Z]))|maintainers?(?:\s*:|\W*$|\s+(?-i:[A-Z]))|(?:since|version)\s*:?\s*v?[\d.]+\W*$)|"
+    r"\(c\)\s*\d{4}|all rights reserved\W*$|\bis governed by the licen[cs]e|licen[cs]e in the (?:\w+ ){0,2}(?:root|licen[cs]e|copying|file|repository|project|distribution)", re.I)
 _TODO = re.compile(r"\b(?:TODO|FIXME|XXX|HACK|TBD|WIP)\b.*", re.S)
 _TODO_LOW = re.compile(r"^(?:todo|fixme|xxx|hack|tbd|tba|wip)\b", re.I)
+# A sentence points elsewhere if it is such a phrase and its target; what follows the target in a clause of its own is
+# said here. Words that may as well tell what a function does point only if nothing but names and _TARGET words follow.
 _POINTER = re.compile(
-    r"^(?:\{?@?(?:see|inheritdoc|link|ref)\b|refer to\b|cf\.|compare\b|same as\b|as above|as below|ditto\b|idem\b|dito\b|siehe\b|voir\b|véase\b|ver\b|veja\b|см\b|смотри|inherited\b|overrides?\b|implements?\b|documented (?:in|at|elsewhere)|"
+    r"^(?:\{?@(?:see|inheritdoc|link|ref)\b|(?:see|inheritdoc)\b|refer to\b|cf\.|same as\b|as above|as below|ditto\b|idem\b|dito\b|siehe\b|voir\b|véase\b|ver\b|veja\b|см\b|смотри|inherited\b|documented (?:in|at|elsewhere)|"
     r"(?:for )?(?:details|documentation|docs|more)[^.]{0,20}\bsee\b)", re.I)
+_POINTER_OR_VERB = re.compile(r"^(?:compare(?: (?:to|with))?|overrides?|implements?|link|ref)\b", re.I)
+_CLAUSE = re.compile(r"[;,]|\s[-–—]\s|\b(?:but|except|because|which|unless|instead|otherwise|and (?:also|then))\b")
+_TARGET = set("interface interfaces base parent super superclass subclass class trait protocol abstract virtual method methods member documentation docs doc details detail info information description comment above below here there section file page spec contract same corresponding inherited".split())
+_NAMED = re.compile(r"`[^`]*`|\{@[^}]*\}|https?://\S+|\w+(?:(?:\.|::|#|->|/)\w+)+(?:\(\))?|#\w+|\w+\(\)|\b\w*[a-z]\w*[A-Z]\w*|\b\w+_\w+|\b(?-i:[A-Z])\w*")
+_END = (
+    r"(?:\W+(?:here|goes|go|of|for|to|the|this|that|these|it|its|a|an|in|method|function|class|constructor|type|field|member|param|parameters?|returns?|value|text|description|documentation|docs?|comment|summary|what|does|do|later|soon|please|missing|needed|required|pending|follows|coming|"
+    r"unavailable|not|yet|now|be|is|are|was|added|written|done|defined|documented|completed|filled|provided|given|available|found|exists?|stub|block|code|todo|tbd|and|or|by|author|developer|there))*\W*")
 _PLACEHOLDER = re.compile(
-    r"^(?:n/?a|none|nil|empty|todo|tbd|tba|wip|xxx+|\?+|\.{2,}|…+|-+|lorem ipsum.*|placeholder.*|(?:auto-?generated|generated) (?:method|function|constructor|catch|code|javadoc|documentation)?\s*(?:stub|block)?.*|"
-    r"(?:insert|add|write|put|enter|provide|fill in|missing|no|needs?|pending|your|some|short|brief|proper)\b[^.]{0,25}\b(?:description|documentation|docs?|docstring|comment|summary|text|javadoc)\b.*|"
-    r"(?:description|documentation|docs?|docstring|summary|comment|javadoc)\s+(?:of|for|goes|pending|missing|needed|required|here|to come|to be|follows|tbd|coming|unavailable|not)\b.*|"
-    r"(?:description|documentation|docs?|docstring|_?summary_?|comment|doc)|undocumented|(?:document|describe|explain) (?:this|me|it)|to be (?:done|documented|written|completed|defined).*|coming soon|"
-    r"beschreibung (?:fehlt|folgt).*|à (?:compléter|documenter|faire).*|por (?:hacer|documentar|definir).*|a (?:definir|documentar).*|sin (?:descripción|documentación)|sem (?:descrição|documentação)|ohne beschreibung|keine beschreibung|pas de description)$", re.I)
+    r"^(?:n/?a|none|nil|empty|todo|tbd|tba|wip|xxx+|\?+|\.{2,}|…+|-+|lorem ipsum.*|placeholder" + _END + r"|(?:auto-?generated|generated) (?:method|function|constructor|catch|code|javadoc|documentation)?\s*(?:stub|block)?" + _END + r"|"
+    r"(?:insert|add|write|put|enter|provide|fill in|missing|no|needs?|pending|your|some|short|brief|proper)\b(?:\s+(?:a|an|the|in|your|my|some|any|proper|short|brief|meaningful|useful|better|more|detailed|good|full|real|actual|further|missing|method|function|class|code|java|api|here|is|this|of))*\s+"
+    r"(?:description|documentation|docs?|docstring|comment|summary|text|javadoc)\b" + _END + r"|"
+    r"(?:description|documentation|docs?|docstring|summary|comment|javadoc)\s+(?:of|for|goes|pending|missing|needed|required|here|to come|to be|follows|tbd|coming|unavailable|not)\b" + _END + r"|"
+    r"(?:description|documentation|docs?|docstring|_?summary_?|comment|doc)|undocumented|(?:document|describe|explain) (?:this|me|it)|to be (?:done|documented|written|completed|defined)" + _END + r"|coming soon|"
+    r"beschreibung (?:fehlt|folgt)(?:\W+\w+){0,2}|à (?:compléter|documenter|faire)(?:\W+\w+){0,2}|por (?:hacer|documentar|definir)(?:\W+\w+){0,2}|a (?:definir|documentar)(?:\W+\w+){0,2}|sin (?:descripción|documentación)|sem (?:descrição|documentação)|ohne beschreibung|keine beschreibung|pas de description)$", re.I)
 _FILLER = set(
     "a an the this that these those it its of for to in on at by with and or is are be as does do did done will can when used use uses using called call calls method methods function functions func fn procedure routine "
     "getter setter accessor mutator constructor helper implementation implements performs perform executes execute handles handle runs value values object instance given "
@@ -89,6 +102,20 @@ def _name_stems(name: str) -> set[str]:
     return {_stem(p) for p in parts} | {_stem(p) for p in re.findall(r"[^\W\d_]+", name or "")} | {_stem(re.sub(r"[\W_]", "", name or ""))}
 
 
+def _beyond_pointer(bare: str) -> str:
+    """A sentence without the part that only points elsewhere."""
+    m = _POINTER.match(bare)
+    if m:
+        clause = _CLAUSE.search(bare, m.end())
+        return _NAMED.sub(" ", bare[clause.end() :]) if clause else ""
+    m = _POINTER_OR_VERB.match(bare)
+    if m:
+        rest = _NAMED.sub(" ", bare[m.end() :])
+        if not any(w.lower() not in _TARGET | _FILLER and len(w) > 1 for w in _WORD.findall(rest)):
+            return ""
+    return bare
+
+
 def words_said(name: str | None, doc: str | None, body: str | None = None) -> int:
     """How many words of a documentation comment say something beyond the function's name; CJK text counts two
     characters as a word. 0 for what only marks, points elsewhere, instructs tools, states rights, is code or to do. Lines
@@ -122,10 +149,11 @@ def words_said(name: str | None, doc: str | None, body: str | None = None) -> in
         for sentence in re.split(r"(?<=[.!?。])\s+", s):
             sentence = _TODO.sub("", sentence).strip()
             bare = sentence.strip(" \t.!?:;-–—*_[](){}<>\"'`~=#|/\\")
-            if not bare or _TODO_LOW.match(bare) or _PLACEHOLDER.match(bare) or _POINTER.match(bare) or _TOOL.match(sentence):
+            if not bare or _TODO_LOW.match(bare) or _PLACEHOLDER.match(bare) or _TOOL.match(sentence):
                 if _TODO_LOW.match(bare):
                     break
                 continue
+            bare = _beyond_pointer(bare)
             cjk = len(_CJK.findall(bare))
             if cjk:
                 total += cjk // 2

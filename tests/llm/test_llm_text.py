@@ -204,6 +204,19 @@ def test_what_says_something(name, doc, says):
     assert docs.informative(name, doc) is says
 
 
+@pytest.mark.parametrize(
+    "doc,says",
+    [
+        ("Compare two versions by precedence and return -1, 0 or 1.", True), ("Implements exponential backoff between retries.", True), ("Overrides the default timeout for slow links.", True), ("Add a comment to the given issue and return its id.", True),
+        ("Write the summary table to the report folder.", True), ("Strips the copyright line from each file.", True), ("Copyright headers are checked before the upload.", True), ("Summary of open orders per customer.", True), ("Placeholder shown while the image loads.", True),
+        ("Author names are sorted by surname.", True), ("Link the two accounts.", True), ("Same as parse, but keeps trailing comments.", True), ("Insert the parsed node and its description.", True), ("Since 3.2 the cache is shared by all workers.", True), ("Created by the scheduler for every job.", True),
+        ("Implements io.Reader.", False), ("Implements the Reader interface.", False), ("Overrides the method of the base class.", False), ("Compare Foo.bar().", False), ("See Foo, Bar and Baz for details.", False), ("See the ledger service for settlement rules.", False), ("{@link Foo#bar}", False),
+        ("Add a description here.", False), ("Write documentation for this method.", False), ("Missing docs.", False), ("Description goes here", False), ("Auto-generated method stub", False), ("placeholder text", False), ("To be documented later.", False),
+        ("Copyright 2024 The Firm Authors.", False), ("Copyright Firm Inc.", False), ("Licensed under the MIT licence.", False), ("Author: Jo Doe", False), ("Written by Jo Doe", False), ("Since 1.2", False), ("Firm Inc. All rights reserved.", False)])
+def test_only_whole_sentences_are_pointers_or_notices(doc, says):
+    assert docs.informative("f", doc) is says
+
+
 def test_pairs_of_nodes_and_sources(spark):
     src = "package a\n\n// Pay sends the money unless the order is closed.\nfunc Pay(x int) int {\n\treturn x // }\n}\n\n// Run\nfunc Run() {}\n"
     files = spark.createDataFrame([("a.go", None, bytearray(b"old")), ("a.go", 1, bytearray(src.encode()))], "path string, t int, content binary").withColumn("modification_time", F.timestamp_seconds("t"))
