@@ -83,6 +83,19 @@ query("e10_markdown_sections", _MD + " select distinct 'd/' || doc_id || '.md' a
     lambda g: E.extract(g.table("documents").where("text is not null and not contains(text, '```') and not startswith(text, '---')").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))).where("element_at(properties, 'kind') = 'section'").select("file_path", "name").distinct())
 query("e16_generic_documents", "select 'd/' || doc_id || '.text' as path, 'sha256:' || sha256(text) as hash from documents where text is not null and not contains(text, chr(13))")(
     lambda g: E.extract(g.table("documents").where("text is not null and not contains(text, '\r')").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".text")).alias("path"), F.col("text").alias("content"))).where("kind = 'node'").select(F.col("file_path").alias("path"), F.element_at("properties", "content_hash").alias("hash")))
+
+
+def _documents(g, suffix):
+    """All documents with a text, as files."""
+    return g.table("documents").where("text is not null").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), F.col("text").alias("content"))
+
+
+# The two queries above leave out what their SQL can't follow (fences, front matter, carriage returns); these take every document.
+query("e10_markdown_nodes")(
+    lambda g: E.extract(_documents(g, ".md")).where("kind = 'node'").select(
+        "file_path", "type", "name", "line", "end_line", *[F.element_at("properties", k).alias(k) for k in ("kind", "level", "lang")], F.to_json(F.map_filter("properties", lambda k, _: k.startswith("fm_"))).alias("front_matter")))
+query("e16_all_documents")(
+    lambda g: E.extract(_documents(g, ".text")).where("kind = 'node'").select(F.col("file_path").alias("path"), F.element_at("properties", "content_hash").alias("hash")))
 query("p13_document_nodes", "select distinct substr(sha256('Document:' || path || ':' || path), 1, 24) as id, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as package, 'sha256:' || sha256(content) as content_hash, length as size from source_files")(
     lambda g: D.document_nodes(_files(g)).select("id", "package", "content_hash", "size").distinct())
 query("b04_cache_misses", "select sha256(content) as hash from source_files where path not like '%.go' and sha256(content) not in (select sha256(content) from source_files where path like '%.go') group by 1")(

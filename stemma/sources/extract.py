@@ -382,11 +382,13 @@ def parser_for(path: str) -> Callable:
     return _BY_NAME.get(base) or _BY_SUFFIX.get(base.rsplit(".", 1)[-1].lower() if "." in base else "") or parse_other
 
 
-def records(path: str, text: str):
-    """ROWS of one file."""
+def records(path: str, text: str, raw: bytes | None = None):
+    """ROWS of one file. Parsers see line feeds only; a content hash is of the file as it is."""
     for r in parser_for(path)(path, text.replace("\r\n", "\n")):
         if r[0] == "node":
             _, kind, name, line, end, package, language, exported, signature, doc, props = r
+            if "content_hash" in props:
+                props["content_hash"] = "sha256:" + hashlib.sha256(text.encode("utf-8", "replace") if raw is None else raw).hexdigest()
             qualified = f"{package}.{props['receiver']}.{name}" if props.get("receiver") else f"{package}.{name}" if package else name
             yield ("node", key_id(f"{kind}:{path}:{name}"), kind, name, qualified, path, line, end or line, package, language, exported, signature, doc, props, "", "")
         else:
@@ -406,7 +408,8 @@ def extract(files: DataFrame, path: str = "path", content: str = "content") -> D
         for pdf in frames:
             out = []
             for p, c in zip(pdf["path"], pdf["content"]):
-                out.extend(records(p, c.decode("utf-8", "replace") if isinstance(c, (bytes, bytearray)) else c or ""))
+                is_bytes = isinstance(c, (bytes, bytearray))
+                out.extend(records(p, c.decode("utf-8", "replace") if is_bytes else c or "", bytes(c) if is_bytes else None))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     src = files.select(F.col(path).alias("path"), F.col(content).alias("content")).where("path is not null")

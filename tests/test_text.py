@@ -179,6 +179,40 @@ def test_clusterings(spark):
     assert sorted(r.idx for r in C.suppress(boxes).collect()) == [0, 2]
 
 
+def test_all_documents_are_parsed(spark, monkeypatch):
+    import hashlib
+    from types import SimpleNamespace
+
+    from stemma.plans import ingest
+
+    bodies = ["---\ntitle: \"A b\"\nowner: me\n---\n# Top\n\n```go\n# no section\n```\n## Sub\n", "```\n# inside\n---\n```\n# Out\n", "# One\n---\n# Two\n", "---\n# Never closed\n", "plain\n", "# Open\n```py\n# lost\n", "---\nk: v\n---\n"]
+    texts = dict(enumerate([x for b in bodies for x in (b, b.replace("\n", "\r\n"))] + ["", None, "a\rb"]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(ingest, "Graph", lambda spark, d: SimpleNamespace(table=lambda name: docs))
+    want = set()
+    for i, text in texts.items():
+        lines = (text or "").replace("\r\n", "\n").split("\n")
+        closed = lines[0] == "---" and "---" in lines[1:]
+        fence = None
+        for k, x in enumerate(lines):
+            if closed and k <= lines.index("---", 1):
+                continue
+            if x.startswith("```"):
+                want |= {(f"d/{i}.md", f"code-block:{fence[0]}", fence[0], "code-block", fence[1])} if fence else set()
+                fence = None if fence else (k + 1, x[3:] or "text")
+            elif x.startswith("#") and not fence:
+                want.add((f"d/{i}.md", x.lstrip("# "), k + 1, "section", None))
+    rows = ingest.QUERIES["e10_markdown_nodes"](spark, "").collect()
+    assert {(r.file_path, r.name, r.line, r.kind, r.lang) for r in rows if r.kind in ("section", "code-block")} == want
+    front = {r.file_path: json.loads(r.front_matter) for r in rows if r.kind is None}
+    assert set(front) == {f"d/{i}.md" for i, t in texts.items() if t is not None}
+    assert front["d/0.md"] == front["d/1.md"] == {"fm_title": "A b", "fm_owner": "me"} and front["d/12.md"] == front["d/13.md"] == {"fm_k": "v"} and front["d/6.md"] == {}
+    got = {r.path: r.hash for r in ingest.QUERIES["e16_all_documents"](spark, "").collect()}
+    assert got == {f"d/{i}.text": "sha256:" + hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items() if t is not None}
+    raw = E.extract(spark.createDataFrame([("x.bin2", bytearray(b"a\r\n\xff"))], "path string, content binary")).first()
+    assert raw.properties["content_hash"] == "sha256:" + hashlib.sha256(b"a\r\n\xff").hexdigest()
+
+
 def plain_dbscan(u, images, least, min_pts):
     near, labels, cluster = (u @ u.T) >= least, [0] * len(u), 0
     for i in range(len(u)):
