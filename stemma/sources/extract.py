@@ -128,7 +128,7 @@ def parse_code(path: str, text: str):
             yield "edge", "Contains", own, f"{kind}:{path}:{name}"
     types = [(m.start(), m.group(1)) for kind, pattern in _TYPES[family] for m in re.finditer(pattern, code, re.M)]
     lines = code.split("\n")
-    for name, line, end, signature, doc, _ in functions_of(text, path):
+    for name, line, end, signature, doc, _, _ in functions_of(text, path):
         receiver = ""
         if language == "go" and (m := re.match(r"func\s*\(\s*\w*\s*\*?(\w+)", signature)):
             receiver = m.group(1)

@@ -150,6 +150,21 @@ def test_extract_frames(spark):
     assert E.extract(df.limit(0)).count() == 0
 
 
+def test_lexer_states():
+    """Nested comments, raw strings, lifetimes, templates with code inside, regular expressions and heredocs."""
+    rs = 'fn a<\'x>(s: &\'x str) { let c = \'{\'; /* a /* nested } */ } */ let r = r#"}"#; }\n/// Doc\nfn b() { }\n'
+    assert [(f[0], f[1], f[2], f[4]) for f in lexer.functions_of(rs, "a.rs")] == [("a", 1, 1, ""), ("b", 3, 3, "/// Doc")]
+    js = 'function a() { const r = /[{"]/g; const t = `x ${ {a: `in ${1} }`}.a } {`; return x / 2 / y; }\n/** Doc. */\nconst b = (x) => { return "}" }\n'
+    assert [(f[0], f[1], f[2], f[4]) for f in lexer.functions_of(js, "a.js")] == [("a", 1, 1, ""), ("b", 3, 3, "/** Doc. */")]
+    rb = 'def a\n  x = <<~END\n    def not\n  END\n  s = "a #{ {b: "}"} } end"\nend\n# Doc\ndef b\n  %w[if do]\nend\n'
+    assert [(f[0], f[1], f[2], f[4]) for f in lexer.functions_of(rb, "a.rb")] == [("a", 1, 6, ""), ("b", 8, 10, "# Doc")]
+    cs = 'public void A() { var s = @"a""{"; var r = """ { """; }\n'
+    assert [(f[0], f[2]) for f in lexer.functions_of(cs, "a.cs")] == [("A", 1)]
+    for kind in ("c", "go", "rust", "java", "cs", "python", "ruby"):
+        for bad in ("", '"', "'", "`", "/*", '"""', "${", "`${", "}", "r#", "<<~A", "/", '"#{', "%w[", "=begin"):
+            assert all(0 <= a < b <= len(bad) for _, a, b in lexer.lex(bad, kind))
+
+
 def test_lexer_strings_and_comments():
     src = 'x = "// no" # yes\n"""\n# in string\n"""\n'
     assert [k for k, _, _ in lexer.lex(src, "python")] == ["string", "comment", "string"]
