@@ -1,23 +1,24 @@
 """Problem 4: functions paired with their documentation.
 
-A lexer divides source text into code, strings and comments; its states know each language's string and
-comment forms, so braces and keywords inside them don't count. Functions are found in what is left,
-delimited by matched braces (indentation in Python, keyword pairs in Ruby), and get the documentation comment that
-stands directly before them (the docstring in Python). Descriptions are cleaned of marks and judged: what says
-nothing in words beyond the function's name is dropped."""
+A state machine (functions/lexer.py) divides source text into code, strings and comments, so braces and keywords
+inside strings and comments don't count. Functions are found in what is left, delimited by matched braces (indentation
+in Python, keyword pairs in Ruby), and get the documentation comment that stands directly before them (the docstring in
+Python). In the same pass each comment is cleaned of marks and judged beside its function's name and body: what says
+nothing in words beyond them is dropped. Nodes take the verdict on the function at their place."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexer import family, functions_of, lex, masked
+from ..functions.lexer import functions_of
 from ..session import partitions, ship
 
-FUNCTIONS = "path string, name string, line int, end_line int, signature string, doc string, code string, body string"
+FUNCTIONS = "path string, name string, line int, end_line int, signature string, doc string, code string, print string, description string"
 
 # ---- Descriptions -------------------------------------------------------------------------------
 
@@ -174,8 +175,19 @@ def informative(name: str | None, doc: str | None, body: str | None = None, leas
 # ---- Operators ----------------------------------------------------------------------------------
 
 
-def extract_functions(files: DataFrame, path: str = "path", content: str = "content", modified: str | None = "modification_time") -> DataFrame:
-    """All functions of the newest version of each file: FUNCTIONS, doc being the raw documentation comment ('' if none).
+def print_of(comment: str | None) -> str:
+    """A comment reduced to its letters and digits: marks, frames and line breaks make no difference."""
+    return re.sub(r"[\W_]+", "", comment or "")
+
+
+def _print_column(comment) -> Column:
+    return F.md5(F.regexp_replace(comment, r"[^\p{L}\p{N}]+", ""))
+
+
+def extract_functions(files: DataFrame, path: str = "path", content: str = "content", modified: str | None = "modification_time", columns: list[str] | None = None) -> DataFrame:
+    """All functions of the newest version of each file: FUNCTIONS, or those of its columns that are asked for. doc is the
+    comment that the lexer attached, as written ('' if none), print the md5 of its letters and digits (null if it has
+    none), description its clean text if it says something (else null).
 
     Files of null path or null or empty content give none; bytes that aren't UTF-8 are replaced. Versions of the same
     time count as one (the greatest content). Only the named columns are read."""
@@ -183,45 +195,58 @@ def extract_functions(files: DataFrame, path: str = "path", content: str = "cont
     at = F.col(modified) if modified else F.lit(None).cast("timestamp")
     src = files.select(F.col(path).alias("path"), at.alias("at"), F.col(content).alias("content")).where("path is not null")
     newest = src.groupBy("path").agg(F.max(F.struct("at", "content")).alias("f")).select("path", F.col("f.content").alias("content"))
+    kinds = dict(c.split(" ") for c in FUNCTIONS.split(", "))
+    wanted = columns or list(kinds)
 
     def run(frames):
         for pdf in frames:
             rows = []
             for p, c in zip(pdf["path"], pdf["content"]):
                 text = c.decode("utf-8", "replace") if isinstance(c, (bytes, bytearray)) else (c or "")
-                for f in functions_of(text.replace("\r\n", "\n").replace("\r", "\n"), p):
-                    rows.append((p, *f, masked(f[-1], lex(f[-1], family(p)))))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FUNCTIONS.split(", ")])
+                for name, line, end, signature, doc, code, body in functions_of(text.replace("\r\n", "\n").replace("\r", "\n"), p):
+                    mark = print_of(doc)
+                    said = clean(doc) if doc and informative(name, doc, body) else None
+                    rows.append({"path": p, "name": name, "line": line, "end_line": end, "signature": signature, "doc": doc, "code": code, "print": hashlib.md5(mark.encode("utf-8", "replace")).hexdigest() if mark else None, "description": said})
+            yield pd.DataFrame(rows, columns=wanted)
 
-    return newest.repartition(partitions(files.sparkSession), "path").mapInPandas(run, FUNCTIONS)
+    return newest.repartition(partitions(files.sparkSession), "path").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in wanted))
 
 
 def source_pairs(files: DataFrame, **columns) -> DataFrame:
     """Pairs straight from source files: functions whose documentation says something, with the clean description."""
-    return _described(extract_functions(files, **columns), "doc").where("description is not null")
+    return extract_functions(files, **columns).drop("print").where("description is not null")
+
 
+def _said(name: Column, text: Column) -> Column:
+    """The clean text of a comment that says something, null for others."""
 
-def _described(df: DataFrame, doc: str) -> DataFrame:
     @F.pandas_udf("string")
-    def description(name: pd.Series, text: pd.Series, body: pd.Series) -> pd.Series:
-        return pd.Series([clean(d) if d and informative(n, d, b) else None for n, d, b in zip(name, text, body)], dtype=object)
+    def said(names: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([clean(d) if d and informative(n, d) else None for n, d in zip(names, texts)], dtype=object)
 
-    return df.withColumn("description", description(F.coalesce(F.col("name"), F.lit("")), F.col(doc), F.col("body")))
+    return said(F.coalesce(name, F.lit("")), text)
 
 
-def node_pairs(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def node_pairs(nodes: DataFrame, files: DataFrame | None = None, code: bool = True) -> DataFrame:
     """Function and Method nodes whose documentation says something: (branch, node_id, name, signature, description, code).
 
     Of each (branch, id) the newest row counts (null indexed_at is oldest, of equal times the greatest row); deleted
-    nodes and those without a signature are dropped. code is the function's text as lexed from the newest version of
-    its file at its line, null where the file is missing. Empty tables give an empty result."""
+    nodes and those without a signature are dropped. A node is paired with the function that the lexer found at its path
+    and line and whose attached comment is the node's; name, comment and body as lexed decide whether it says
+    something. Only a comment that the newest version of the file does not have there (the file is missing, was changed
+    since, or holds another comment) is judged as the node states it; its code is then null unless the function is
+    there. code=False leaves that column out and reads less. Empty tables give an empty result."""
     cols = ["type", "name", "file_path", "line", "signature", "doc_comment"]
     newest = nodes.groupBy("branch", "id").agg(F.max(F.struct("indexed_at", "deleted_at", *cols)).alias("n")).select("branch", F.col("id").alias("node_id"), "n.*")
     alive = newest.where("type in ('Function', 'Method') and deleted_at is null and signature <> '' and doc_comment <> ''")
-    wanted = alive.select("branch", "node_id", *cols)
+    wanted = alive.select("branch", "node_id", "name", "file_path", "line", "signature", "doc_comment", _print_column(F.col("doc_comment")).alias("own_print"))
+    out = ["branch", "node_id", "name", "signature", "description", *(["code"] if code else [])]
     if files is None:
-        found = wanted.select("file_path", "line").limit(0).withColumn("code", F.lit("")).withColumn("body", F.lit(""))
-    else:
-        found = extract_functions(files).groupBy(F.col("path").alias("file_path"), "line").agg(F.max_by("code", "body").alias("code"), F.max("body").alias("body"))
-    kept = _described(wanted.join(found, ["file_path", "line"], "left"), "doc_comment").where("description is not null")
-    return kept.select("branch", "node_id", "name", "signature", "description", "code")
+        return wanted.withColumn("description", _said(F.col("name"), F.col("doc_comment"))).where("description is not null").withColumn("code", F.lit(None).cast("string")).select(*out)
+    lexed = extract_functions(files, columns=["path", "line", "print", "description", *(["code"] if code else [])])
+    # A comment belongs to one function of a line, as it begins a line of its own before it.
+    first = F.struct(F.col("print").isNotNull().alias("has"), "print", "description")
+    there = lexed.groupBy(F.col("path").alias("file_path"), "line").agg(F.max(first).alias("f"), *([F.max_by("code", first).alias("code")] if code else []))
+    both = wanted.join(there, ["file_path", "line"], "left").withColumn("same", F.col("f.print").eqNullSafe(F.col("own_print")))
+    stated = _said(F.col("name"), F.when(~F.col("same"), F.col("doc_comment")))
+    return both.withColumn("description", F.when(F.col("same"), F.col("f.description")).otherwise(stated)).where("description is not null").select(*out)

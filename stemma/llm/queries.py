@@ -86,12 +86,12 @@ QUERIES |= {
 }
 
 
-def _node_pairs(spark, d):
-    return docs.node_pairs(table(spark, d, "nodes"), table(spark, d, "source_files"))
+def _node_pairs(spark, d, code=True):
+    return docs.node_pairs(table(spark, d, "nodes"), table(spark, d, "source_files"), code)
 
 
 QUERIES |= {
-    "p4_found": lambda s, d: _node_pairs(s, d).select("branch", "node_id"),
+    "p4_found": lambda s, d: _node_pairs(s, d, False).select("branch", "node_id"),
     "p4_pairs": _node_pairs,
     "p4_source_pairs": lambda s, d: docs.source_pairs(table(s, d, "source_files")),
 }

@@ -232,6 +232,19 @@ def test_pairs_of_nodes_and_sources(spark):
     assert docs.node_pairs(nodes.limit(0), files).count() == 0
 
 
+def test_the_lexed_function_decides(spark):
+    """A comment that repeats its function's body is code: only the function as lexed shows it. A comment that the file
+    doesn't have at the node's place is judged by itself."""
+    src = "class A:\n    # move the money now\n    def pay(self):\n        move the money now\n\n    def run(self):\n        \"\"\"Waits until the sensor is ready.\"\"\"\n        return '}'\n"
+    files = spark.createDataFrame([("a.py", bytearray(src.encode()))], "path string, content binary").withColumn("modification_time", F.lit(None).cast("timestamp"))
+    rows = [("1", "pay", 3, "move the money now"), ("2", "run", 6, "* Waits until\n the sensor is ready"), ("3", "run", 6, "move the money now"), ("4", "gone", 90, "move the money now"), ("5", "run", 6, "run")]
+    nodes = spark.createDataFrame([("main", i, "Method", n, "a.py", k, "def x(self)", doc, None, None) for i, n, k, doc in rows], "branch string, id string, type string, name string, file_path string, line int, signature string, doc_comment string, indexed_at timestamp, deleted_at timestamp")
+    got = {r.node_id: r for r in docs.node_pairs(nodes, files).collect()}
+    assert set(got) == {"2", "3", "4"} and got["2"].code.startswith("def run") and got["2"].description == "Waits until the sensor is ready." and got["4"].code is None
+    assert {r.node_id for r in docs.node_pairs(nodes, files, code=False).collect()} == set(got)
+    assert {r.node_id for r in docs.node_pairs(nodes).collect()} == {"1", "2", "3", "4"}
+
+
 # ---- 10: wrong encodings -------------------------------------------------------------------------------------------------------------------
 
 CLEAN = [
