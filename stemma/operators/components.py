@@ -30,8 +30,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Ids that occur only in a link to themselves get themselves; null ends are dropped; an empty input gives
     an empty result. Repeated links are fine."""
     clean = links.where("u is not null and v is not null").select("u", "v")
-    alone = clean.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
-    now = cut(clean.where("u <> v").distinct())
+    given = cut(clean.distinct())
+    alone = given.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("component"))
+    now = given.where("u <> v")
     mark = None
     for _ in range(max_rounds):
         nxt = cut(_small_star(_large_star(now)).where("u <> v").distinct())

@@ -35,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one is set only where the session has none (tests, local runs)."""
+    """The folder of spark.checkpoint.dir; one is set only where the session has none and runs on this machine alone."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stemma-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -91,6 +93,17 @@ def partitions(spark: SparkSession) -> int:
     return max(n, 2 * spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in enough partitions to keep every core busy with Python work. Rows move only where the input has fewer
+    partitions than the session has cores (a small file read by one task), or where what it joins is merged by size;
+    large inputs are split already."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" not in plan and df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(partitions(spark), *by)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, which need not see the repository; once a session. Spark's own file
     server hands the archive out."""
