@@ -1,31 +1,32 @@
 """Balanced posting lists over unit vectors, shared by problems 5 (most similar) and 3 (clusters).
 
 Fit: centroids are drawn from a bounded sample (SAMPLE rows, at most MAX_CENTROIDS of them) so that no two are
-closer than SEPARATION, then moved to the mean of their sample. They are searched by an in-memory graph:
-every centroid links to its nearest ones, a small layer of pivots gives the entry points, and a beam walks from
-there. The graph is at most 60 MB whatever the data and is broadcast. Where the sample says that a list
-would exceed MAX_LIST rows, its centroid is split into as many as balance it.
+closer than SEPARATION, then moved to the mean of their sample. They are searched by an in-memory graph of two layers:
+pivots, each linked to the centroids near it (a centroid to its DEGREE nearest pivots), and links from every centroid
+to its nearest ones. A row walks from its ENTRIES best pivots to their centroids, widens that if none is near, and hops
+on along the links of the best one; rows that stand at the same pivot are compared with its centroids by one matrix
+product. The graph is at most 60 MB whatever the data and is broadcast. Where the sample says that a list would exceed
+MAX_LIST rows, its centroid is split into as many as balance it.
 Rows far from all centroids, whose like the sample missed, get a second level of centroids, drawn from a bounded sample
 of themselves; so small groups find each other too.
-Index: every row enters its nearest list and, at a boundary, all lists whose distance is within RATIO of the
+Index: every row enters its nearest list. A row at a boundary also enters the lists whose distance is within RATIO of the
 nearest or whose centroid's cosine is at least REACH, at most REPLICAS: a row similar to a member of a list (cosine
-0.75, the member being some 0.8 from its centroid) is itself about 0.6 from that centroid. Lists above BLOCK rows are worked on in blocks (query block times stored
-block), so a hot list is spread over many tasks."""
+0.75, the member being some 0.8 from its centroid) is itself about 0.6 from that centroid. Lists above BLOCK rows are
+worked on in blocks (query block times stored block), so a hot list is spread over many tasks.
+Vectors travel as bytes of the narrowest number type that holds them exactly."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import partitions
+from ..session import spread
 
 DIM, SAMPLE, MAX_CENTROIDS, SEPARATION = 128, 65_536, 65_536, 0.6
 REACH = 0.42
-REPLICAS, RATIO, DEGREE, BEAM, BLOCK, MAX_LIST = 12, 1.12, 24, 48, 2048, 32_768
+REPLICAS, RATIO, DEGREE, LINKS, ENTRIES, WIDER, BLOCK, MAX_LIST = 12, 1.12, 4, 16, 16, 4, 2048, 32_768
 
 
 def valid(vector: Column, dim: int = DIM) -> Column:
@@ -34,11 +35,6 @@ def valid(vector: Column, dim: int = DIM) -> Column:
     return F.coalesce((F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def matrix(series) -> np.ndarray:
-    """Rows of a pandas column of lists as doubles."""
-    return np.array(series.tolist(), dtype=np.float64) if len(series) else np.zeros((0, DIM))
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     """Lengths of one, without overflow for very large or very small numbers."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -100,95 +96,108 @@ def balance(u: np.ndarray, own: np.ndarray, c: np.ndarray, scale: float, most: i
     return np.concatenate(parts)
 
 
+def _groups(keys: np.ndarray):
+    """(key, positions) of every distinct key."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order])) + 1
+    return zip(keys[order][np.r_[0, cuts]], np.split(order, cuts)) if len(keys) else ()
+
+
+def _strongest(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k greatest values, in no order."""
+    return np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
+
+
 class CentroidGraph:
-    def __init__(self, centroids: np.ndarray, links: np.ndarray, pivots: np.ndarray):
-        self.c, self.links, self.pivots = centroids, links, pivots
+    def __init__(self, c: np.ndarray, pivots: np.ndarray, members: np.ndarray, first: np.ndarray, links: np.ndarray):
+        self.c, self.pivots, self.members, self.first, self.links = c, pivots, members, first, links
 
     @staticmethod
-    def build(c: np.ndarray, degree: int = DEGREE, step: int = 256) -> "CentroidGraph":
+    def build(c: np.ndarray, degree: int = DEGREE, links: int = LINKS) -> "CentroidGraph":
         n = len(c)
-        k = min(degree, max(0, n - 1))
-        out = np.zeros((n, k), np.int32)
-        for a in range(0, n if k else 0, step):
-            s = c[a : a + step] @ c.T
-            s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-            out[a : a + step] = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        # Reverse links (up to the same number) keep centroids reachable that are nobody's near neighbour.
-        src, dst = np.repeat(np.arange(n), k), out.ravel()
-        order = np.argsort(dst, kind="stable")
-        dst, src = dst[order], src[order]
-        place = np.arange(len(dst)) - np.searchsorted(dst, dst)
-        back = np.repeat(np.arange(n, dtype=np.int32)[:, None], k, axis=1) if k else out
-        ok = place < k
-        back[dst[ok], place[ok]] = src[ok]
-        pivots = np.arange(0, n, max(1, int(np.sqrt(n) / 2)))
-        return CentroidGraph(c, np.concatenate([out, back], axis=1), pivots.astype(np.int32))
-
-    def search(self, q: np.ndarray, k: int, beam: int = BEAM, wide: int = 4, hops: int = 40):
-        """(indices, cosines) of about the k nearest centroids of every row of q, best first; -1 where fewer."""
-        n, rows = len(self.c), np.arange(len(q))[:, None]
-        q = q.astype(np.float32)
-        if n <= 4 * beam:
-            s = q @ self.c.T
-            ids = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            return ids, np.take_along_axis(s, ids, 1)
-        seen = np.zeros((len(q), n), bool)
+        pivots = np.random.default_rng(0).permutation(n)[: max(1, int(4 * np.sqrt(n)))]
+        p = c[pivots]
+        near = np.concatenate([_strongest(c[a : a + 4096] @ p.T, degree) for a in range(0, n, 4096)])
+        order = np.argsort(near.ravel(), kind="stable")
+        members = np.repeat(np.arange(n), near.shape[1])[order]
+        first = np.searchsorted(near.ravel()[order], np.arange(len(pivots) + 1))
+        # A centroid's links are the nearest of those that share a pivot with it, itself where there are fewer.
+        src, dst, sim = [], [], []
+        for k in range(len(pivots)):
+            m = members[first[k] : first[k + 1]]
+            if len(m) > 1:
+                s = c[m] @ c[m].T
+                np.fill_diagonal(s, -2)
+                top = _strongest(s, min(links, len(m) - 1))
+                src.append(np.repeat(m, top.shape[1]))
+                dst.append(m[top].ravel())
+                sim.append(np.take_along_axis(s, top, 1).ravel())
+        out = np.tile(np.arange(n, dtype=np.int32)[:, None], (1, links))
+        if src:
+            a, b, w = np.concatenate(src), np.concatenate(dst), np.concatenate(sim)
+            _, once = np.unique(a * n + b, return_index=True)
+            a, b, w = a[once], b[once], w[once]
+            order = np.lexsort((-w, a))
+            a, b = a[order], b[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            ok = place < links
+            out[a[ok], place[ok]] = b[ok]
+        return CentroidGraph(c, pivots.astype(np.int32), members.astype(np.int32), first, out)
+
+    def _visit(self, q, rows, pivots, best, at, hits, least):
+        """Compares rows with the centroids of the pivots they stand at, pivot by pivot."""
+        for k, place in _groups(pivots):
+            m = self.members[self.first[k] : self.first[k + 1]]
+            if not len(m):
+                continue
+            r = rows[place]
+            s = q[r] @ self.c[m].T
+            j = s.argmax(axis=1)
+            top = s[np.arange(len(r)), j]
+            better = top > best[r]
+            best[r[better]], at[r[better]] = top[better], m[j[better]]
+            if top.max() >= least:
+                x, y = np.nonzero(s >= least)
+                hits.append((r[x], m[y], s[x, y]))
+
+    def search(self, q: np.ndarray, least: float = REACH, near: float = SEPARATION, entries: int = ENTRIES, wider: int = WIDER):
+        """(row, centroid, cosine) of the nearest centroid of every row of q and of those found at or above least."""
+        n, rows = len(self.c), np.arange(len(q))
+        best, at, hits = np.full(len(q), -2, np.float32), np.zeros(len(q), np.int64), []
         s = q @ self.c[self.pivots].T
-        first = np.argpartition(-s, beam - 1, axis=1)[:, :beam] if len(self.pivots) > beam else np.tile(np.arange(len(self.pivots)), (len(q), 1))
-        ids, sim = self.pivots[first], np.take_along_axis(s, first, 1)
-        if ids.shape[1] < beam:
-            short = beam - ids.shape[1]
-            ids = np.concatenate([ids, np.zeros((len(q), short), np.int32)], 1)
-            sim = np.concatenate([sim, np.full((len(q), short), -3, np.float32)], 1)
-        seen[rows, ids] = True
-        todo = sim > -3  # in the beam, not yet expanded
-        for _ in range(hops):
-            if not todo.any():
-                break
-            pick = np.argpartition(-np.where(todo, sim, -9), wide - 1, axis=1)[:, :wide]
-            live = np.take_along_axis(todo, pick, 1)
-            np.put_along_axis(todo, pick, False, 1)
-            near = self.links[np.take_along_axis(ids, pick, 1)].reshape(len(q), -1)
-            new = ~seen[rows, near] & np.repeat(live, self.links.shape[1], axis=1)
-            seen[rows, near] |= new
-            r, at = np.nonzero(new)
-            cand = np.full(near.shape, -3, np.float32)
-            cand[r, at] = np.einsum("ij,ij->i", q[r], self.c[near[r, at]])
-            # One centroid may come twice in a hop; the copy is dropped when the beam is cut.
-            ids2, sim2 = np.concatenate([ids, near], 1), np.concatenate([sim, cand], 1)
-            todo2 = np.concatenate([todo, cand > -3], 1)
-            keep = np.argpartition(-sim2, beam + 8 if sim2.shape[1] > beam + 8 else beam - 1, axis=1)[:, : beam + 8]
-            i3, s3, t3 = (np.take_along_axis(x, keep, 1) for x in (ids2, sim2, todo2))
-            order = np.argsort(-s3, axis=1, kind="stable")
-            i3, s3, t3 = (np.take_along_axis(x, order, 1) for x in (i3, s3, t3))
-            double = np.zeros(s3.shape, bool)
-            double[:, 1:] = (i3[:, 1:] == i3[:, :-1]) & (s3[:, 1:] > -3)
-            s3, t3 = np.where(double, -3, s3), t3 & ~double
-            order = np.argsort(-s3, axis=1, kind="stable")[:, :beam]
-            ids, sim, todo = (np.take_along_axis(x, order, 1) for x in (i3, s3, t3))
-            # A beam whose unexpanded rest lies far below its k-th best has settled.
-            todo &= sim > sim[:, min(k, beam) - 1 : min(k, beam)] - 0.05
-        ids, sim = ids[:, :k], sim[:, :k]
-        return np.where(sim > -3, ids, -1), sim
-
-    def scan(self, q: np.ndarray, k: int):
-        """As search, but exact: against all centroids in a block."""
-        s = q.astype(np.float32) @ self.c.T
-        k = min(k, s.shape[1])
-        ids = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        sim = np.take_along_axis(s, ids, 1)
-        order = np.argsort(-sim, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
-
-    def lists(self, q: np.ndarray, replicas: int = REPLICAS, ratio: float = RATIO, exact: bool = False):
-        """(row, list, far) of every row of q: its nearest list and those within ratio of that distance or with a cosine
-        of REACH; far where no centroid is as near as SEPARATION."""
-        ids, sim = self.scan(q, replicas) if exact else self.search(q, replicas)
-        dist = np.sqrt(np.maximum(2 - 2 * sim, 1e-9))
-        use = (ids >= 0) & ((dist <= dist[:, :1] * ratio) | (sim >= REACH))
-        use[:, 0] = True
-        row, rank = np.nonzero(use)
-        return row, ids[row, rank], sim[row, 0] < SEPARATION
+        entry = _strongest(s, min(entries, s.shape[1]))
+        self._visit(q, np.repeat(rows, entry.shape[1]), entry.ravel(), best, at, hits, least)
+        lost = np.flatnonzero(best < near)
+        if len(lost) and entry.shape[1] < s.shape[1]:
+            rest = s[lost]
+            np.put_along_axis(rest, entry[lost], -9, 1)
+            more = _strongest(rest, min(entries * wider, s.shape[1] - entry.shape[1]))
+            self._visit(q, np.repeat(lost, more.shape[1]), more.ravel(), best, at, hits, least)
+        for a in range(0, len(q), 1024):
+            b = slice(a, a + 1024)
+            to = self.links[at[b]]
+            s = np.einsum("ij,ikj->ik", q[b], self.c[to])
+            j = s.argmax(axis=1)
+            top = s[np.arange(len(s)), j]
+            better = top > best[b]
+            best[b] = np.where(better, top, best[b])
+            at[b] = np.where(better, to[np.arange(len(s)), j], at[b])
+            x, y = np.nonzero(s >= least)
+            hits.append((a + x, to[x, y], s[x, y]))
+        row, c, sim = (np.concatenate([h[k] for h in hits] + [own]) for k, own in enumerate((rows, at, best)))
+        _, once = np.unique(row * n + c, return_index=True)
+        return row[once], c[once], sim[once]
+
+    def lists(self, q: np.ndarray, replicas: int = REPLICAS, ratio: float = RATIO, reach: float = REACH, entries: int = ENTRIES):
+        """(row, list, far) of every row of q: its nearest list, and of those whose centroid has a cosine of reach, or is
+        within ratio of the nearest one's distance, the best `replicas`; far where no centroid is as near as SEPARATION."""
+        row, c, sim = self.search(q.astype(np.float32), reach, entries=entries)
+        order = np.lexsort((c, -sim, row))
+        row, c, sim = row[order], c[order], sim[order]
+        first = np.searchsorted(row, row)
+        dist, rank = np.sqrt(np.maximum(2 - 2 * sim, 1e-9)), np.arange(len(row)) - first
+        use = (rank == 0) | (rank < replicas) & ((sim >= reach) | (dist <= dist[first] * ratio))
+        return row[use], c[use], sim[first][use] < SEPARATION
 
 
 def fit(vectors: DataFrame, vector: str, key: str, sample: int = SAMPLE) -> CentroidGraph | None:
@@ -202,50 +211,84 @@ def fit(vectors: DataFrame, vector: str, key: str, sample: int = SAMPLE) -> Cent
     if not arrow.num_rows:
         return None
     order = np.argsort(arrow["h"].to_numpy(), kind="stable")[:sample]
-    values = arrow["v"].combine_chunks().flatten().to_numpy()
-    u = unit(values.reshape(len(arrow), -1)[order].astype(np.float64)).astype(np.float32)
-    del arrow, values
+    x = numbers(arrow["v"].combine_chunks())
+    u = unit(x[order].astype(np.float64)).astype(np.float32)
+    del arrow, x
     c, own = choose_centroids(u)
     return CentroidGraph.build(balance(u, own, c, total / len(u)))
 
 
-def index(vectors: DataFrame, key: str, vector: str, graph: CentroidGraph, first: int = 0, exact: bool = False) -> DataFrame:
-    """(list, id, v, far): every row in its lists (numbered from first), v being the raw numbers as float64 or, from
-    array<float>, float32 bytes. exact: the nearest lists come from a scan of all centroids instead of the graph."""
+def numbers(column) -> np.ndarray:
+    """The rows of an Arrow column of packed bytes or of lists of one length, as they are stored."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, DIM), np.float32)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return unpack([column[k].as_buffer() for k in range(len(column))])
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def pack(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes: half, single or double precision, the first that holds a batch exactly. The first byte says which."""
+    for code, kind in enumerate((np.float16, np.float32, np.float64)):
+        with np.errstate(over="ignore"):
+            y = x.astype(kind)
+        if kind is np.float64 or (y.astype(x.dtype) == x).all():
+            break
+    mark = bytes([code])
+    return [mark + r.tobytes() for r in y]
+
+
+def unpack(rows: list) -> np.ndarray:
+    """What pack() packed, as doubles; batches of different precision may be mixed."""
+    size = np.array([len(r) for r in rows])
+    out = None
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        raw = np.frombuffer(b"".join([rows[k] for k in at]), np.uint8).reshape(len(at), n)
+        kind = (np.float16, np.float32, np.float64)[raw[0, 0]]
+        x = np.ascontiguousarray(raw[:, 1:]).view(kind).astype(np.float64)
+        out = np.zeros((len(rows), x.shape[1])) if out is None else out
+        out[at] = x
+    return out
+
+
+def index(vectors: DataFrame, key: str, vector: str, graph: CentroidGraph, first: int = 0, reach: float = REACH, entries: int = ENTRIES) -> DataFrame:
+    """(list, id, v, far): every row in its lists (numbered from first), v being its packed numbers. A smaller reach and
+    more entries miss less and cost more."""
     spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast((graph.c, graph.links, graph.pivots))
-    dtype = np.float32 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else np.float64
+    shared = spark.sparkContext.broadcast((graph.c, graph.pivots, graph.members, graph.first, graph.links))
 
-    def run(frames):
+    def run(batches):
         g = CentroidGraph(*shared.value)
-        for pdf in frames:
-            x = matrix(pdf["v"])
-            u = unit(x)
-            ids = pdf["id"].to_numpy()
-            for a in range(0, len(x), 256):
-                row, lists, far = g.lists(u[a : a + 256], exact=exact)
-                raw = x[a : a + 256].astype(dtype)
-                yield pd.DataFrame({"list": (lists + first).astype(np.int32), "id": ids[a + row], "v": [raw[r].tobytes() for r in row], "far": far})
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, ids = numbers(batch.column("v")), batch.column("id").to_numpy(zero_copy_only=False)
+            for a in range(0, len(x), 4096):
+                part = x[a : a + 4096]
+                row, lists, far = g.lists(unit(part.astype(np.float64)), reach=reach, entries=entries)
+                raw = pack(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((lists + first).astype(np.int32)), pa.array(ids[a + row].astype(np.int64)), pa.array([raw[r] for r in row], pa.binary()), pa.array(far)],
+                    names=["list", "id", "v", "far"])
 
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    return rows.repartition(partitions(spark), "id").mapInPandas(run, "list int, id long, v binary, far boolean")
+    return spread(rows).mapInArrow(run, "list int, id long, v binary, far boolean")
 
 
 PACK = 32
 
 
 def blocks(indexed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(pack, list, qb, sb, query, id, v): the units of work are (pack, qb, sb). Lists of up to `block` rows are packed by
-    PACK, so small lists cost no group each. A longer list is divided into blocks by the ids' hash; every pair of its
-    blocks qb <= sb is one unit, so no unit holds more than PACK * block rows, and one of a long list some 2 * block."""
+    """The columns of indexed with (pack, qb, sb, query): the units of work are (pack, qb, sb). Lists of up to `block` rows
+    are packed by PACK, so small lists cost no group each. A longer list is divided into blocks by the ids' hash; every
+    pair of its blocks qb <= sb is one unit, so no unit holds more than PACK * block rows, and one of a long list some
+    2 * block."""
     sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     rows = indexed.join(sizes, "list").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(F.col("b"), k).alias("qb"), F.greatest(F.col("b"), k).alias("sb")))
-    pack = F.when(F.col("nb") == 1, F.floor(F.col("list") / PACK)).otherwise(-1 - F.col("list")).cast("int").alias("pack")
-    return rows.select(pack, "list", F.explode(others).alias("p"), "b", "id", "v").select("pack", "list", "p.qb", "p.sb", (F.col("b") == F.col("p.qb")).alias("query"), "id", "v")
-
-
-def unpack(series, dim: int) -> np.ndarray:
-    raw = b"".join(bytes(v) for v in series)
-    dtype = np.float32 if len(raw) == 4 * dim * len(series) else np.float64
-    return np.frombuffer(raw, dtype).reshape(len(series), dim).astype(np.float64)
+    pack_no = F.when(F.col("nb") == 1, F.floor(F.col("list") / PACK)).otherwise(-1 - F.col("list")).cast("int").alias("pack")
+    spread_out = rows.select(*indexed.columns, pack_no, F.explode(others).alias("p"), "b")
+    return spread_out.select(*indexed.columns, "pack", "p.qb", "p.sb", (F.col("b") == F.col("p.qb")).alias("query"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stemma.llm import cluster, postings, similar
@@ -85,22 +86,33 @@ def test_identical_vectors_tie_by_id(spark):
 def test_hot_list_in_blocks_equals_one_block(spark):
     rows = faces(3, groups=1, singles=0, hot=120)
     df = frame(spark, rows)
-    whole = {tuple(r) for r in similar.list_links(df, "face_id", "embedding", 5, 0.75, False).select("a", "b").distinct().collect()}
-    best = {}
-    for r in similar.list_links(df, "face_id", "embedding", 5, 0.75, True, block=16).where("near").collect():
-        best.setdefault(r.a, {})[r.b] = r.cosine
-    parts = {(a, b) for a, m in best.items() for b in sorted(m, key=lambda b: (-round(m[b], 12), b))[:5]}
-    assert parts == whole
+    whole = {tuple(r) for r in similar.nearest(df, "face_id", "embedding").select("id", "neighbour", "rank").collect()}
+    parts = {tuple(r) for r in similar.nearest(df, "face_id", "embedding", block=16).select("id", "neighbour", "rank").collect()}
+    assert parts == whole and len(whole) == 5 * 122
+    groups = [{tuple(r) for r in cluster.similarity_groups(df, "face_id", "embedding", block=b).select("id", "group").collect()} for b in (16, 2048)]
+    assert groups[0] == groups[1] == brute(rows)[1]
 
 
-def test_graph_search_finds_near_centroids():
+@pytest.mark.parametrize("n", [1, 5, 300, 3000])
+def test_graph_search_finds_near_centroids(n):
     rng = np.random.default_rng(5)
-    c = postings.unit(rng.normal(size=(3000, DIM))).astype(np.float32)
+    c = postings.unit(rng.normal(size=(n, DIM))).astype(np.float32)
     g = postings.CentroidGraph.build(c)
-    pick = rng.integers(0, 3000, 200)
+    pick = rng.integers(0, n, 200)
     q = postings.unit(c[pick] + rng.normal(size=(200, DIM)) * 0.04)
-    ids, sim = g.search(q, 4)
-    assert (ids[:, 0] == pick).mean() >= 0.99 and (np.diff(sim, axis=1) <= 1e-6).all()
+    row, lists, far = g.lists(q)
+    nearest = {r: k for r, k in reversed(list(zip(row, lists)))}
+    assert set(row) == set(range(200)) and np.mean([k == pick[r] for r, k in nearest.items()]) >= 0.99 and not far.any()
+    assert len({(r, k) for r, k in zip(row, lists)}) == len(row) and np.bincount(row).max() <= postings.REPLICAS
+
+
+@pytest.mark.parametrize("kind,size", [(np.float16, 2), (np.float32, 4), (np.float64, 8)])
+def test_packed_vectors_are_exact(kind, size):
+    x = np.random.default_rng(1).normal(size=(50, DIM)).astype(kind).astype(np.float64)
+    raw = postings.pack(x)
+    assert (postings.unpack(raw) == x).all() and len(raw[0]) == size * DIM + 1
+    other = postings.pack(x[:3].astype(np.float16).astype(np.float64))
+    assert (postings.unpack(raw + other)[50:] == x[:3].astype(np.float16)).all()
 
 
 def test_balance_splits_heavy_centroids():
@@ -118,13 +130,35 @@ def test_markov_clusters_of_two_cliques_and_a_bridge(spark):
     assert cluster.markov_clusters(spark.createDataFrame([], "a long, b long, weight double")).count() == 0
 
 
-@pytest.mark.parametrize("n", [2, 7, 33])
-def test_chains_are_connected_parts(n):
-    rng = random.Random(n)
-    s = np.zeros((n, n), bool)
-    for _ in range(n // 2):
-        a, b = rng.randrange(n), rng.randrange(n)
-        if a != b:
-            s[a, b] = s[b, a] = True
-    parts = similar.chains(s)
-    assert sorted(x for p in parts for x in p) == sorted(np.flatnonzero(s.any(axis=1)))
+def test_markov_rounds_settle_alike_in_one_task_and_in_many(spark):
+    rng = random.Random(2)
+    links = [(a, b, rng.random() + 0.1) for a in range(120) for b in {rng.randrange(120), (a * 7 + 1) % 120} if a != b]
+    df = spark.createDataFrame(links, "a long, b long, weight double")
+    got = [{r.id: r.cluster for r in cluster.markov_clusters(df, finish=f).collect()} for f in (0, 100, 10**6)]
+    parts = [{frozenset(i for i in g if g[i] == c) for c in set(g.values())} for g in got]
+    assert len(parts[0]) > 3 and len(parts[0] & parts[2]) >= 0.9 * len(parts[2]) and len(parts[1] & parts[2]) >= 0.9 * len(parts[2])
+    with pytest.raises(RuntimeError):
+        cluster.markov_clusters(df, finish=0, rounds=1)
+
+
+def test_settled_matrix_against_dense_rounds():
+    rng = np.random.default_rng(8)
+    m = np.kron(np.eye(4), np.ones((5, 5))) * rng.uniform(0.5, 1, (20, 20))
+    m /= m.sum(0)
+    i, j = np.nonzero(m)
+    got = cluster.settle(i, j, m[i, j], width=20)
+    for _ in range(60):
+        m = (m @ m) ** 2
+        m = np.where(m >= 0.05 * m.sum(0), m, 0)
+        m /= m.sum(0)
+    out = np.zeros((20, 20))
+    out[got[0], got[1]] = got[2]
+    assert np.abs(out - m).max() < 1e-2
+
+
+def test_the_check_only_looks_between_clusters():
+    x = postings.unit(np.random.default_rng(1).normal(size=(6, DIM)) * 0.02 + np.eye(DIM)[0])
+    unit_of_work = lambda clusters: pa.table({"list": [1] * 6, "id": range(6), "v": postings.pack(x), "qb": [0] * 6, "sb": [0] * 6, "query": [True] * 6, "cluster": clusters})
+    check = cluster._between_clusters(0.75)
+    assert check(unit_of_work([3] * 6)).num_rows == 0
+    assert sorted(zip(*check(unit_of_work([3, 3, 4, 4, 5, 5])).to_pydict().values())) == [(4, 3), (5, 3)]
