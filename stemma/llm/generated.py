@@ -2,7 +2,8 @@
 
 Four kinds of evidence, all from whole files:
 generated  a generation notice anywhere in the leading or closing comments, found by one pass of a multi-pattern
-           automaton (Aho-Corasick), the path of a generator's output, or a body of a few line shapes;
+           automaton (Aho-Corasick), the path of a generator's output, a body of a few line shapes, or functions
+           numbered on from first to last;
 minified   code with almost no blanks, whatever its suffix;
 vendored   an upstream notice in the leading comments, a copy of a catalogued library file (blanks and line
            ends ignored), a package manager's directory, or a directory for others' code (vendor, third_party,
@@ -29,12 +30,15 @@ NOTICES = [
     "code generated by", "code generated from", "<auto-generated", "autogenerated file", "autogenerated from", "autogenerated by",
     "auto-generated file", "auto-generated from", "auto-generated by", "auto generated file", "automatically generated", "@generated",
     "generated by:", "generated by ", "generated from ", "file is generated", "file was generated", "generated file", "generated code - do not",
-    "machine-written section", "machine generated", "machine-generated", "this is the output of", "was written by the", " compiler from ",
-    "rendered by ", ".tmpl", "see the template for changes", "is rebuilt from", "your edits will vanish", "manual changes will be lost",
-    "changes will be lost", "any edit is overwritten", "will be overwritten", "edit the schema instead", "produit automatiquement",
+    "this is the output of", "was written by the", " compiler from ", "rendered by ", ".tmpl", "see the template for changes", "is rebuilt from",
+    "edit the schema instead", "edit the template instead", "edit the source instead", "produit automatiquement",
     "généré automatiquement", "automatisch erzeugt", "automatisch generiert", "generado automáticamente", "gerado automaticamente",
     "generato automaticamente", "自動生成", "автоматически сгенерирован", "создан автоматически",
 ]
+# What happens to whose edits, and what a machine wrote: every combination is a notice.
+NOTICES += [f"{edit} {fate}" for edit in ("edit", "edits", "change", "changes", "modifications") for fate in ("will be lost", "will vanish", "will be overwritten", "are lost", "are overwritten", "is lost", "is overwritten", "will not survive")]
+NOTICES += [f"{who}{how}" for who in ("machine", "tool", "computer") for how in ("-written", "-generated", " generated", "-made", "-produced")]
+NOTICES += ["will be overwritten"]
 RETRACTIONS = ["by hand since", "maintained by hand", "no longer generated", "was generated code once", "used to be generated", "not generated", "regenerated from this", "method stub"]
 # Paths of generators' output, of package managers' copies, and lock files.
 GENERATED_PATH = re.compile(
@@ -59,7 +63,7 @@ LOCK_NAMES = {
 MINIFIED_PATH = re.compile(r"[.-](min|bundle|chunk|prod)\.(js|ts|css|mjs|cjs)$|\.[0-9a-f]{8}\.(js|ts|css)$", re.I)
 UPSTREAM = re.compile(
     r"upstream:\s*(https?|git)://"
-    r"|imported unmodified"
+    r"|\b(?:imported|copied|vendored|included|taken) (?:here )?(?:unmodified|unchanged|verbatim|as is)\b"
     r"|this file is part of [\w.@/-]+ \(release"
     r"|licensed to the [\w.@/-]+ project under"
     r"|copyright (\(c\) )?\d{4}(-\d{4})? the [\w.@/-]+ authors\. all rights reserved\.\s*\W*version:"
@@ -148,22 +152,41 @@ def minified(text: str, path: str) -> bool:
     by_name = bool(MINIFIED_PATH.search(path))
     dense = [len(x) for x in lines if len(x) > 30 and sum(map(x.count, " \t")) < (0.12 if by_name else 0.08) * len(x)]
     few = len(lines) - len(dense) <= max(4, 0.5 * len(lines))
-    return few and sum(dense) >= (0.7 if by_name else 0.9) * total and (total >= 256 or by_name)
+    return few and sum(dense) >= (0.7 if by_name else 0.9) * total
 
 
 _NAME, _NUMBER = re.compile(r"[A-Za-z_]\w*"), re.compile(r"\d+")
 
 
 def stencilled(text: str) -> bool:
-    """Code of at most ten line shapes (names and numbers blotted out): accessors written out by a tool."""
+    """Code of few line shapes (names and numbers blotted out) for its length: accessors written out by a tool."""
     lines = [x.strip() for x in text.splitlines() if x.strip() and not _COMMENT.match(x)]
     shapes = Counter(_NUMBER.sub("0", _NAME.sub("a", x)) for x in lines)
-    return len(lines) >= 12 and len(shapes) <= min(10, 0.4 * len(lines)) and sum(n for _, n in shapes.most_common(8)) >= 0.97 * len(lines)
+    return len(lines) >= 12 and len(shapes) <= 0.4 * len(lines) and sum(n for _, n in shapes.most_common(8)) >= 0.97 * len(lines)
 
 
-def data_share(text: str) -> tuple[float, int]:
-    """(share, size) of the bytes outside comments that lie on lines of nothing but literals; a share of 0 where more
-    than four other lines outnumber a third of those."""
+_DECLARES = re.compile(
+    r"\s*(?:(?:export|default|pub|async|static|final|override|virtual)\s+)*(?:func|function|def|fn|public|private|protected|internal)\b"
+    r"(?!.*\b(?:class|interface|record|enum|struct|namespace)\b)(?!.*;\s*$)")
+_COUNTED = re.compile(r"([A-Za-z]\w*?)_?(\d+)[?!]?\s*(?:[(<]|$)")
+
+
+def serial(text: str) -> bool:
+    """Nearly all functions are numbered on in the order they stand in (name000, name001, ...), as only a tool does."""
+    numbers, functions = [], 0
+    for line in text.splitlines():
+        if _DECLARES.match(line):
+            functions += 1
+            m = _COUNTED.search(line)
+            if m:
+                numbers.append(int(m.group(2)))
+    steps = sum(b == a + 1 for a, b in zip(numbers, numbers[1:]))
+    return steps >= 7 and steps >= 0.8 * (functions - 1)
+
+
+def data_share(text: str) -> float:
+    """The share of the bytes outside comments that lie on lines of nothing but literals; 0 where more than four other
+    lines outnumber a third of those."""
     total = data = count = other = 0
     for line in text.splitlines():
         s = line.strip()
@@ -176,7 +199,7 @@ def data_share(text: str) -> tuple[float, int]:
             data, count = data + len(s), count + 1
         else:
             other += 1
-    return (data / total if total and other <= max(4, count / 3) else 0.0), data
+    return data / total if total and other <= max(4, count / 3) else 0.0
 
 
 _BLANKS = re.compile(r"\s+")
@@ -226,10 +249,9 @@ def judge(path: str, text: str, machine, catalogue: Catalogue):
     name = path.rsplit("/", 1)[-1].lower()
     generated = noticed(head, machine) or noticed(footer(text), machine) or bool(GENERATED_PATH.search(path)) or name in LOCK_NAMES
     vendored = bool(UPSTREAM.search(head)) or bool(PACKAGE_PATH.search(path)) or others(path, head) or catalogue.copies(text)
-    share, size = data_share(text)
-    data, dense = share >= 0.85 and size >= 1000, minified(text, path)
+    data, dense = data_share(text) >= 0.85, minified(text, path)
     if not (generated or data or dense or vendored):
-        generated = stencilled(text)
+        generated = stencilled(text) or serial(text)
     return generated, dense, vendored, data
 
 
