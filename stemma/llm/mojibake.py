@@ -9,7 +9,6 @@ clearly more plausible. Characters already lost (U+FFFD) are a case of their own
 
 from __future__ import annotations
 
-import codecs
 import heapq
 import html
 import math
@@ -18,8 +17,9 @@ import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import partitions, ship
@@ -27,14 +27,13 @@ from ..session import partitions, ship
 # Code pages that texts are wrongly read in, and encodings they were really in.
 READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "gbk", "cp932", "mac_cyrillic", "iso8859_5", "cp1250", "iso8859_15"]
 WAS_IN = ["utf-8", "cp1252", "cp1251", "koi8_r", "cp866", "mac_roman", "cp932", "euc_jp", "gbk", "iso8859_5", "mac_cyrillic", "cp437", "cp850"]
-MARGIN, MAX_STATES, MAX_DEPTH, LONGEST = 0.5, 400, 4, 4000
+MARGIN, WORSE, SHORT = 0.5, 1.5, 64
 # Mishaps seen often; a step of another kind has to gain more.
 USUAL_STEPS = {"cp1252>cp1251", "cp1251>cp1252", "cp1251>koi8_r", "koi8_r>cp1251", "cp1251>cp866", "cp1252>koi8_r", "cp1252>mac_roman", "mac_roman>cp1252", "cp1252>cp437", "cp1252>cp850", "cp437>cp1252", "cp850>cp1252", "cp1252>cp932", "cp932>euc_jp", "cp1252>euc_jp", "cp1252>gbk", "latin-1>cp932", "latin-1>cp1251", "gbk>cp932", "gbk>euc_jp"}
 _CYRILLIC = re.compile("[а-яёА-ЯЁ]+")
 _TOKEN = re.compile(r"[^ \t\r\n]+")
 _SPECIAL = re.compile(r"[^\x00-\x7f]|&#|&(?:[AaENOIU][a-z]+|euro);|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|=[C-F][0-9A-F]=|%[C-Fc-f][0-9A-Fa-f]%")
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_ESCAPE = re.compile(r"&#?\w{1,8};|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|=[0-9A-F]{2}|%[0-9A-Fa-f]{2}")
 _USUAL = set("äöüßéèêëàâîïôûùçñáíóúãõœæøåìòýãõ")
 _USUAL_UPPER = set("ÄÖÜÉÈÊËÀÂÎÏÔÛÙÇÑÁÍÓÚÃÕŒÆØÅÌÒ")
 _QUIET = set("¡¿«»§©®°±µ·€£¢¥½¼¾²³…–—‘’“”„•™×÷→←↑↓↔⇒≤≥≠≈∞✅✓✔✗★☆№​‍﻿️")
@@ -161,10 +160,14 @@ class Plausibility:
         return odd + shout + 0.3 * caps
 
     def cost(self, s: str, limit: float = math.inf) -> float:
-        """Every character and pair adds to the cost, so from `limit` on the rest of the text need not be looked at."""
+        """Every character and pair adds to the cost, so from `limit` on the rest of the text need not be looked at. Texts
+        above SHORT characters are looked up in tables, all characters at once; the sum is the same."""
         c = self.known.get(s)
         if c is not None:
             return c
+        if len(s) > SHORT:
+            total = _long_cost(s)
+            return self._whole(s, total) if total < limit else total
         total, last, before, earlier = 0.0, "p", "", "p"
         for ch in s:
             k, v = _char(ch)
@@ -180,6 +183,9 @@ class Plausibility:
             if total >= limit:
                 return total
             earlier, last, before = last, k, ch
+        return self._whole(s, total)
+
+    def _whole(self, s: str, total: float) -> float:
         for m in _CYRILLIC.finditer(s):
             total += self.letters(m.group())
         if len(self.known) > 400_000:
@@ -188,6 +194,41 @@ class Plausibility:
         return total
 
 
+_CLASSES = "adpxnlLqsbgcCkjho"
+_TABLES: list = []
+
+
+def _tables():
+    """(class, cost, is lower) of every character of the basic plane and (pair cost) of every two classes."""
+    if not _TABLES:
+        known = [_char(chr(o)) if not 0xD800 <= o < 0xE000 else ("x", 2.5) for o in range(0x10000)]
+        pair = np.zeros((len(_CLASSES), len(_CLASSES)))
+        for two, v in _PAIR.items():
+            pair[_CLASSES.index(two[0]), _CLASSES.index(two[1])] = v
+        _TABLES.extend([np.array([_CLASSES.index(k) for k, _ in known], np.int8), np.array([v for _, v in known]), np.array([chr(o).islower() for o in range(0x10000)]), pair])
+    return _TABLES
+
+
+def _long_cost(s: str) -> float:
+    """The character and pair costs of Plausibility.cost by table."""
+    classes, costs, lower, pair = _tables()
+    cp = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.minimum(cp, 0xFFFF)
+    k, v, small = classes[low], costs[low], lower[low]
+    for o in np.unique(cp[cp > 0xFFFF]):
+        kind, cost = _char(chr(o))
+        k, v = np.where(cp == o, _CLASSES.index(kind), k).astype(np.int8), np.where(cp == o, cost, v)
+    of = lambda names: np.isin(k, [_CLASSES.index(c) for c in names])
+    word, p = of("alL"), _CLASSES.index("p")
+    last, before = np.r_[p, k[:-1]], np.r_[0, cp[:-1]]
+    inside = np.zeros(len(k), bool)
+    inside[2:] = of("sn")[1:-1] & word[2:] & word[:-2]
+    beside = ((k != last) | of("sx")) & ~((k == _CLASSES.index("s")) & (cp == before))
+    raised = np.zeros(len(k), bool)
+    raised[1:] = (k[1:] == _CLASSES.index("L")) & (k[:-1] == _CLASSES.index("a")) & small[:-1]
+    return float(v.sum() + 0.7 * inside.sum() + pair[last, k][beside].sum() + 0.9 * raised.sum())
+
+
 def _encode(s: str, page: str) -> bytes | None:
     try:
         return s.encode(page)
@@ -205,10 +246,9 @@ def _encode(s: str, page: str) -> bytes | None:
     return bytes(out)
 
 
-def _decode(data: bytes, page: str, open_end: bool = False) -> str | None:
-    """open_end: the bytes go on, so a character that is unfinished at their end is left out."""
+def _decode(data: bytes, page: str) -> str | None:
     try:
-        return codecs.getincrementaldecoder(page)().decode(data) if open_end else data.decode(page)
+        return data.decode(page)
     except UnicodeDecodeError:
         return None
 
@@ -224,25 +264,6 @@ def _unescape(s: str) -> str:
     return s
 
 
-def moves(s: str, open_end: bool = False):
-    """(name, text) of all texts one undone mishap away."""
-    t = _unescape(s)
-    if t != s:
-        yield "unescape", t
-    done = set()
-    for page in READ_AS:
-        data = _encode(s, page)
-        if data is None or data in done:  # equal bytes give equal readings
-            continue
-        done.add(data)
-        for enc in WAS_IN:
-            if enc == page:
-                continue
-            t = _decode(data, enc, open_end)
-            if t is not None and t != s:
-                yield f"{page}>{enc}", t
-
-
 def step_cost(name: str, path: tuple) -> float:
     """A valid UTF-8 reading hardly comes about by chance, a reading in a one-byte page always does."""
     if name == "unescape":
@@ -253,43 +274,52 @@ def step_cost(name: str, path: tuple) -> float:
     return base + (0.6 if path and path != ("unescape",) else 0.0)
 
 
-def undo(s: str, path: tuple) -> str | None:
-    """The text that a path leads to, None if it can't be followed."""
-    for name in path:
-        if name == "unescape":
-            s = _unescape(s)
+def moves(s: str, path: tuple = (), budget: float = math.inf):
+    """(name, text, step cost) of all texts one undone mishap away whose step costs less than the budget."""
+    t = _unescape(s)
+    if t != s:
+        yield "unescape", t, 0.0
+    done = set()
+    for page in READ_AS:
+        names = [(f"{page}>{enc}", enc, step_cost(f"{page}>{enc}", path)) for enc in WAS_IN if enc != page]
+        names = [x for x in names if x[2] < budget]
+        data = _encode(s, page) if names else None
+        if data is None or data in done:  # equal bytes give equal readings
             continue
-        page, enc = name.split(">")
-        data = _encode(s, page)
-        t = None if data is None else _decode(data, enc)
-        if t is None:
-            return None
-        s = t
-    return s
+        done.add(data)
+        for name, enc, step in names:
+            t = _decode(data, enc)
+            if t is not None and t != s:
+                yield name, t, step
 
 
-def search(s: str, model: Plausibility, open_end: bool = False):
+def search(s: str, model: Plausibility):
     """(best text, its cost, path, cost of the start). The start's escapes are undone at no gain: ordinary
-    entities of web pages are no mishap."""
+    entities of web pages are no mishap.
+
+    A path costs its steps and the implausibility of the text it leads to. A text is left aside only where no path on from
+    it can still pay (its steps alone cost what the best path does in all, or less than MARGIN would be gained) or where a
+    step makes it less plausible by WORSE or more; it is visited again if a cheaper way leads to it. So the search ends
+    by itself, whatever the length of the text and of the path."""
     plain = _unescape(s)
     first = ("unescape",) if plain != s else ()
-    begin = start = model.cost(plain)
-    heap, seen, best, n = [(begin, 0, plain, first, 0.0)], {hash(plain)}, (start, plain, first), 0
-    while heap and n < MAX_STATES:
+    start = model.cost(plain)
+    heap, spent_at, best, n = [(start, 0, plain, first, 0.0)], {plain: 0.0}, (start, plain, first), 0
+    bound = start - MARGIN + 1e-6
+    while heap:
         cost, _, text, path, spent = heapq.heappop(heap)
-        if len(path) >= MAX_DEPTH or cost > begin + 4.0 + 0.5 * len(s):
+        if spent > spent_at[text]:
             continue
-        for name, t in moves(text, open_end):
-            h = hash((t, name.endswith("utf-8")))
-            if h in seen:
+        for name, t, step in moves(text, path, bound - spent):
+            now = spent + step
+            if now >= spent_at.get(t, math.inf) or now >= bound:
                 continue
-            seen.add(h)
+            spent_at[t] = now
             n += 1
-            now = spent + step_cost(name, path)
-            c = model.cost(t, max(best[0], cost + 1.5) - now) + now
-            if c < best[0] - 1e-9:
-                best = (c, t, (*path, name))
-            if c < cost + 1.5:
+            c = model.cost(t, max(bound, cost + WORSE) - now) + now
+            if c < bound - 1e-9:
+                best, bound = (c, t, (*path, name)), c
+            if c < cost + WORSE:
                 heapq.heappush(heap, (c, n, t, (*path, name), now))
     return best[1], best[0], best[2], start
 
@@ -313,92 +343,45 @@ class Restorer:
         if self.model.cost(_unescape(s)) < MARGIN:  # no path can gain more than the whole cost
             self.memo[s] = (s, 0.0, ())
             return self.memo[s]
-        text, gain, path = self.pieces(s)
-        if not path or gain < MARGIN:
-            text, gain, path = s, 0.0, ()
+        text, gain, path = self.whole_or_runs(s)
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[s] = (text, gain, path)
         return self.memo[s]
 
-    def piece(self, s: str, open_end: bool):
-        """(characters of s that are settled, their restored text, gain, path); no path if s is no case. Where the text
-        goes on behind s, what is settled ends with a whole character of every reading on the path."""
-        t, c, path, start = search(s, self.model, open_end)
-        if not enough(s, path, start - c):
-            return len(s), s, 0.0, ()
-        if not open_end:
-            return len(s), t, start - c, path
-        inside = {k for m in _ESCAPE.finditer(s) for k in range(m.start() + 1, m.end())} if "unescape" in path else ()
-        for n in range(len(s), max(0, len(s) - 256), -1):
-            t = undo(s[:n], path) if n not in inside else None
-            if t is not None:
-                spent = sum(step_cost(name, path[:k]) for k, name in enumerate(path))
-                gain = self.model.cost(_unescape(s[:n])) - self.model.cost(t) - spent
-                return (n, t, gain, path) if enough(s[:n], path, gain) else (len(s), s, 0.0, ())
-        return len(s), s, 0.0, ()
-
-    def pieces(self, s: str):
-        """(restored, gain, path) of a stretch, LONGEST characters at most at a time. A piece ends before a run of
-        non-ASCII characters or an escape; within a longer run the next piece starts where the last one's reading ends."""
-        out, most, how, at, astray = [], 0.0, (), 0, False
-        while at < len(s):
-            end = min(at + LONGEST, len(s))
-            open_end = end < len(s)
-            if open_end and s[end] > "\x7f":
-                back = end
-                while back > at and s[back - 1] > "\x7f":
-                    back -= 1
-                end = back if back > at else end
-            elif open_end:
-                m = next((m for m in _ESCAPE.finditer(s, max(at, end - 10), end + 10) if m.start() < end < m.end()), None)
-                end = m.start() if m and m.start() > at else end
-            part = s[at:end]
-            if part.isascii() and not _SPECIAL.search(part) or self.model.cost(_unescape(part)) < MARGIN:
-                out.append(part)
-                at, astray = end, False
-                continue
-            n, t, gain, path = self.piece(part, open_end)
-            if path:
-                out.append(t)
-                at, most, how, astray = at + n, most + gain, path, False
+    def whole_or_runs(self, s: str):
+        """(restored, gain, path) of a stretch read as a whole or, where that is no case, run by run of its non-ASCII
+        characters: a part may be garbled next to characters that the wrong code page never had."""
+        t, c, path, start = search(s, self.model)
+        if enough(s, path, start - c):
+            return t, start - c, path
+        out, done, most, how = [], 0, 0.0, ()
+        for m in _RUN.finditer(s):
+            run = m.group()
+            if len(run) == len(s) or self.model.cost(run) < MARGIN:
                 continue
-            # Only a part may be garbled, next to characters the wrong code page never had.
-            done = 0
-            for m in _RUN.finditer(part):
-                # Behind a piece without a reading, a run may begin within a character.
-                for skip in range(0, 4 if astray and m.start() == 0 else 1):
-                    a, goes_on = m.start() + skip, open_end and m.end() == len(part)
-                    if a >= m.end() or m.end() - a == len(part):
-                        continue
-                    n, t, gain, path = self.piece(part[a : m.end()], goes_on)
-                    if path:
-                        out.append(part[done:a] + t)
-                        done, most, how = a + n, most + gain, path
-                        break
-                if path:
-                    part, end = (part[:done], at + done) if goes_on else (part, end)
-            out.append(part[done:])
-            astray = open_end and not (path and done == len(part)) and part[-1] > "\x7f"
-            at = end
-        return "".join(out), most, how
-
-    def document(self, text: str | None):
-        """(restored text, total gain, paths, lost characters) of a whole text."""
+            t, c, path, start = search(run, self.model)
+            if enough(run, path, start - c):
+                out.append(s[done : m.start()] + t)
+                done, most, how = m.end(), most + start - c, path
+        return ("".join(out) + s[done:], most, how) if how else (s, 0.0, ())
+
+    def document(self, text: str | None, known: dict | None = None):
+        """(restored text, total gain, paths, lost characters) of a whole text; known holds the judged stretches."""
         if not text or text.isascii() and not _SPECIAL.search(text):
             return text, 0.0, "", 0
         out, at, gain, paths = [], 0, 0.0, Counter()
         for m in _TOKEN.finditer(text):
             s = m.group()
-            if s.isascii() and not _SPECIAL.search(s):
+            if known is not None and s not in known or s.isascii() and not _SPECIAL.search(s):
                 continue
-            t, g, p = self.stretch(s)
+            t, g, p = self.stretch(s) if known is None else known[s]
             if g:
                 out.append(text[at : m.start()] + t)
                 at, gain = m.end(), gain + g
                 paths["+".join(p)] += 1
         out.append(text[at:])
-        return "".join(out), gain, ",".join(k for k, _ in paths.most_common(3)), text.count("�")
+        return "".join(out), gain, ",".join(k for k, _ in paths.most_common(3)), text.count("\ufffd")
 
 
 def letter_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
@@ -419,21 +402,49 @@ def letter_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r.pair: r.n for r in counts.collect()}
 
 
+def _odd(text) -> Column:
+    return text.rlike(_SPECIAL.pattern)
+
+
+def garbled_stretches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, s, restored, gain, path) of every stretch between blanks of every text that a search finds garbled, once
+    a row. Each distinct stretch of the corpus is searched once, whatever the number of texts that hold it."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(letter_pairs(docs, text))
+
+    def run(frames):
+        r = Restorer(shared.value)
+        for pdf in frames:
+            rows = [(s, *r.stretch(s)) for s in pdf["s"]]
+            yield pd.DataFrame([(s, t, g, list(p)) for s, t, g, p in rows if g > 0], columns=["s", "restored", "gain", "path"])
+
+    stretches = F.array_distinct(F.filter(F.split(F.col(text), "[ \t\r\n]+"), _odd))
+    held = docs.where(_odd(F.col(text))).select(F.col(doc_id), F.explode(stretches).alias("s"))
+    cases = held.select("s").distinct().repartition(partitions(spark), "s").mapInPandas(run, "s string, restored string, gain double, path array<string>")
+    return held.join(cases, "s")
+
+
+def garbled_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The distinct ids of the texts that find_garbled finds, without restoring them; the texts are not moved."""
+    lost = docs.where(F.instr(F.col(text), "\ufffd") > 0).select(F.col(doc_id))
+    return garbled_stretches(docs, doc_id, text).select(F.col(doc_id)).unionByName(lost).distinct()
+
+
 def find_garbled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, restored, gain, paths, lost) of every row whose text went through a wrong encoding, wholly or in
     places. lost counts characters that cannot be restored. Null, empty and plain ASCII texts are no case; rows
     are judged one by one, so repeated rows come back each; an empty table gives an empty result."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(letter_pairs(docs, text))
     kind = docs.schema[doc_id].dataType.simpleString()
+    # What one id collects are stretches of its own texts.
+    hits = garbled_stretches(docs, doc_id, text).groupBy(F.col(doc_id).alias("_id")).agg(F.collect_set(F.struct("s", "restored", "gain", "path")).alias("hits"))
+    src = docs.where(_odd(F.col(text))).select(F.col(doc_id), F.col(text).alias("t"))
+    both = src.join(hits, F.col(doc_id).eqNullSafe(F.col("_id")), "left").where("hits is not null or instr(t, '\ufffd') > 0").select(F.col(doc_id), "t", "hits")
 
     def run(frames):
-        r = Restorer(shared.value)
+        r = Restorer()
         for pdf in frames:
-            rows = [(i, *r.document(t)) for i, t in zip(pdf[doc_id], pdf["t"])]
+            rows = [(i, *r.document(t, {h["s"]: (h["restored"], h["gain"], h["path"]) for h in (() if hits is None else hits)})) for i, t, hits in zip(pdf[doc_id], pdf["t"], pdf["hits"])]
             yield pd.DataFrame([x for x in rows if x[2] > 0 or x[4]], columns=[doc_id, "restored", "gain", "paths", "lost"])
 
-    odd = F.col(text).rlike(r"[^\x00-\x7F]|&#|&([AaENOIU][a-z]+|euro);|\\[xu][0-9a-fA-F]{2}|=[C-F][0-9A-F]=|%[C-Fc-f][0-9A-Fa-f]%")
-    src = docs.select(F.col(doc_id), F.col(text).alias("t")).where(odd)
-    return src.repartition(partitions(spark)).mapInPandas(run, f"`{doc_id}` {kind}, restored string, gain double, paths string, lost int")
+    return both.mapInPandas(run, f"`{doc_id}` {kind}, restored string, gain double, paths string, lost int")
