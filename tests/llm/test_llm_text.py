@@ -162,7 +162,9 @@ CASES = [
     ("one_line.ts", HAND + "const PATTERN = '" + "abc|" * 300 + "';\n", ""), ("lib/x.js", LIB.replace(" ", "  ").replace("\n", "\r\n"), "vendored"), ("up.js", "/*!\n * kit v3.1\n * (c) kit contributors\n * Released under the MIT licence\n */\n" + HAND, "vendored"),
     ("own.js", "// Copyright 2020 Firm\n// SPDX-License-Identifier: MIT\n" + HAND, ""), ("app/vendor/model.go", HAND, ""), ("d.py", "t = [\n" + "  0x01, 0x02, 0x7f, 0x33,\n" * 100 + "]\n", "data"),
     ("rows.py", "id,item,day,qty\n" + "".join(f"{k},thing,2024-01-01,{k}\n" for k in range(90)), "data"), ("small.go", HAND + "var t = []int{1, 2, 3, 4, 5}\n", ""), ("msg.py", "m = {\n" + "".join(f'  "key.{k}": "some text {k}",\n' for k in range(80)) + "}\n", "data"),
-    ("none.go", None, ""), ("empty.go", "", ""),
+    ("none.go", None, ""), ("empty.go", "", ""), ("n.go", "package a\n" + "".join(f"func (c *K) take{k:03d}(x int) int {{\n\tif x > {k % 7} {{\n\t\treturn part{k % 5}(x)\n\t}}\n\tlog.Println(x, {k % 3})\n\treturn {k % 4} + len(c.rows)\n}}\n" for k in range(12)), "generated"),
+    ("n.java", "class A {\n" + "".join(f"  private String takeRow{k}(int x) {{\n    return this.part{k * k % 7}(x{', 1' * (k % 3)});\n    // {'row ' * (k % 4)}\n  }}\n" for k in range(12)) + "}\n", "generated"),
+    ("step.py", "".join(f"def {w}_{k}(x):\n    return x * {k}\n\n\n" for k, w in enumerate("load parse check sort store".split())), ""), ("edits.go", "// Your changes will be lost with the next run.\n" + HAND, "generated"),
 ]
 
 
@@ -298,7 +300,7 @@ def test_every_encoding_is_read_after_every_page():
             for data in (bytes([a, b]) for a in range(0xA1, 0xF0, 3) for b in range(0xA1, 0xF0, 3)):
                 s, t = mojibake._decode(data, page), mojibake._decode(data, enc)
                 if s and t and s != t and mojibake._encode(s, page) == data:
-                    tried[page, enc] = t in {x for _, x in mojibake.moves(s)}
+                    tried[page, enc] = t in {x for _, x, _ in mojibake.moves(s)}
                     break
     assert all(tried.values()) and {(p, e) for p in ("gbk", "cp932") for e in ("koi8_r", "cp866", "mac_roman", "iso8859_5", "mac_cyrillic", "cp437", "cp850")} <= set(tried)
 
@@ -311,8 +313,16 @@ def test_a_limit_only_stops_texts_beyond_it(restorer):
             assert c == whole or limit <= c <= whole
 
 
+def test_tables_cost_like_characters(restorer, monkeypatch):
+    for t in [*CLEAN, *TEXTS, *(d(t) for d in DAMAGE for t in TEXTS), "\U0001f527b\u200d", "–s–a ёЁ aL│★★", "aBcD éÉ"]:
+        monkeypatch.setattr(mojibake, "SHORT", 10**9)
+        one = mojibake.Plausibility(restorer.model.counts).cost(t)
+        monkeypatch.setattr(mojibake, "SHORT", 0)
+        assert abs(mojibake.Plausibility(restorer.model.counts).cost(t) - one) < 1e-9
+
+
 @pytest.mark.parametrize("read", ["latin-1", "cp1252"])
-@pytest.mark.parametrize("n", [1333, 1334, 1700, 5000])
+@pytest.mark.parametrize("n", [1333, 5000, 10_000])
 def test_long_runs_are_restored_like_short_ones(restorer, read, n):
     text = ("依存関係は日に確認しました。節点の一覧を記録する。" * n)[:n]
     bad = "".join(chr(b) if read == "latin-1" or b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in text.encode())
@@ -333,6 +343,9 @@ def test_garbled_frames(spark):
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, gain double")
     got = mojibake.find_garbled(df).collect()
     assert sorted(r.doc_id for r in got) == [2, 2, 5]
+    assert sorted(r.doc_id for r in mojibake.garbled_ids(df).collect()) == [2, 5]
+    odd = spark.createDataFrame([(None, DAMAGE[1](TEXTS[0])), (None, "Größe"), (1, DAMAGE[1](TEXTS[1])), (1, "x"), (1, DAMAGE[1](TEXTS[0]))], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.restored) for r in mojibake.find_garbled(odd).collect()) == sorted([(0, TEXTS[0]), (1, TEXTS[1]), (1, TEXTS[0])])
     assert next(r for r in got if r.doc_id == 2).restored == TEXTS[0] and next(r for r in got if r.doc_id == 5).lost == 1
     assert mojibake.find_garbled(df.limit(0)).count() == 0
 
