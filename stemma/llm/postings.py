@@ -190,14 +190,14 @@ class CentroidGraph:
 
     def lists(self, q: np.ndarray, replicas: int = REPLICAS, ratio: float = RATIO, reach: float = REACH, entries: int = ENTRIES):
         """(row, list, far) of every row of q: its nearest list, and of those whose centroid has a cosine of reach, or is
-        within ratio of the nearest one's distance, the best `replicas`; far where no centroid is as near as SEPARATION."""
+        within ratio of the nearest one's distance, the best `replicas`; far marks the one entry of a row that no centroid is as near as SEPARATION."""
         row, c, sim = self.search(q.astype(np.float32), reach, entries=entries)
         order = np.lexsort((c, -sim, row))
         row, c, sim = row[order], c[order], sim[order]
         first = np.searchsorted(row, row)
         dist, rank = np.sqrt(np.maximum(2 - 2 * sim, 1e-9)), np.arange(len(row)) - first
         use = (rank == 0) | (rank < replicas) & ((sim >= reach) | (dist <= dist[first] * ratio))
-        return row[use], c[use], sim[first][use] < SEPARATION
+        return row[use], c[use], (rank[use] == 0) & (sim[use] < SEPARATION)
 
 
 def fit(vectors: DataFrame, vector: str, key: str, sample: int = SAMPLE) -> CentroidGraph | None:
@@ -255,8 +255,8 @@ def unpack(rows: list) -> np.ndarray:
 
 
 def index(vectors: DataFrame, key: str, vector: str, graph: CentroidGraph, first: int = 0, reach: float = REACH, entries: int = ENTRIES) -> DataFrame:
-    """(list, id, v, far): every row in its lists (numbered from first), v being its packed numbers. A smaller reach and
-    more entries miss less and cost more."""
+    """(list, id, v, far): every row in its lists (numbered from first), v being its packed numbers. The vectors may be
+    packed already. A smaller reach and more entries miss less and cost more."""
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast((graph.c, graph.pivots, graph.members, graph.first, graph.links))
 
@@ -287,7 +287,8 @@ def blocks(indexed: DataFrame, block: int = BLOCK) -> DataFrame:
     pair of its blocks qb <= sb is one unit, so no unit holds more than PACK * block rows, and one of a long list some
     2 * block."""
     sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    rows = indexed.join(sizes, "list").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    # One row per centroid at most, whose number the index bounds.
+    rows = indexed.join(F.broadcast(sizes), "list").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(F.col("b"), k).alias("qb"), F.greatest(F.col("b"), k).alias("sb")))
     pack_no = F.when(F.col("nb") == 1, F.floor(F.col("list") / PACK)).otherwise(-1 - F.col("list")).cast("int").alias("pack")
     spread_out = rows.select(*indexed.columns, pack_no, F.explode(others).alias("p"), "b")
