@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import render
 from .functions.classify import classify
 from .model import current_edges, current_nodes
 from .operators import analysis, link, retrieve, store, traverse
@@ -47,10 +48,15 @@ class GraphStore:
         return GraphStore(n, e, self.branches)
 
     def link(self, phases: list[str] | None = None) -> "GraphStore":
-        """The store with the edges of the link phases."""
-        found = link.run_phases(self.view[0], phases).groupBy("id").agg(F.first(F.struct("type", "source_id", "target_id", "kind")).alias("e")).select(
+        """The store with the edges of the link phases, the services they create and the full paths they find."""
+        given, _ = self.view
+        nodes, found = link.chain(given, phases)
+        edges = found.groupBy("id").agg(F.first(F.struct("type", "source_id", "target_id", "kind")).alias("e")).select(
             "id", "e.type", "e.source_id", "e.target_id", F.create_map(F.lit("kind"), F.col("e.kind")).alias("properties"))
-        return self.upsert(edges=found)
+        before = given.select("id", F.element_at("properties", "full_path").alias("_was"))
+        full = F.element_at("properties", "full_path")
+        changed = nodes.join(before, "id", "left").where((F.col("type") == "Service") & (link.prop("kind") == "auto") | full.isNotNull() & ~full.eqNullSafe(F.col("_was")))
+        return self.upsert(changed.drop("_was"), edges)
 
     def register_views(self) -> None:
         n, e = self.view
@@ -61,6 +67,23 @@ class GraphStore:
         return TOOLS[name](self, **arguments)
 
 
+    def context(self, name: str, **arguments) -> str:
+        """An agent's context as text: overview, architecture, service, file, impact, model, guidelines, coverage."""
+        return render.context_text(name, {k: f(self, **arguments) for k, f in CONTEXTS[name].items()})
+
+
+CONTEXTS: dict[str, dict[str, Callable[..., DataFrame]]] = {
+    "overview": {"Graph": lambda s: s.stats(), "Languages": lambda s: analysis.language_counts(s.view[0]), "Packages": lambda s: analysis.top_packages(s.view[0])},
+    "architecture": {"Layers and roles": lambda s: analysis.layer_roles(classify(s.view[0])), "Patterns": lambda s: analysis.pattern_counts(classify(s.view[0])), "Across services": lambda s: analysis.cross_service(classify(s.view[0]))},
+    "service": {"Services": lambda s: analysis.service_summary(*s.view)},
+    "file": {"Symbols": lambda s, path: analysis.symbols(s.view[0].where(F.col("file_path") == path)), "Links": lambda s, path: traverse.file_links(*s.view).where(F.col("file_path") == path)},
+    "impact": {"Impact": lambda s, node: TOOLS["get_impact_analysis"](s, node)},
+    "model": {"Models": lambda s: analysis.models(classify(s.view[0]))},
+    "guidelines": {"Guidelines": lambda s: TOOLS["get_project_guidelines"](s).select("file_path", "doc_comment")},
+    "coverage": {"Packages": lambda s: analysis.package_coverage(analysis.coverage(*s.view, "function"))},
+}
+
+# The tools' names are the interface that callers know.
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     "get_graph_overview": lambda s: s.stats(),
     "get_architecture_overview": lambda s: analysis.layer_roles(classify(s.view[0])),

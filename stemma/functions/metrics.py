@@ -62,9 +62,19 @@ def lines_of_code(text: Column, language: Column) -> Column:
     )
 
 
-def all_metrics(text: Column, language: Column) -> Column:
-    """One map of all of a file's metrics."""
-    loc = lines_of_code(text, language)
-    pairs = [("cyclomatic_complexity", complexity(text, language)), ("lines_of_code", loc["total"]), ("blank_lines", loc["blank"]), ("comment_lines", loc["comment"]), ("code_lines", loc["code"])]
-    pairs += [(n, c) for n, c in zip(("todo_count", "fixme_count", "hack_count"), markers(text))]
+#: Calculators by name: (text, language) -> {metric: column}. Further ones are added by register_calculator.
+CALCULATORS: dict = {
+    "complexity": lambda text, language: {"cyclomatic_complexity": complexity(text, language)},
+    "lines": lambda text, language: (lambda m: {"lines_of_code": m["total"], "blank_lines": m["blank"], "comment_lines": m["comment"], "code_lines": m["code"]})(lines_of_code(text, language)),
+    "markers": lambda text, language: dict(zip(("todo_count", "fixme_count", "hack_count"), markers(text))),
+}
+
+
+def register_calculator(name: str, calculate) -> None:
+    CALCULATORS[name] = calculate
+
+
+def all_metrics(text: Column, language: Column, calculators: list[str] | None = None) -> Column:
+    """One map of all of a file's metrics, or of some calculators'."""
+    pairs = [(k, c) for name in calculators or CALCULATORS for k, c in CALCULATORS[name](text, language).items()]
     return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[c.cast("double") for _, c in pairs]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
@@ -46,15 +46,14 @@ def _unset(df: DataFrame) -> DataFrame:
 def current(rows: DataFrame, columns: list[str], deleted: bool) -> DataFrame:
     """The newest delivered row of every (branch, id); rows marked deleted fall away. Nulls become unset values.
 
-    Null ids or branches are dropped, a null indexed_at is oldest. The hash aggregate keeps one row per key on
-    the map side, so repeated deliveries are not shuffled."""
+    Null ids or branches are dropped, a null indexed_at is oldest. The rank is cut down before the shuffle, so repeated
+    deliveries are not moved; columns that a query doesn't use are not read, and a branch filter reaches the scan."""
     cols = [c for c in columns if c not in ("branch", "id")]
-    at = F.coalesce("indexed_at", F.lit("0001-01-01").cast("timestamp_ntz" if rows.schema["indexed_at"].dataType.simpleString() == "timestamp_ntz" else "timestamp"))
-    kept = rows.where("id is not null and branch is not null")
-    extra = ["deleted_at"] if deleted else []
-    newest = kept.groupBy("branch", "id").agg(F.max_by(F.struct(*cols, *extra), at).alias("r")).select("branch", "id", "r.*")
+    newest = Window.partitionBy("branch", "id").orderBy(F.col("indexed_at").desc_nulls_last())
+    ranked = rows.where("id is not null and branch is not null").withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
     if deleted:
-        newest = newest.where("deleted_at is null").drop("deleted_at")
+        ranked = ranked.where("deleted_at is null")
+    newest = ranked.select("branch", "id", *cols)
     return _unset(newest)
 
 

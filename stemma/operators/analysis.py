@@ -125,7 +125,7 @@ def largest_documents(docs: DataFrame, key: str, length: str, n: int = 20) -> Da
 
 def symbols(nodes: DataFrame) -> DataFrame:
     """Everything but files, with location and line range, in the order of file and line."""
-    return nodes.where("type <> 'File'").select("id", "name", "type", X.location(F.col("file_path"), F.col("line")).alias("location"), X.line_range(F.col("line"), F.col("end_line")).alias("lines"))
+    return nodes.where("type <> 'File'").select("id", "name", "type", X.location(F.col("file_path"), F.col("line")).alias("location"), X.line_range(F.col("line"), F.col("end_line")).alias("lines"), "file_path", "line").orderBy("file_path", "line", "id").drop("file_path", "line")
 
 
 def metric_rows(nodes: DataFrame) -> DataFrame:
@@ -153,3 +153,12 @@ def architecture_facets(classified: DataFrame, per_role: int = 5) -> DataFrame:
     w = Window.partitionBy("role").orderBy("name", "id")
     first = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_role).groupBy("role").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("x"))
     return some.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("package").alias("packages")).join(first, "role").select("role", "n", "packages", F.array_join(F.transform("x", lambda s: s["name"]), ",").alias("examples"))
+
+
+def cross_service(classified: DataFrame, packages: int = 30) -> DataFrame:
+    """(kind, name, n) over all services: design patterns, roles and layers with their nodes, and the first packages by
+    name with theirs."""
+    each = lambda df, kind, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).where("name <> ''").select(F.lit(kind).alias("kind"), "name", "n")
+    pattern = each(classified.select(F.explode(F.split("patterns", ",")).alias("p")).select(F.trim("p").alias("p")), "pattern", F.col("p"))
+    named = each(classified, "package", F.col("package")).orderBy("name").limit(packages)
+    return pattern.unionByName(each(classified, "role", F.col("role"))).unionByName(each(classified, "layer", F.col("layer"))).unionByName(named)

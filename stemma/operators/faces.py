@@ -329,7 +329,32 @@ def suggest_merges(faces: DataFrame, labels: DataFrame, least: float = 0.2) -> D
             r, c = np.nonzero((s > least) & (own[:, None] < ids[None, :]))
             yield pd.DataFrame({"a": own[r], "b": ids[c], "avg": s[r, c]})
 
-    return means.repartition(partitions(spark), "cluster").mapInPandas(go, "a int, b int, avg double")
+    return means.repartition(partitions(spark), "cluster").mapInPandas(go, "a int, b int, avg double").orderBy(F.col("avg").desc(), "a", "b")
+
+
+def greatest_similarity(faces: DataFrame, labels: DataFrame, pairs: DataFrame, block: int = 1024) -> DataFrame:
+    """pairs(a, b, ...) of clusters with max, the greatest similarity of a row of the one to a row of the other.
+
+    Clusters are divided into blocks by the ids' hash, and a block of a meets a block of b in one task, so neither cluster
+    is gathered; every block pair leaves one number."""
+    f = faces.select("id", F.col("embedding").cast("array<double>").alias("e")).where("embedding is not null").join(labels.where("cluster > 0").select("id", "cluster"), "id")
+    nb = f.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    rows = f.join(nb, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    two = pairs.select("a", "b").distinct()
+    size = lambda side: nb.select(F.col("cluster").alias(side), F.col("nb").alias(f"n{side}"))
+    sized = two.join(size("a"), "a").join(size("b"), "b")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.select(F.col("cluster").alias("a"), F.col("block").alias("ba"), "e").join(sized, "a").withColumn("bb", others("nb")).withColumn("left", F.lit(True))
+    right = rows.select(F.col("cluster").alias("b"), F.col("block").alias("bb"), "e").join(sized, "b").withColumn("ba", others("na")).withColumn("left", F.lit(False))
+    cols = ["a", "b", "ba", "bb", "left", "e"]
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (_units(pdf.loc[pdf["left"] == side, "e"]) for side in (True, False))
+        top = float((x @ y.T).max()) if len(x) and len(y) else None
+        return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "max": [top]})
+
+    best = left.select(*cols).unionByName(right.select(*cols)).groupBy("a", "b", "ba", "bb").applyInPandas(go, "a int, b int, max double")
+    return pairs.join(best.groupBy("a", "b").agg(F.max("max").alias("max")), ["a", "b"])
 
 
 def cluster_sizes(labels: DataFrame, names: DataFrame | None = None) -> DataFrame:

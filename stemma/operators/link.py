@@ -1,6 +1,7 @@
 """Link phases: every phase is a join over the node table that yields edges.
 
-All phases take the current nodes (one row per id, overlay applied) and return edges with the columns of EDGES.
+All phases take the current nodes (one row per id, overlay applied) and return edges with the columns of EDGES; run in a
+chain, the first two also change the nodes that the later ones read (created services, full paths of endpoints).
 Where the semantics leave a choice open, the lowest id is taken."""
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..model import edge_id, node_id
+from ..session import cut
 
 EDGES = ["id", "type", "source_id", "target_id", "kind"]
 
@@ -43,9 +45,24 @@ def substrings(rows: DataFrame, text: str, longest: int, out: str, keep: list[st
     return slices.select(*keep, F.explode(F.array_distinct(F.flatten(ends))).alias(out))
 
 
-def longest_of(rows: DataFrame, column: Column) -> int:
-    """Length of the longest value, at least 1."""
-    return max(1, rows.agg(F.max(F.length(column)).alias("n")).first().n or 1)
+GRAM = 4
+
+
+def contained(texts: DataFrame, text: str, names: DataFrame, name: str, keep: list[str]) -> DataFrame:
+    """keep columns of texts and name, for every distinct name that a text contains. Empty names are in no text.
+
+    A name's key is one of its runs of GRAM characters (the whole name if it is shorter), the one that fewest texts hold;
+    a text's keys are all of its runs of up to GRAM characters, so their number grows with its length only, however long
+    the names are. What the keys bring together is checked."""
+    rows = texts.select(*dict.fromkeys([*keep, text]))
+    grams = substrings(rows, text, GRAM, "_gram", rows.columns).distinct()
+    held = grams.groupBy("_gram").agg(F.count("*").alias("_held"))
+    wanted = names.select(F.col(name).alias("_name")).where(F.length(name) > 0).distinct()
+    offered = wanted.select("_name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_name") - GRAM + 1, F.lit(1))), lambda k: F.substr("_name", k, F.lit(GRAM))))).alias("_gram"))
+    # A name with a run that no text holds is in none.
+    rated = offered.join(held, "_gram", "left").groupBy("_name").agg(F.min_by("_gram", F.struct("_held", "_gram")).alias("_gram"), F.count_if(F.col("_held").isNull()).alias("_none"))
+    met = grams.join(rated.where("_none = 0").select("_name", "_gram"), "_gram")
+    return met.where(F.contains(F.col(text), F.col("_name"))).select(*keep, F.col("_name").alias(name)).distinct()
 
 
 # ---- Phases 1 and 2: services, endpoints -------------------------------------------------------------------
@@ -87,12 +104,31 @@ def link_endpoints(nodes: DataFrame) -> DataFrame:
 # ---- Phase 3: API calls ---------------------------------------------------------------------------------------
 
 
+def _segment_keys(rows: DataFrame, path: str, keep: list[str], caller: bool) -> DataFrame:
+    """(keep, path, n, k1, k2, k3): a literal meets its equal and the other side's wildcard, a wildcard everything; each
+    match of two segments has exactly one key."""
+    parts = F.split(path, "/")
+
+    def keys(segment: Column) -> Column:
+        # A caller's wildcard is looked for by the end's literals and wildcards under one key, and the other way round.
+        mine, theirs = F.lit("*call"), F.lit("*end")
+        if caller:
+            return F.when(segment == "*", F.array(mine)).otherwise(F.array(F.concat(F.lit("="), segment), theirs))
+        return F.when(segment == "*", F.array(theirs, mine)).otherwise(F.array(F.concat(F.lit("="), segment), mine))
+
+    out = rows.select(*keep, path, F.size(parts).alias("n"), parts.alias("_s"))
+    for k, at in (("k1", F.lit(2)), ("k2", F.lit(3)), ("k3", F.lit(-1))):
+        out = out.withColumn(k, F.explode(keys(F.coalesce(F.try_element_at("_s", at), F.lit("")))))
+    return out.drop("_s")
+
+
 def match_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """calls(call_id, path) and endpoints(endpoint_id, path) -> (call_id, endpoint_id, tier): exact path, then one path
     a suffix of the other, then equal segments with wildcards; lowest tier, then lowest endpoint id.
 
-    Suffixes are exploded into join keys on either side and wildcards are joined on the number of segments,
-    so no tier compares all pairs of tables."""
+    Suffixes are exploded into join keys on either side. Wildcards are joined on the number of segments and, at the first,
+    second and last one, the literal or a wildcard of the other side, so every match has one key and no tier compares all
+    pairs of tables."""
     c = calls.select("call_id", X.normalize_url(F.col("path")).alias("p"))
     # Endpoints that share a path are one entry; the last one (highest id) stands for it.
     e = endpoints.groupBy(X.normalize_url(F.col("path")).alias("q")).agg(F.max("endpoint_id").alias("endpoint_id"))
@@ -101,8 +137,8 @@ def match_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     c_tail = c.select("call_id", "p", F.explode(tails(F.col("p"))).alias("k")).where("k like '/%'")
     e_tail = e.select("endpoint_id", "q", F.explode(tails(F.col("q"))).alias("k")).where("k like '/%'")
     suffix = c_tail.join(e, F.col("k") == F.col("q")).select("call_id", "endpoint_id").unionByName(c.join(e_tail, F.col("k") == F.col("p")).select("call_id", "endpoint_id"))
-    n = lambda col: F.size(F.split(col, "/"))
-    wild = c.withColumn("n", n(F.col("p"))).join(e.withColumn("n", n(F.col("q"))), "n").where(X.match_segments(F.col("p"), F.col("q"))).select("call_id", "endpoint_id")
+    wild = _segment_keys(c, "p", ["call_id"], True).join(_segment_keys(e, "q", ["endpoint_id"], False), ["n", "k1", "k2", "k3"])
+    wild = wild.where(X.match_segments(F.col("p"), F.col("q"))).select("call_id", "endpoint_id")
     found = exact.unionByName(suffix.withColumn("tier", F.lit(2))).unionByName(wild.withColumn("tier", F.lit(3)))
     return found.groupBy("call_id").agg(F.min(F.struct("tier", "endpoint_id")).alias("m")).select("call_id", "m.endpoint_id", "m.tier")
 
@@ -166,12 +202,12 @@ def match_imports(imports: DataFrame, deps: DataFrame) -> DataFrame:
     dotted, first = i.where(F.col("name").contains(".")), F.split_part("name", F.lit("."), F.lit(1))
     twice = i.where(F.size(F.split("name", r"\.")) >= 3)
     low = twice.withColumn("low", F.lower("name"))
-    subs = substrings(low, "low", longest_of(deps, F.col("name")), "sub", ["import_id", "ig"]).distinct()
-    contained = subs.join(deps.select(F.col("name").alias("key"), F.lower(F.replace("name", F.lit("-"), F.lit("."))).alias("sub")).distinct(), "sub")
+    dots = deps.select(F.col("name").alias("key"), F.lower(F.replace("name", F.lit("-"), F.lit("."))).alias("sub")).distinct()
     # Which contained name is taken is open; the smallest is.
-    contained = contained.groupBy("import_id", "ig").agg(F.min("key").alias("key")).withColumn("tier", F.lit(5000000))
+    within = low.join(contained(low, "low", dots, "sub", ["low"]), "low").join(dots, "sub")
+    within = within.groupBy("import_id", "ig").agg(F.min("key").alias("key")).withColumn("tier", F.lit(5000000))
     keys = reduce(DataFrame.unionByName, [
-        keyed(i, F.col("name"), 0), prefixes.select("import_id", "ig", "key", "tier"), keyed(dotted, X.normalize_python(first), 3000000), keyed(dotted, first, 4000000), contained.select("import_id", "ig", "key", "tier")])
+        keyed(i, F.col("name"), 0), prefixes.select("import_id", "ig", "key", "tier"), keyed(dotted, X.normalize_python(first), 3000000), keyed(dotted, first, 4000000), within.select("import_id", "ig", "key", "tier")])
     hits = keys.join(m, "key")
     best = hits.groupBy("import_id").agg(F.min("tier").alias("tier"))
     first_hits = hits.join(best, ["import_id", "tier"])
@@ -205,9 +241,8 @@ def structural_implements(nodes: DataFrame, language: str = "go", exact_receiver
     elif exact_receiver:
         has = methods.join(structs, F.col("receiver") == F.col("sname"))
     else:
-        # Containment as equality: every substring of a receiver is a key.
         r = methods.select("method", "receiver").distinct()
-        has = substrings(r, "receiver", longest_of(structs, F.col("sname")), "sname", ["method"]).distinct().join(structs, "sname")
+        has = r.join(contained(r, "receiver", structs, "sname", ["receiver"]), "receiver").join(structs, "sname")
     have = has.select("source_id", "sfile", "method").distinct()
     both = have.join(need, "method").where((F.col("sfile") == F.col("ifile")) if same_file else (F.col("sfile") != F.col("ifile")))
     full = both.groupBy("source_id", "target_id").agg(F.count("*").alias("n")).join(size, "target_id").where("n = needed")
@@ -235,12 +270,15 @@ def nominal_implements(nodes: DataFrame) -> DataFrame:
 # ---- Phase 7: tests ------------------------------------------------------------------------------------------------------
 
 
+def _any(nodes: DataFrame, kind: str) -> Column:
+    """Whether there is any node of a type, as a scalar subquery."""
+    return F.coalesce(nodes.agg(F.max(F.col("type") == kind).alias("any")).scalar(), F.lit(False))
+
+
 def link_test_files(nodes: DataFrame) -> DataFrame:
     """Test file tests its source file: the first candidate path that a File node has. Without TestFile nodes the test
     files among the File nodes are taken."""
-    tests = nodes.where("type = 'TestFile'")
-    if not tests.limit(1).count():
-        tests = nodes.where((F.col("type") == "File") & X.is_test_file(F.col("file_path"), F.col("language")))
+    tests = nodes.where((F.col("type") == "TestFile") | ~_any(nodes, "TestFile") & (F.col("type") == "File") & X.is_test_file(F.col("file_path"), F.col("language")))
     cand = tests.select(F.col("id").alias("source_id"), F.posexplode(X.source_paths(F.col("file_path"), X.language_of(F.col("language"), F.col("file_path")))).alias("pos", "path"))
     files = nodes.where("type = 'File'").groupBy(F.col("file_path").alias("path")).agg(F.max("id").alias("target_id"))
     best = cand.join(files, "path").where("source_id <> target_id").groupBy("source_id").agg(F.min_by("target_id", "pos").alias("target_id"))
@@ -251,9 +289,7 @@ def link_test_functions(nodes: DataFrame) -> DataFrame:
     """Test function tests a function: per candidate name the function, then the method of its directory, then of its
     package; the first candidate with a hit wins, duplicate names resolve to the highest id."""
     is_test = X.is_test_function(F.col("name"), F.col("language"), F.col("file_path"))
-    tests = nodes.where("type = 'TestFunction'")
-    if not tests.limit(1).count():
-        tests = nodes.where((F.col("type") == "Function") & is_test)
+    tests = nodes.where((F.col("type") == "TestFunction") | ~_any(nodes, "TestFunction") & (F.col("type") == "Function") & is_test)
     lang = X.language_of(F.col("language"), F.col("file_path"))
     cand = tests.select(F.col("id").alias("source_id"), X.dir_name(F.col("file_path")).alias("dir"), F.col("package").alias("pkg"), F.posexplode(X.source_names(F.col("name"), lang)).alias("pos", "cand"))
     hits = []
@@ -288,16 +324,15 @@ def link_documents(nodes: DataFrame) -> DataFrame:
     case ignored). Names of blanks only are never mentioned.
 
     A text that contains a name has the name's longest run (of word characters or of marks) within one of its own
-    runs; so the runs of the texts and their substrings up to the longest key are join keys, and containment of the
-    whole name is checked on what they bring together."""
+    runs; so the distinct runs of the texts are searched for the names' longest runs, and containment of the whole name is
+    checked on what they bring together."""
     runs = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)"), F.lit(1))
     docs = nodes.where("type = 'Document'").select(F.col("id").alias("source_id"), F.lower("doc_comment").alias("text")).where(F.octet_length("text") >= 20)
     names = nodes.where(F.col("type").isin(DOCUMENTED)).select(F.col("id").alias("target_id"), F.lower("name").alias("name")).where(F.octet_length("name") >= 3)
     key = F.reduce(runs("name"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     keyed = names.select("name").distinct().withColumn("key", key).where("key <> ''")
     words = docs.select("source_id", F.explode(F.array_distinct(runs("text"))).alias("w"))
-    subs = substrings(words.select("w").distinct(), "w", longest_of(keyed, F.col("key")), "key", ["w"])
-    seen = subs.join(keyed.select("key").distinct(), "key").distinct()
+    seen = contained(words.select("w").distinct(), "w", keyed, "key", ["w"])
     pairs = words.join(seen, "w").select("source_id", "key").distinct().join(keyed, "key")
     hits = pairs.join(docs, "source_id").where(F.contains("text", "name")).select("source_id", "name")
     out = hits.join(names, "name").select("source_id", "target_id").distinct()
@@ -305,6 +340,38 @@ def link_documents(nodes: DataFrame) -> DataFrame:
         edge_id("edge", F.col("source_id"), F.concat("target_id", F.lit(":Documents"))).alias("id"), F.lit("Documents").alias("type"), "source_id", "target_id", F.lit("").alias("kind"))
 
 
+# ---- Event ends and matches found by a model (F18, J32) --------------------------------------------------------------------------------
+
+# Words in names and signatures that tell producers and consumers of events.
+PRODUCER_NAMES, PRODUCER_SIGNATURES = ["publish", "emit", "send_event", "dispatch", "fire"], ["publish", "emit", "send_event", "dispatch"]
+CONSUMER_NAMES, CONSUMER_SIGNATURES = ["subscribe", "on_event", "handle_event", "consume", "listener"], ["subscribe", "on_event", "handle_event", "consumer"]
+
+
+def event_ends(nodes: DataFrame) -> DataFrame:
+    """(id, service, produces, consumes) of the functions whose name or signature speaks of events, case ignored."""
+    says = lambda column, words: reduce(Column.__or__, [F.contains(F.lower(column), F.lit(w)) for w in words])
+    produces = says("name", PRODUCER_NAMES) | says("signature", PRODUCER_SIGNATURES)
+    consumes = says("name", CONSUMER_NAMES) | says("signature", CONSUMER_SIGNATURES)
+    return nodes.where("type = 'Function'").select("id", X.top_dir(F.col("file_path")).alias("service"), produces.alias("produces"), consumes.alias("consumes")).where("produces or consumes")
+
+
+def link_inferred(nodes: DataFrame, matches: DataFrame) -> DataFrame:
+    """matches(service, endpoint_path, confidence), as a language model returns them for a service's unresolved calls ->
+    EDGES: the service's first call (lowest id) that fits the path, else its first call, consumes the endpoint of that
+    path (of several the highest id), and the services depend on each other. Low confidence and unknown paths give none."""
+    ends = nodes.where("type = 'APIEndpoint'").groupBy(X.normalize_url(prop("path")).alias("path")).agg(F.max(F.struct("id", "file_path")).alias("end"))
+    sure = matches.where("confidence is null or confidence <> 'low'").select("service", X.normalize_url(F.col("endpoint_path")).alias("path")).distinct().join(ends, "path")
+    calls = api_calls(nodes).select(X.top_dir(F.col("file_path")).alias("service"), "call_id", X.normalize_url(F.col("path")).alias("call_path"))
+    fits = F.when(X.match_segments(F.col("call_path"), F.col("path")), 0).otherwise(1)
+    best = sure.join(calls, "service").groupBy("service", "path").agg(F.min(F.struct(fits.alias("miss"), "call_id")).alias("c"), F.first("end").alias("end"))
+    consumes = best.select(F.col("c.call_id").alias("source_id"), F.col("end.id").alias("target_id")).distinct()
+    s = services(nodes).select("group", "service_id")
+    both = best.select("service", X.top_dir(F.col("end.file_path")).alias("to")).distinct().join(s.select(F.col("group").alias("service"), F.col("service_id").alias("source_id")), "service")
+    both = both.join(s.select(F.col("group").alias("to"), F.col("service_id").alias("target_id")), "to").where("source_id <> target_id").select("source_id", "target_id").distinct()
+    made = lambda df, kind, note: df.select(edge_id(f"llm_{kind}", F.col("source_id"), F.col("target_id")).alias("id"), F.lit(kind).alias("type"), "source_id", "target_id", F.lit(note).alias("kind"))
+    return made(consumes, "Consumes", "").unionByName(made(both, "DependsOn", "api_dependency"))
+
+
 # ---- Parser-level joins (J35, J36) ----------------------------------------------------------------------------------------------------
 
 
@@ -328,10 +395,45 @@ PHASES = {
 NEW_PHASES = ["implements", "tests", "calls"]
 
 
+def add_services(nodes: DataFrame) -> DataFrame:
+    """The nodes with a Service for every top directory of files that has none: its name is the directory, its path unset."""
+    made = services(nodes).where("created")
+    kinds = dict(nodes.dtypes)
+    given = {"id": F.col("service_id"), "type": F.lit("Service"), "name": F.col("group"), "exported": F.lit(True), "properties": F.create_map(F.lit("kind"), F.lit("auto"))}
+    unset = {"string": F.lit(""), "int": F.lit(0), "boolean": F.lit(False)}
+    return nodes.unionByName(made.select(*[given.get(c, unset.get(kinds[c], F.lit(None))).cast(kinds[c]).alias(c) for c in nodes.columns]))
+
+
+def add_full_paths(nodes: DataFrame) -> DataFrame:
+    """The nodes with the full_path of every endpoint that a mounted router gives another path than its own."""
+    full = endpoint_paths(nodes).withColumnRenamed("endpoint_id", "id")
+    new = F.col("full_path").isNotNull() & (prop("path") != "") & (F.col("full_path") != prop("path"))
+    others = F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, _: k != "full_path")
+    return nodes.join(full, "id", "left").withColumn("properties", F.when(new, F.map_concat(others, F.create_map(F.lit("full_path"), F.col("full_path")))).otherwise(F.col("properties"))).select(*nodes.columns)
+
+
+#: What a phase leaves behind in the nodes for the phases after it.
+CHANGES = {"services": add_services, "endpoints": add_full_paths}
+
+
+def chain(nodes: DataFrame, phases: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after the phases in their order: each reads the nodes as the ones before it left them. Edges carry
+    their phase's name. The nodes are written once and once more per phase that changes them, so that the many joins of
+    the phases read narrow columns of a stored table instead of repeating its plan."""
+    now, found = cut(nodes), []
+    for name in phases or PHASES:
+        if name in CHANGES:
+            now = cut(CHANGES[name](now))
+        found.append(PHASES[name](now).withColumn("phase", F.lit(name)))
+    return now, reduce(DataFrame.unionByName, found)
+
+
 def run_phases(nodes: DataFrame, phases: list[str] | None = None) -> DataFrame:
-    """All phases' edges with the phase's name; services created on the way are seen by the phases that need them."""
-    return reduce(DataFrame.unionByName, [PHASES[p](nodes).withColumn("phase", F.lit(p)) for p in phases or PHASES])
+    """All edges of a chain of phases, with the phase's name."""
+    return chain(nodes, phases)[1]
 
 
-def phase_counts(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("phase").agg(F.count("*").alias("linked"))
+def phase_counts(edges: DataFrame, phases: list[str] | None = None) -> DataFrame:
+    """(phase, linked) of every phase that ran, also of those that linked nothing."""
+    names = edges.sparkSession.createDataFrame([(p,) for p in phases or PHASES], "phase string")
+    return names.join(edges.groupBy("phase").agg(F.count("*").alias("linked")), "phase", "left").fillna(0, ["linked"])

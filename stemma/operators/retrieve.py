@@ -143,11 +143,13 @@ def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: s
             with np.errstate(invalid="ignore", divide="ignore"):
                 s = np.where((n > 0) & np.isfinite(n), (m @ x.T) / n, -2.0)
             key_ids = pdf["id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(key_ids, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-            row = np.repeat(np.arange(len(ids)), order.shape[1])
-            col = order.ravel()
-            out = pd.DataFrame({"query": ids[row], "id": key_ids[col], "score": s[row, col]})
-            yield out[out["score"] > -1.5]
+            near = np.round(s, 12)
+            least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -1.5)
+            row, col = np.nonzero((near >= least[:, None]) & (near > -1.5))  # the k best and what ties with the last
+            order = np.lexsort((key_ids[col], -near[row, col], row))
+            row, col = row[order], col[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield pd.DataFrame({"query": ids[row[first]], "id": key_ids[col[first]], "score": s[row[first], col[first]]})
 
     found = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "id")
@@ -179,15 +181,42 @@ def rerank(hits: DataFrame, nodes: DataFrame, edges: DataFrame, keywords: DataFr
     cand = both.join(nodes.select("id", "type"), "id").join(centrality(edges), "id", "left").fillna(0, ["degree"])
     share = F.col("matches") / F.lit(float(max(total_keywords, 1)))
     vector = F.when((F.col("vector") == 0) & (F.col("matches") > 0), 0.5 * share).otherwise(F.col("vector"))
-    most = F.greatest(F.max("degree").over(Window.partitionBy(F.lit(1))), F.lit(1))  # over the candidates only
+    most = F.greatest(F.coalesce(cand.agg(F.max("degree").alias("m")).scalar(), F.lit(1)), F.lit(1))  # over the candidates only
     score = 0.55 * vector + 0.20 * share + 0.10 * F.col("type").isin(CODE_TYPES).cast("double") + 0.15 * F.col("degree") / most
-    out = cand.withColumn("score", F.round(score, 9))
-    top = out.orderBy(F.col("score").desc(), "id").limit(limit) if limit else out
-    return top.select("id", "vector", "matches", "degree", "score", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).alias("rank"))
+    out = cand.select("id", "vector", "matches", "degree", F.round(score, 9).alias("score"))
+    if limit:
+        top = out.orderBy(F.col("score").desc(), "id").limit(limit)  # at most `limit` rows to rank
+        return top.select("id", "vector", "matches", "degree", "score", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).alias("rank"))
+    return ranked(out)
 
 
-def search(nodes: DataFrame, edges: DataFrame, hits: DataFrame, question: str, limit: int = 15, types: list[str] | None = None, package: str = "", language: str = "", no_docs: bool = False, min_score: float = 0.0) -> DataFrame:
-    """Hybrid search: filters after the top-k, keyword hits injected under the same filters, rerank, cut."""
+def ranked(scored: DataFrame, steps: int = 10_000) -> DataFrame:
+    """scored(id, score from 0 to 1, ...) with its rank by score and id over all rows: rows are ranked within bands of the
+    score, and a band begins where the better ones end. Only the bands' sizes are summed up in one task."""
+    band = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")) * steps)
+    rows = scored.withColumn("_band", band)
+    sizes = rows.groupBy("_band").agg(F.count("*").alias("_k"))
+    before = sizes.select("_band", (F.sum("_k").over(Window.orderBy(F.col("_band").desc())) - F.col("_k")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_band").orderBy(F.col("score").desc(), "id"))
+    return rows.join(F.broadcast(before), "_band").withColumn("rank", (F.col("_before") + place).cast("int")).drop("_band", "_before")
+
+
+def fetch_size(limit: int = 15, filtered: bool = False) -> int:
+    """How many chunks a search fetches for its limit, so that enough nodes are left after merging and filtering."""
+    return min(200, min(max(limit, 1), 30) * (10 if filtered else 5))
+
+
+def tool_fetch_size(top_k: int = 15, filtered: bool = False) -> int:
+    """The same for the tool: its own limit, three times as many (60 at most) where it filters by type."""
+    k = min(max(top_k, 1), 30)
+    return min(60, 3 * k) if filtered else k
+
+
+DOCUMENT_TYPES = ["Document", "AIGuideline"]
+
+
+def rag_filters(rows: DataFrame, types: list[str] | None = None, package: str = "", language: str = "", no_docs: bool = False, min_score: float = 0.0) -> DataFrame:
+    """The rows(type, package, language, score) that pass the filters after a search; null never passes one."""
     ok = F.lit(True)
     if types:
         ok = ok & F.col("type").isin(types)
@@ -196,8 +225,34 @@ def search(nodes: DataFrame, edges: DataFrame, hits: DataFrame, question: str, l
     if language:
         ok = ok & (F.lower("language") == language.lower())
     if no_docs:
-        ok = ok & (F.col("type") != "Document")
-    kept, words = nodes.where(ok), X.keywords(question)
+        ok = ok & ~F.col("type").isin(DOCUMENT_TYPES)
+    if min_score > 0:
+        ok = ok & (F.col("score") >= min_score)
+    return rows.where(ok)
+
+
+def rag_rows(hits: DataFrame, query: str = "query_id", result: str = "result_id") -> DataFrame:
+    """A search's rows as they are shown: each (query, result, score) once, its relevance in percent and its place within
+    the query by score and id. Rows without a score are left out."""
+    one = hits.where("score is not null").select(query, result, "score").distinct()
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), result))
+    return one.select(query, result, F.round(F.col("score") * 100).cast("int").alias("relevance"), place.alias("place"))
+
+
+def ask(nodes: DataFrame, edges: DataFrame, index: DataFrame, question: str, limit: int = 15, provider: str = "hash", **filters) -> DataFrame:
+    """From a question to ranked nodes: embed it as a query, fetch chunks of index(id, chunk_index, embedding), keep each
+    node's best one, and search under the filters."""
+    spark = nodes.sparkSession
+    q = embed(spark.createDataFrame([(0, question)], "query long, text string"), "text", provider, "search_query: ")
+    numbered = index.where("embedding is not null").select(F.xxhash64("id", "chunk_index").alias("chunk"), F.col("id").alias("node_id"), "chunk_index", "embedding")
+    found = knn(numbered, "chunk", "embedding", q, "query", "embedding", fetch_size(limit, bool(filters.get("types")) or bool(filters.get("no_docs"))))
+    best = best_chunk(found.select(F.col("id").alias("chunk"), "score").join(numbered.drop("embedding"), "chunk"))
+    return search(nodes, edges, best.select(F.col("node_id").alias("id"), "score"), question, limit, **filters)
+
+
+def search(nodes: DataFrame, edges: DataFrame, hits: DataFrame, question: str, limit: int = 15, types: list[str] | None = None, package: str = "", language: str = "", no_docs: bool = False, min_score: float = 0.0) -> DataFrame:
+    """Hybrid search: filters after the top-k, keyword hits injected under the same filters, rerank, cut."""
+    kept, words = rag_filters(nodes, types, package, language, no_docs), X.keywords(question)
     return rerank(hits, kept, edges, keyword_hits(kept, words), len(words), min(max(limit, 1), 30)).where(F.col("score") >= min_score)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 IMPACT = ["Imports", "DependsOn", "Calls", "Implements", "Tests"]
 MODEL_IMPACT = ["Imports", "DependsOn", "Calls", "Contains", "Exposes", "Migrates"]
 
@@ -13,12 +15,12 @@ def impact(edges: DataFrame, roots: DataFrame, types: list[str] = IMPACT, levels
     """(root_id, id, level): what reaches each root(root_id) against the edges' direction, breadth first, each node
     once per root at its least level. The root itself is level 0 and left out. Many roots are walked at once; a level
     only joins the previous frontier."""
-    back = edges.where(F.col("type").isin(types)).select(F.col("target_id").alias("id"), F.col("source_id").alias("next")).where("id <> next").distinct()
+    back = cut(edges.where(F.col("type").isin(types)).select(F.col("target_id").alias("id"), F.col("source_id").alias("next")).where("id <> next").distinct())
     front = roots.select("root_id", F.col("root_id").alias("id")).distinct()
     seen = front.withColumn("level", F.lit(0))
     for level in range(1, levels + 1):
         reached = front.join(back, "id").select("root_id", F.col("next").alias("id")).distinct()
-        front = reached.join(seen.select("root_id", "id"), ["root_id", "id"], "left_anti")
+        front = cut(reached.join(seen.select("root_id", "id"), ["root_id", "id"], "left_anti"))  # read by the next level and the result
         seen = seen.unionByName(front.withColumn("level", F.lit(level)))
     return seen.where("level > 0")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions import render as R
 from ..functions import scalars as X
 from ..model import SQL, current_edges, current_nodes, node_id
 from ..operators import analysis as A
@@ -252,6 +253,8 @@ query("a07_layers_roles", _CLS + " select layer, role, count(*) as n from CL whe
 query("a10_models", _CLS + """ select case new_type when 'DBModel' then 'database' when 'DomainModel' then 'domain' else 'transfer' end as label, count(*) as n, count(distinct package) as packages
  from CL where new_type in ('DBModel','DomainModel','ViewModel','DTO') group by 1""")(lambda g: A.models(_cls(g)))
 
+query("a20_cross_service", _CLS + """, x as (select 'pattern' as kind, trim(unnest(string_split(patterns, ','))) as name from CL where patterns <> '' union all select 'role', role from CL union all select 'layer', layer from CL),
+ pk as (select package, count(*) as n from M where package <> '' group by 1 order by package limit 30) select kind, name, count(*) as n from x where name <> '' group by 1, 2 union all select 'package', package, n from pk""")(lambda g: A.cross_service(_cls(g)))
 query("a22_architecture_facets", _CLS + """, y as (select *, row_number() over (partition by role order by name, id) r from CL where role <> '')
  select role, count(*) as n, count(distinct package) as packages, string_agg(name, ',' order by r) filter (r <= 5) as examples from y group by 1""")(lambda g: A.architecture_facets(_cls(g)))
 query("t08_summaries", " select id, name from M where type = 'Document' and coalesce(properties['generated'], '') = 'true'")(lambda g: A.summaries(g.mn).select("id", "name"))
@@ -272,5 +275,9 @@ query("j24_file_links", """, x as (select e.type, s.file_path as s, t.file_path
 _changed = lambda g: g.mn.where("type = 'File'").select(F.col("file_path").alias("path"), F.when(F.col("language") == "ruby", "deleted").otherwise("modified").alias("status"))
 query("j25_diff_impact", """, c as (select distinct file_path as path from M where type = 'File' and language <> 'ruby') select distinct c.path, n.id, e.source_id as peer_id, p.file_path as peer_path, e.type
  from c join M n on n.file_path = c.path join ME e on e.target_id = n.id join M p on p.id = e.source_id where e.type in ('Imports','DependsOn','Calls','Implements','Tests') and p.file_path <> c.path""")(lambda g: T.diff_impact(g.mn, g.me, _changed(g)))
+query("k14_json", " select to_json({'id': id, 'name': name, 'line': line, 'exported': exported})::varchar as json from M where type = 'Method'")(
+    lambda g: R.json_lines(g.mn.where("type = 'Method'").select("id", "name", "line", "exported")))
+query("k14_table", " select id, '| ' || replace(name, '|', '\\|') || ' | ' || replace(replace(replace(doc_comment, '|', '\\|'), chr(13), ''), chr(10), ' ') || ' | ' || line || ' |' as line from M")(
+    lambda g: g.mn.select("id", R.row_line("name", "doc_comment", "line").alias("line")))
 query("j31_branch_symbols", " select id, name, file_path from M where type <> 'File' and file_path in (select file_path from M where type = 'File' and language <> 'ruby')")(
     lambda g: T.branch_symbols(g.mn, _changed(g)).select("id", "name", "file_path"))

@@ -43,7 +43,9 @@ query("f13_binary", "select path, bool_or(strpos(hex(content[1:512]), '00') > 0
     lambda g: _files(g).groupBy("path").agg(F.max(Fi.is_binary(F.col("content"))).alias("is_binary")))
 query("x07_languages", "select distinct path, case lower(regexp_extract(path, '(\\.[^./]*)$', 1)) when '.go' then 'go' when '.py' then 'python' when '.ts' then 'typescript' when '.js' then 'javascript' when '.java' then 'java' when '.rs' then 'rust' when '.cs' then 'csharp' when '.rb' then 'ruby' else '' end as language from source_files")(
     lambda g: _files(g).select("path", X.infer_language(F.col("path"), True).alias("language")).distinct())
-query("x15_mime", "select distinct path, 'application/octet-stream' as mime from source_files")(lambda g: _files(g).select("path", Fi.mime_type(F.col("path")).alias("mime")).distinct())
+query("x15_mime", """select doc_id, case regexp_extract(file_path, '(\\.[^./]*)$', 1) when '.png' then 'image/png' when '.pdf' then 'application/pdf' when '.jpg' then 'image/jpeg' when '.gif' then 'image/gif' when '.svg' then 'image/svg+xml' else 'application/octet-stream' end as mime
+ from (select doc_id, 'd/' || doc_id || ['.png', '.pdf', '.jpg', '.gif', '.svg', '.go', ''][doc_id % 7 + 1] as file_path from documents)""")(
+    lambda g: g.table("documents").select("doc_id", Fi.mime_type(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, [".png", ".pdf", ".jpg", ".gif", ".svg", ".go", ""])), (F.pmod("doc_id", F.lit(7)) + 1).cast("int")))).alias("mime")))
 query("s11_dispatch", "select distinct path, case when path like '%.go' then 'go' when path like '%.py' then 'python' else 'generic' end as parser from source_files")(
     lambda g: Fi.dispatch(_files(g).select("path").distinct(), {".go": "go", ".py": "python"}, {"go.mod": "manifest"}, "generic").select("path", "parser"))
 query("s16_changed_files", """with s as (select path, min(modification_time) as seen from source_files where path not like '%.rb' group by 1), n as (select path, max(modification_time) as m from source_files where path not like '%.java' group by 1)
@@ -51,7 +53,8 @@ query("s16_changed_files", """with s as (select path, min(modification_time) as
     lambda g: Fi.changed_files(
         _files(g).where("path not like '%.java'").groupBy("path").agg(F.max("modification_time").alias("modification_time")),
         _files(g).where("path not like '%.rb'").groupBy("path").agg(F.min("modification_time").alias("modification_time"))))
-query("s23_csv_preview")(lambda g: g.table("rag_results").where("chunk_text is not null").select("result_id", Fi.csv_preview(F.col("chunk_text")).alias("preview")).distinct())
+query("s23_csv_preview", """with k as (select distinct result_id, string_split(chunk_text, chr(10)) as l from rag_results where chunk_text is not null), t as (select result_id, list_transform(l, lambda x: regexp_replace(x, '^ +| +$', '', 'g')) as l from k)
+ select distinct result_id, 'CSV headers: ' || l[1] || case when len(l) > 1 then chr(10) || 'Sample rows:' || chr(10) || array_to_string(l[2:6], chr(10)) || chr(10) || case when len(l) > 6 then '...' || chr(10) else '' end else '' end as preview from t""")(lambda g: g.table("rag_results").where("chunk_text is not null").select("result_id", Fi.csv_preview(F.col("chunk_text")).alias("preview")).distinct())
 query("u04_gone_files", "select distinct path from source_files where path like '%.rb'")(lambda g: _files(g).select("path").subtract(_files(g).where("path not like '%.rb'").select("path")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..model import NODE_COLUMNS, SQL, node_id
 from ..operators import link as L
+from ..session import cut
 from .graph import Graph
 
 QUERIES: dict = {}
@@ -18,7 +19,8 @@ ORACLE: dict = {}
 
 
 def project(g: Graph):
-    n = g.mn.select(*NODE_COLUMNS)
+    """The nodes of main with the projected ones, written once: the phases read them many times over."""
+    n = cut(g.mn.select(*NODE_COLUMNS))
     blank = {"branch": F.lit("main"), "qualified_name": F.lit(""), "line": F.lit(0), "end_line": F.lit(0), "package": F.lit(""), "language": F.lit(""), "exported": F.lit(False),
              "signature": F.lit(""), "doc_comment": F.lit(""), "metrics": F.lit(None).cast("map<string,double>")}
     shape = lambda df, **c: df.select(*[(blank | c)[k].alias(k) for k in NODE_COLUMNS])
@@ -37,7 +39,7 @@ def project(g: Graph):
     mounts = ends.select(top.alias("top")).distinct()
     mounts = shape(mounts, id=F.concat(F.lit("mount-"), "top"), type=F.lit("Variable"), name=F.lit("router"), file_path=F.concat("top", F.lit("/main.py")),
                    properties=F.create_map(F.lit("kind"), F.lit("router_mount"), F.lit("prefix"), F.concat(F.lit("/"), "top")))
-    return n.unionByName(man).unionByName(calls).unionByName(mounts)
+    return cut(n.unionByName(man).unionByName(calls).unionByName(mounts))
 
 
 PRE = SQL + """, top as (select *, case when file_path = '' then '' when not contains(file_path, '/') or starts_with(file_path, '/') then '(root)' else split_part(file_path, '/', 1) end as top from M),
@@ -225,8 +227,37 @@ query("j22_document_mentions", """, d as (select 'doc' || doc_id as s, lower(tex
  nn as (select lower(name) as nm, id from M where type in ('Function','Method','Class','Struct','Interface','Package','File') and strlen(lower(name)) >= 3),
  x as (select d.s, nn.id as d from d join (select distinct nm from nn) u on contains(d.t, u.nm) join nn on nn.nm = u.nm)
  select distinct substr(sha256('edge:' || s || ':' || d || ':Documents'), 1, 24) as id, 'Documents' as type, s as source_id, d as target_id, '' as kind from x""")(lambda g: L.link_documents(_with_documents(g)))
-query("a25_phase_counts")(lambda g: L.phase_counts(L.run_phases(project(g))))
-query("u03_all_phases")(lambda g: L.run_phases(project(g)))
+query("f18_event_ends", """ select id, top as service, produces, consumes from (select *, regexp_matches(lower(name), 'publish|emit|send_event|dispatch|fire') or regexp_matches(lower(signature), 'publish|emit|send_event|dispatch') as produces,
+ regexp_matches(lower(name), 'subscribe|on_event|handle_event|consume|listener') or regexp_matches(lower(signature), 'subscribe|on_event|handle_event|consumer') as consumes from top where type = 'Function') where produces or consumes""")(lambda g: L.event_ends(project(g)))
+
+
+def _matches(g):
+    """Every endpoint as a model's match for the clients' service, each third one of low confidence."""
+    n = cut(project(g))
+    third = F.pmod(F.length(L.prop("path")), F.lit(3)) == 0
+    return n, n.where("type = 'APIEndpoint'").select(F.lit("client").alias("service"), L.prop("path").alias("endpoint_path"), F.when(third, "low").otherwise("high").alias("confidence"))
+
+
+query("j32_inferred_matches", _CALLS + """, ok as (select distinct norm.q from ends join norm on norm.endpoint_id = ends.id where length(ends.p) % 3 <> 0),
+ b as (select ok.q, ep.endpoint_id as e, c.call_id, (len(string_split(p,'/')) = len(string_split(q,'/')) and list_bool_and(list_transform(list_zip(string_split(p,'/'), string_split(q,'/')), lambda z: z[1] = z[2] or z[1] = '*' or z[2] = '*'))) as fits from ok join ep using (q), c),
+ w as (select q, e, call_id from b qualify row_number() over (partition by q order by (not fits)::int, call_id) = 1),
+ x as (select distinct call_id as s, e as d from w), y as (select distinct a.service_id as s, v.service_id as d from w join norm on norm.endpoint_id = w.e join svc v on v.grp = norm.top join svc a on a.grp = 'client' where a.service_id <> v.service_id)
+ select substr(sha256('llm_Consumes:' || s || ':' || d), 1, 24) as id, 'Consumes' as type, s as source_id, d as target_id, '' as kind from x union all select substr(sha256('llm_DependsOn:' || s || ':' || d), 1, 24), 'DependsOn', s, d, 'api_dependency' from y""")(
+    lambda g: L.link_inferred(*_matches(g)))
+# In a chain the third phase sees the endpoints' full paths. Of the tables' nodes four phases link nothing: no manifest names a
+# service, and no node has interface methods, calls or a test beside its source; those have their own queries above.
+_FULL = _CALLS.replace(", top from ends)", ", top from (select id, top, case when p <> '' then regexp_replace('/' || top || '/' || p, '/+', '/', 'g') else p end as p from ends))", 1)
+_CHAIN = _FULL + _IMP + f""", dm as (select distinct d.s, M.id as d from (select id as s, lower(doc_comment) as t from M where type = 'Document' and strlen(lower(doc_comment)) >= 20) d
+   join M on M.type in ('Function','Method','Class','Struct','Interface','Package','File') and strlen(lower(M.name)) >= 3 and contains(d.t, lower(M.name))),
+ sd as (select distinct call_id, c.top as ctop, norm.top as etop from mc join c using (call_id) join norm using (endpoint_id) where c.top <> norm.top),
+ allp as (select {_E('Contains', 'service_file')}, 'services' as phase from (select distinct service_id as s, top.id as d from top join svc on svc.grp = top.top where type in ('File','TestFile'))
+  union all select {_E('Exposes', '')}, 'endpoints' from (select distinct service_id as s, ends.id as d from ends join svc on svc.grp = ends.top)
+  union all select {_E('Consumes', '')}, 'api_calls' from (select distinct call_id as s, endpoint_id as d from mc)
+  union all select {_E('DependsOn', 'api_dependency')}, 'api_calls' from (select distinct x.service_id as s, y.service_id as d from sd join svc x on x.grp = ctop join svc y on y.grp = etop)
+  union all select {_E('DependsOn', 'import_to_manifest')}, 'imports' from (select distinct import_id as s, manifest_id as d from mi)
+  union all select substr(sha256('edge:' || s || ':' || d || ':Documents'), 1, 24), 'Documents', s, d, '', 'documents' from dm)"""
+query("a25_phase_counts", _CHAIN + f" select v.phase, count(allp.phase) as linked from (select unnest({list(L.PHASES)}) as phase) v left join allp on allp.phase = v.phase group by 1")(lambda g: L.phase_counts(L.run_phases(project(g))))
+query("u03_all_phases", _CHAIN + " select id, type, source_id, target_id, kind, phase from allp")(lambda g: L.run_phases(project(g)))
 query("j35_prerequisites", f""", t as (select id, name, coalesce((select string_agg(name, ' ') from M m2 where m2.package = M.package and m2.type = 'Interface'), '') as pre from M where type in ('Interface'))
  , x as (select distinct a.id as s, b.id as d from (select id, unnest(string_split(pre, ' ')) as w from t) a join t b on b.name = a.w where a.id <> b.id) select {_E('DependsOn', 'prerequisite')} from x""")(
     lambda g: (lambda t: L.link_prerequisites(t.join(t.groupBy("package").agg(F.array_join(F.collect_list("name"), " ").alias("prerequisites")), "package")))(g.mn.where("type = 'Interface'").select("id", "name", "package")))

@@ -49,8 +49,21 @@ query("a27_lines", f""", li as (select path, lang, unnest(string_split(case when
  p as (select path, lang, i, {_TRIM} as l from li where not (l is null)),
  rec as (select path, total, blank from (select path, count(*) as total, count(*) filter (l = '') as blank from p group by 1)) select path, cast(total as int) as total, cast(blank as int) as blank from rec""", _SRC)(
     lambda g: _sources(g).select("path", M.lines_of_code(F.col("t"), F.col("lang")).alias("m")).select("path", "m.total", "m.blank"))
-query("a27_lines_of_code")(lambda g: _sources(g).select("path", M.lines_of_code(F.col("t"), F.col("lang")).alias("m")).select("path", "m.*"))
-query("a29_all_metrics")(lambda g: _sources(g).select("path", M.all_metrics(F.col("t"), F.col("lang")).alias("m")).select("path", F.explode("m").alias("metric", "value")))
+_LOC = f""", li as (select path, lang, unnest(string_split(case when t like '%\n' then t[:-2] else t end, chr(10))) as l, generate_subscripts(string_split(case when t like '%\n' then t[:-2] else t end, chr(10)), 1) as i from src),
+ p as (select path, lang, i, {_TRIM} as l from li where not (l is null)),
+ fl as (select *, case lang when 'python' then starts_with(l, '\"\"\"') or starts_with(l, chr(39) || chr(39) || chr(39)) when 'html' then starts_with(l, '<!--') else starts_with(l, '/*') end as st,
+   case lang when 'python' then ends_with(l, '\"\"\"') or ends_with(l, chr(39) || chr(39) || chr(39)) when 'html' then contains(l, '-->') else contains(l, '*/') end as en,
+   case lang when 'python' then (ends_with(l, '\"\"\"') or ends_with(l, chr(39) || chr(39) || chr(39))) and length(l) > 3 when 'html' then ends_with(l, '-->') else ends_with(l, '*/') end as es,
+   case when lang in ('go','java','typescript','javascript') then starts_with(l, '//') when lang = 'python' then starts_with(l, '#') when lang = 'html' then false else starts_with(l, '//') or starts_with(l, '#') end as one from p),
+ rec as (select path, 1 as i, false as was, false as cm from src union all
+   select fl.path, fl.i + 1, case when l = '' then was when was then not en when st then not es else false end, l <> '' and (was or st or one) from rec join fl on fl.path = rec.path and fl.i = rec.i),
+ loc as (select fl.path, count(*) as total, count(*) filter (fl.l = '') as blank, any_value(k.n) as comment from fl join (select path, count(*) filter (cm) as n from rec group by 1) k on k.path = fl.path group by 1)"""
+_RSRC = _SRC.replace("with f as", "with recursive f as", 1)
+query("a27_lines_of_code", _LOC + " select path, cast(total as int) as total, cast(blank as int) as blank, cast(comment as int) as comment, cast(total - blank - comment as int) as code from loc", _RSRC)(lambda g: _sources(g).select("path", M.lines_of_code(F.col("t"), F.col("lang")).alias("m")).select("path", "m.*"))
+_CC = f"case lang {' '.join(f"when '{k}' then 1 + " + ' + '.join(_W(w) for w in v.split()) for k, v in M.BRANCHES.items())} else 1 end"
+query("a29_all_metrics", _LOC + f""" select path, 'cyclomatic_complexity' as metric, cast({_CC} as double) as value from src union all select path, 'lines_of_code', total from loc union all select path, 'blank_lines', blank from loc
+ union all select path, 'comment_lines', comment from loc union all select path, 'code_lines', total - blank - comment from loc union all select path, 'todo_count', len(regexp_extract_all(t, '(?i)\\bTODO\\b')) from src
+ union all select path, 'fixme_count', len(regexp_extract_all(t, '(?i)\\bFIXME\\b')) from src union all select path, 'hack_count', len(regexp_extract_all(t, '(?i)\\bHACK\\b')) from src""", _RSRC)(lambda g: _sources(g).select("path", M.all_metrics(F.col("t"), F.col("lang")).alias("m")).select("path", F.explode("m").alias("metric", "value")))
 
 # Chunks by recursion: each step cuts one chunk off; offsets are in bytes, so the oracle covers ASCII texts exactly.
 query("v01_chunks")(lambda g: R.chunks(g.table("documents"), "doc_id", "text"))
@@ -99,17 +112,25 @@ query("v08_search", _RR + " select id, vector, cast(matches as int) as matches,
 query("j28_one_hop", """, D as (select source_id as node_id, target_id as peer_id, 'out' as direction, id as edge_id, type as edge_type from ME union all select target_id, source_id, 'in', id, type from ME where source_id <> target_id),
  x as (select D.*, p.name as peer_name, row_number() over (partition by node_id, edge_type order by peer_id, direction, edge_id) as place from D join M p on p.id = D.peer_id where node_id in (select id from M where type = 'Method') and edge_type in ('Calls','Implements','Imports','DependsOn','Tests','Documents'))
  select node_id, edge_type, direction, peer_id, peer_name, cast(place as int) as place from x where place <= 5""", SQL)(lambda g: R.one_hop(g.mn, g.me, g.mn.where("type = 'Method'").select(F.col("id").alias("node_id"))))
-query("p05_rag_rows", " select distinct result_id, query_id, rank, cast(round(score * 100) as int) as relevance from rag_results where score is not null")(
-    lambda g: g.table("rag_results").where("score is not null").select("result_id", "query_id", "rank", F.round(F.col("score") * 100).cast("int").alias("relevance")).distinct())
-query("f14_rag_filters", " select distinct result_id from rag_results where type <> 'Document' and contains(lower(package), 'ledger') and score >= 0.3")(
-    lambda g: g.table("rag_results").where((F.col("type") != "Document") & F.contains(F.lower("package"), F.lit("ledger")) & (F.col("score") >= 0.3)).select("result_id").distinct())
-query("w05_ranks", " select query_id, result_id, cast(row_number() over (partition by query_id order by score desc, result_id) as int) as place from (select distinct query_id, result_id, score from rag_results where score is not null)")(
-    lambda g: (lambda r: r.withColumn("place", F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "result_id"))).select("query_id", "result_id", "place"))(g.table("rag_results").where("score is not null").select("query_id", "result_id", "score").distinct()))
+query("p05_rag_rows", " select query_id, result_id, cast(round(score * 100) as int) as relevance, cast(row_number() over (partition by query_id order by score desc, result_id) as int) as place from (select distinct query_id, result_id, score from rag_results where score is not null)")(
+    lambda g: R.rag_rows(g.table("rag_results")))
+query("f14_rag_filters", """ select distinct result_id from rag_results where type in ('Function','Method','Document') and contains(lower(package), 'l') and lower(language) = 'go' and score >= 0.3 and type not in ('Document','AIGuideline')""")(
+    lambda g: R.rag_filters(g.table("rag_results"), ["Function", "Method", "Document"], "L", "Go", True, 0.3).select("result_id").distinct())
+query("w05_ranks", " select result_id, round(s, 6) as score, cast(row_number() over (order by s desc, result_id) as int) as rank from (select result_id, max(score) as s from rag_results where score is not null group by 1)")(
+    lambda g: R.ranked(g.table("rag_results").where("score is not null").groupBy("result_id").agg(F.max("score").alias("score")).withColumnRenamed("result_id", "id")).select(F.col("id").alias("result_id"), F.round("score", 6).alias("score"), "rank"))
 
 query("v06_best_chunk", "select query_id as node_id, max(score) as score, min(rank) filter (score = m) as chunk_index from (select *, max(score) over (partition by query_id) as m from rag_results where score is not null) group by 1")(
     lambda g: R.best_chunk(g.table("rag_results").where("score is not null").select(F.col("query_id").alias("node_id"), "score", F.col("rank").alias("chunk_index"))))
-query("v10_semantic_context")(lambda g: R.semantic_context(g.mn, g.me, _vector_scores(g)))
-query("x20_question_entities")(lambda g: g.table("documents").where("text is not null").select("doc_id", X.entity_in_question(F.col("text")).alias("entity")))
+query("v08_ask")(lambda g: R.ask(g.mn, g.me, R.embed(R.chunks(R.node_texts(g.mn), "id", "text"), "chunk_text", prefix="search_document: "), _Q, types=["Function", "Method"]))
+query("v10_semantic_context", _DEG + """, best as (select * from vec order by score desc, id limit 20),
+ txt as (select id, substr(name || case when package <> '' then chr(10) || 'Package: ' || package else '' end || case when file_path <> '' then chr(10) || 'File: ' || file_path else '' end
+ || case when qualified_name <> '' and qualified_name <> name then chr(10) || 'Qualified: ' || qualified_name else '' end || case when coalesce(properties['architectural_role'], '') <> '' then chr(10) || 'Role: ' || properties['architectural_role'] else '' end
+ || case when doc_comment <> '' then chr(10) || doc_comment else '' end || case when signature <> '' then chr(10) || signature else '' end, 1, 800) as text from M where doc_comment <> '' or signature <> ''),
+ D as (select source_id as node_id, target_id as peer_id, id as edge_id, type as edge_type from ME union all select target_id, source_id, id, type from ME where source_id <> target_id),
+ x as (select node_id, row_number() over (partition by node_id, edge_type order by peer_id, edge_id) as place from D join M p on p.id = D.peer_id where node_id in (select id from best) and edge_type in ('Calls','Implements','Imports','DependsOn','Tests','Documents'))
+ select best.id, score, text, coalesce(k.n, 0) as links from best join txt using (id) left join (select node_id, count(*) as n from x where place <= 5 group by 1) k on k.node_id = best.id""", SQL)(lambda g: R.semantic_context(g.mn, g.me, _vector_scores(g)))
+query("x20_question_entities", """with w as (select doc_id, list_transform(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: regexp_replace(w, '^["''`(]+|["''`),.?!:;]+$', '', 'g')) as l from documents where text is not null)
+ select doc_id, coalesce(list_filter(l, lambda w: regexp_matches(w, '^[\\w./-]+\\.[A-Za-z]{1,5}$'))[1], list_filter(l, lambda w: regexp_matches(w, '^[A-Za-z_]\\w*$') and (regexp_matches(w, '[a-z][A-Z]') or contains(w, '_')))[1], '') as entity from w""")(lambda g: g.table("documents").where("text is not null").select("doc_id", X.entity_in_question(F.col("text")).alias("entity")))
 query("x25_diff_files", "select distinct path from source_files")(
     lambda g: g.table("source_files").select(F.explode(X.diff_files(F.concat(F.lit("--- a/x\n+++ b/"), "path", F.lit("\n@@ -1 +1 @@\n")))).alias("path")).distinct())
 
@@ -128,7 +149,8 @@ query("x12_immediate_dir", " select id, case when len(string_split(file_path, '/
 query("x13_topics", " select id, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) as topic from M where type = 'Topic'", SQL)(lambda g: g.mn.where("type = 'Topic'").select("id", X.normalize_topic(F.col("name")).alias("topic")))
 query("x16_content_hash", " select distinct path, sha256(content) as hash from source_files")(lambda g: g.table("source_files").select("path", F.sha2("content", 256).alias("hash")).distinct())
 query("x18_truncate", " select id, case when length(doc_comment) > 40 then doc_comment[1:40] || '...' else doc_comment end as doc from M", SQL)(lambda g: g.mn.select("id", X.truncate(F.col("doc_comment"), 40).alias("doc")))
-query("x19_snippet")(lambda g: g.table("rag_results").where("chunk_text is not null").select("result_id", X.snippet(F.col("chunk_text")).alias("snippet")).distinct())
+query("x19_snippet", """with k as (select result_id, list_filter(list_transform(string_split(chunk_text, chr(10)), lambda x: regexp_replace(x, '^ +| +$', '', 'g')), lambda x: x <> '' and not starts_with(x, '```')) as l from rag_results where chunk_text is not null),
+ s as (select result_id, coalesce(array_to_string(l[1:3], ' | '), '') as s from k) select distinct result_id, case when length(s) > 200 then substr(s, 1, 200) || '...' else s end as snippet from s""")(lambda g: g.table("rag_results").where("chunk_text is not null").select("result_id", X.snippet(F.col("chunk_text")).alias("snippet")).distinct())
 query("p11_directories", """ , d as (select distinct file_path as p from M where type in ('File','TestFile') and contains(file_path, '/')), k as (select p, string_split(p, '/') as s from d), u as (select unnest(range(1, len(s))) as n, s from k)
  select distinct array_to_string(s[1:n], '/') as dir, case when n > 1 then array_to_string(s[1:n-1], '/') else '' end as parent from u""", SQL)(
     lambda g: g.mn.where("type in ('File', 'TestFile') and contains(file_path, '/')").select(F.split("file_path", "/").alias("s")).select(F.explode(F.sequence(F.lit(1), F.size("s") - 1)).alias("n"), "s").select(
@@ -163,11 +185,22 @@ query("l06_suggest_merges", """with f as (select face_id, cluster_id as c, embed
  u as (select c, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from f), e as (select c, unnest(v) as x, generate_subscripts(v, 1) as i from u), m as (select c, i, avg(x) as x from e group by 1, 2)
  select a.c as a, b.c as b, round(sum(a.x * b.x), 6) as avg from m a join m b on a.i = b.i and a.c < b.c group by 1, 2 having sum(a.x * b.x) > 0.2""")(
     lambda g: (lambda f: C.suggest_merges(f, f.select("id", "cluster")))(_clustered(g)).withColumn("avg", F.round("avg", 6)))
+query("a24_pair_similarity", """with f as (select face_id, cluster_id as c, embedding::double[] as v from face_records where len(embedding) = 128 and cluster_id > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ u as (select c, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from f), e as (select c, unnest(v) as x, generate_subscripts(v, 1) as i from u), m as (select c, i, avg(x) as x from e group by 1, 2),
+ p as (select a.c as a, b.c as b, sum(a.x * b.x) as s from m a join m b on a.i = b.i and a.c < b.c group by 1, 2 having sum(a.x * b.x) > 0.3)
+ select p.a, p.b, round(any_value(s), 6) as avg, round(max(list_inner_product(x.v, y.v)), 6) as max from p join u x on x.c = p.a join u y on y.c = p.b group by 1, 2""")(
+    lambda g: (lambda f, l: C.greatest_similarity(f, l, cut(C.suggest_merges(f, l, 0.3))).select("a", "b", F.round("avg", 6).alias("avg"), F.round("max", 6).alias("max")))(*(lambda f: (f, f.select("id", "cluster")))(_clustered(g))))
 query("a23_cluster_sizes", "select cluster_id as cluster, count(*) as size from face_records where cluster_id > 0 group by 1")(lambda g: C.cluster_sizes(g.table("face_records").select(F.col("cluster_id").alias("cluster"))))
 query("l04_merge", "select face_id as id, case when cluster_id in (2, 3) then 1 else cluster_id end as cluster from face_records where cluster_id is not null")(
     lambda g: C.merge_clusters(g.table("face_records").where("cluster_id is not null").select(F.col("face_id").alias("id"), F.col("cluster_id").alias("cluster")), g.spark.createDataFrame([(2, "two")], "cluster int, name string"), [2, 3], 1)[0])
 query("l05_split")(lambda g: (lambda f: C.split_cluster(f, f.select("id", "cluster"), 1, 0.75))(_clustered(g)))
-query("l08_suppression")(lambda g: C.suppress(g.table("face_records").select(F.col("image_path").alias("image"), F.col("face_idx").alias("idx"), "confidence", "bbox.*")))
+query("l08_suppression", """with recursive b as (select image_path as image, face_idx as idx, {'a': bbox.min_x::bigint, 'b': bbox.min_y::bigint, 'c': bbox.max_x::bigint, 'd': bbox.max_y::bigint} as x, row_number() over (partition by image_path order by confidence desc, face_idx) as r
+   from face_records where bbox.min_x is not null and confidence is not null),
+ step as (select image, 0 as r, [x][1:0] as kept, -1 as idx, false as ok from b where r = 1 union all
+  select image, r, case when ok then list_append(kept, x) else kept end, idx, ok from (select b.image, b.r, kept, x, b.idx, len(list_filter(kept, lambda k: greatest(0, least(x.c, k.c) - greatest(x.a, k.a)) * greatest(0, least(x.d, k.d) - greatest(x.b, k.b)) >
+    0.3 * greatest(greatest(0, x.c - x.a) * greatest(0, x.d - x.b) + greatest(0, k.c - k.a) * greatest(0, k.d - k.b) - greatest(0, least(x.c, k.c) - greatest(x.a, k.a)) * greatest(0, least(x.d, k.d) - greatest(x.b, k.b)), 1e-9))) = 0 as ok
+   from step join b on b.image = step.image and b.r = step.r + 1))
+ select image, idx from step where ok""")(lambda g: C.suppress(g.table("face_records").select(F.col("image_path").alias("image"), F.col("face_idx").alias("idx"), "confidence", "bbox.*")))
 query("p15_appearances", "select distinct 'person ' || cluster_id as person, image_path as image from face_records where cluster_id > 0")(
     lambda g: (lambda f: C.appearances(f.select("id", "image"), f.select("id", "cluster"), f.select("cluster", F.concat(F.lit("person "), F.col("cluster").cast("string")).alias("name")).distinct()))(
         g.table("face_records").where("cluster_id > 0").select(F.col("face_id").alias("id"), F.col("image_path").alias("image"), F.col("cluster_id").alias("cluster"))))

@@ -80,6 +80,58 @@ _CLIENTS = [
 ]
 
 
+# What Go predeclares, and its words that a parenthesis may follow.
+_GO_KNOWN = set(
+    "append cap clear close complex copy delete imag len make max min new panic print println real recover bool byte error float32 float64 int int8 int16 int32 int64 rune string "
+    "uint uint8 uint16 uint32 uint64 uintptr any complex64 complex128 if for switch select func return go defer range case map chan struct interface type var const import package else".split())
+_GO_CALL = re.compile(r"(?<![\w.])((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)\s*\(")
+_GO_IMPORT = re.compile(r'^\s*(?:import\s+)?(?:([\w.]+)\s+)?"([\w./-]+)"\s*$', re.M)
+
+
+class GoCalls:
+    """What the calls of a Go file refer to: its own functions, the methods of a receiver's fields, and imports by their
+    alias or last path part. Calls of other names are left for the package (the linker's cross-file calls)."""
+
+    def __init__(self, path: str, code: str, text: str, functions: dict, methods: dict):
+        self.functions, self.methods, self.aliases, self.fields = functions, methods, {}, {}
+        for m in _GO_IMPORT.finditer(text):
+            self.aliases[m.group(1) or m.group(2).rsplit("/", 1)[-1]] = f"Dependency:{path}:{m.group(2)}"
+        for m in re.finditer(r"^type\s+(\w+)\s+struct\s*\{(.*?)^\}", code, re.M | re.S):
+            self.fields[m.group(1)] = {n: t for names, t in re.findall(r"^[ \t]+(\w+(?:, *\w+)*)[ \t]+([*\[\]\w.]+)", m.group(2), re.M) for n in re.split(r",\s*", names)}
+
+    def field_type(self, chain: list[str], receiver: str) -> str:
+        """The type at the end of a chain of fields of the receiver's struct, '' if it leaves the file's structs."""
+        now = receiver
+        for k, name in enumerate(chain):
+            kind = self.fields.get(now, {}).get(name, "").lstrip("*[]")
+            if not kind or "." in kind and k < len(chain) - 1:
+                return ""
+            now = kind
+        return now if chain else ""
+
+    def of(self, body: str, own: str, receiver_name: str, receiver: str) -> tuple[list[str], list[str]]:
+        """(keys of what a body calls, names left unresolved), each once and in order."""
+        found, open_names = {}, {}
+        for m in _GO_CALL.finditer(body):
+            *chain, name = m.group(1).split(".")
+            if not chain:
+                if name in self.functions:
+                    found[self.functions[name]] = 1
+                elif name not in _GO_KNOWN:
+                    open_names[name] = 1
+                continue
+            kind = self.field_type(chain[1:], receiver) if receiver_name and chain[0] == receiver_name else ""
+            package, _, plain = kind.rpartition(".")
+            if package in self.aliases:
+                found[self.aliases[package]] = 1
+            elif (plain, name) in self.methods:
+                found[self.methods[plain, name]] = 1
+            elif len(chain) == 1 and chain[0] in self.aliases:
+                found[self.aliases[chain[0]]] = 1
+        found.pop(own, None)  # a call of itself says nothing
+        return list(found), list(open_names)
+
+
 def _is_test(path: str, language: str) -> bool:
     from ..functions.scalars import TEST_FILES
 
@@ -128,18 +180,25 @@ def parse_code(path: str, text: str):
             yield "edge", "Contains", own, f"{kind}:{path}:{name}"
     types = [(m.start(), m.group(1)) for kind, pattern in _TYPES[family] for m in re.finditer(pattern, code, re.M)]
     lines = code.split("\n")
-    for name, line, end, signature, doc, _, _ in functions_of(text, path):
-        receiver = ""
-        if language == "go" and (m := re.match(r"func\s*\(\s*\w*\s*\*?(\w+)", signature)):
-            receiver = m.group(1)
+    declared = []
+    for name, line, end, signature, doc, _, body in functions_of(text, path):
+        receiver = variable = ""
+        if language == "go" and (m := re.match(r"func\s*\(\s*(?:(\w+)\s+)?\*?(\w+)", signature)):
+            variable, receiver = m.group(1) or "", m.group(2)
         elif language != "go" and lines[line - 1][:1] in " \t" and types:
             before = [n for k, n in types if at(k) <= line]
             receiver = before[-1] if before else ""
         method = bool(receiver) and (language != "python" or re.search(r"\(\s*(self|cls)\b", signature) is not None)
         is_test = test and re.match(r"(?:Test|Benchmark|Example|Fuzz|test_|test[A-Z])", name) is not None
         kind = "TestFunction" if is_test else "Method" if method else "Function"
-        yield node(kind, name, line, end, package, language, _exported(name, language, signature), signature, doc, receiver=receiver if method else "")
-        yield "edge", "Contains", own, f"{kind}:{path}:{name}"
+        declared.append((kind, name, line, end, signature, doc, body, receiver if method else "", variable, f"{kind}:{path}:{receiver + '.' if kind == 'Method' else ''}{name}"))
+    calls = GoCalls(path, code, only_comments, {d[1]: d[9] for d in declared if d[0] != "Method"}, {(d[7], d[1]): d[9] for d in declared if d[0] == "Method"}) if language == "go" else None
+    for kind, name, line, end, signature, doc, body, receiver, variable, key in declared:
+        called, left = calls.of(body[body.find("{") :] if "{" in body else "", key, variable, receiver) if calls else ([], [])
+        yield node(kind, name, line, end, package, language, _exported(name, language, signature), signature, doc, receiver=receiver, unresolved_calls=",".join(left))
+        yield "edge", "Contains", own, key
+        for target in called:
+            yield "edge", "Calls", key, target
     seen = set()
     for pattern in _IMPORTS[family]:
         for m in re.finditer(pattern, only_comments, re.M):
@@ -176,6 +235,24 @@ def python_declarations(text: str) -> list[tuple[str, str, int]]:
 GUIDELINES = {"CLAUDE.md", "AGENTS.md", "GEMINI.md", "COPILOT.md", "AI.md"}
 
 
+MARKERS = {"TODO", "FIXME", "HACK", "XXX"}
+ELSEWHERE = ("http:", "https:", "mailto:", "#")
+
+
+def _links(line: str):
+    """(label, target) of a line's inline links. A label begins at the first bracket since the last closing one; a target
+    ends at the first parenthesis and isn't empty."""
+    at = middle = 0
+    while (middle := line.find("](", max(at, middle))) >= 0:
+        opening = line.find("[", max(at, line.rfind("]", at, middle) + 1), middle)
+        end = line.find(")", middle)
+        if opening < 0 or end <= middle + 2:
+            middle += 1
+            continue
+        yield line[opening + 1 : middle], line[middle + 2 : end]
+        at = end + 1
+
+
 @register("md", "markdown")
 def parse_markdown(path: str, text: str):
     base = path.rsplit("/", 1)[-1]
@@ -205,12 +282,14 @@ def parse_markdown(path: str, text: str):
         if m := re.match(r"(#{1,6})\s+(.+)$", s):
             yield node("Document", m.group(2).strip(), k + 1, 0, "", "markdown", kind="section", level=len(m.group(1)))
             yield "edge", "Contains", own, f"Document:{path}:{m.group(2).strip()}"
-        for m in re.finditer(r"\[([^\]]*)\]\(([^)]+)\)", s):
-            if not re.match(r"https?:|mailto:|#", m.group(2)):
-                yield node("Dependency", m.group(2), k + 1, 0, "", "markdown", kind="cross-reference", text=m.group(1))
-                yield "edge", "DependsOn", own, f"Dependency:{path}:{m.group(2)}"
-        if m := re.search(r"(?i)\b(TODO|FIXME|HACK|XXX)\b[:\s]*(.*)", s):
-            yield node("Document", f"{m.group(1).upper()}:{k + 1}", k + 1, 0, "", "markdown", False, "", m.group(2), kind="todo", marker=m.group(1).upper())
+        for label, target in _links(s):
+            if not target.startswith(ELSEWHERE):
+                yield node("Dependency", target, k + 1, 0, "", "markdown", kind="cross-reference", text=label)
+                yield "edge", "DependsOn", own, f"Dependency:{path}:{target}"
+        for word in re.finditer(r"\w+", s):
+            if (marker := word.group().upper()) in MARKERS:
+                yield node("Document", f"{marker}:{k + 1}", k + 1, 0, "", "markdown", False, "", s[word.end() :].lstrip(": \t\r\f\v"), kind="todo", marker=marker)
+                break
 
 
 @register("html", "htm", "vue", "svelte", "jinja", "jinja2", "j2", "tmpl")
@@ -390,7 +469,8 @@ def records(path: str, text: str, raw: bytes | None = None):
             if "content_hash" in props:
                 props["content_hash"] = "sha256:" + hashlib.sha256(text.encode("utf-8", "replace") if raw is None else raw).hexdigest()
             qualified = f"{package}.{props['receiver']}.{name}" if props.get("receiver") else f"{package}.{name}" if package else name
-            yield ("node", key_id(f"{kind}:{path}:{name}"), kind, name, qualified, path, line, end or line, package, language, exported, signature, doc, props, "", "")
+            within = f"{props['receiver']}." if kind == "Method" and props.get("receiver") else ""
+            yield ("node", key_id(f"{kind}:{path}:{within}{name}"), kind, name, qualified, path, line, end or line, package, language, exported, signature, doc, props, "", "")
         else:
             _, kind, a, b = r
             s, t = key_id(a), key_id(b)

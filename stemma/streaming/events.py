@@ -90,3 +90,28 @@ def sync_plan(head: str, state: DataFrame, branch: str, diff: Callable[[str], Da
 def auto_import_due(export_time: float, imported_time: float | None) -> bool:
     """Whether an export file is newer than what was imported last."""
     return imported_time is None or export_time > imported_time
+
+
+def changes_to_events(changes: DataFrame, at: Column | None = None) -> DataFrame:
+    """changes(path, change) of two scans as EVENTS: added, modified and deleted files are created, written and removed.
+    A scan walks every directory, so new directories are watched from the next one on and what is gone is seen."""
+    op = F.when(F.col("change") == "added", "Create").when(F.col("change") == "deleted", "Remove").otherwise("Write")
+    return changes.select("path", op.alias("op"), (F.current_timestamp() if at is None else at).alias("ts"))
+
+
+def index_run(store, scan: DataFrame, state: DataFrame, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], hooks: list[Callable] = ()):  # noqa: B006
+    """(store, state) after one index run over scan(path, modification_time, ...): files that are gone or changed since
+    state(path, modification_time) lose their rows, added and changed ones get what parse(files) returns, and then every
+    hook (linking, saving the vectors) turns the store into the next once, however many files changed. Where nothing
+    changed the store comes back as it was and no hook runs. Later micro-batches go through apply_batch without hooks."""
+    from ..session import cut
+    from ..sources.files import changed_files
+
+    changes = cut(changed_files(scan, state))
+    if changes.isEmpty():
+        return store, state
+    store = store.delete_files(changes.select(F.col("path").alias("file_path")))
+    store = store.upsert(*parse(scan.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")))
+    for hook in hooks:
+        store = hook(store)
+    return store, scan.select("path", "modification_time")

@@ -84,6 +84,63 @@ def test_calls_endpoints_services(spark):
     assert sorted(r.group for r in L.services(n).collect()) == ["back", "front"] and L.link_endpoints(n).count() == 2
 
 
+def test_phases_read_what_earlier_ones_left(spark):
+    """A router mounted above the endpoint: the call of the full path is found, and by the service made on the way."""
+    n = nodes(
+        spark, node("e1", "APIEndpoint", "x", "back/api/a.py", props={"path": "/users"}), node("e2", "APIEndpoint", "y", "other/b.py", props={"path": "/users"}), node("r", "Variable", "router", "back/main.py", props={"kind": "router_mount", "prefix": "/api"}),
+        dep("c1", "a", "front/x.ts", kind="api_call", path="/api/users"), node("f1", "File", "back/api/a.py", "back/api/a.py"), node("f2", "File", "front/x.ts", "front/x.ts"), node("s", "Service", "front", "front/package.json"))
+    after, found = L.chain(n)
+    assert {r.id: r.properties.get("full_path") for r in after.where("type = 'APIEndpoint'").collect()} == {"e1": "/api/users", "e2": None}
+    made = after.where("type = 'Service' and id <> 's'").collect()
+    assert [(r.name, r.file_path) for r in made] == [("back", "")] and after.count() == n.count() + 1
+    e = found.cache()
+    assert pairs(e.where("type = 'Consumes'")) == [("c1", "e1")]
+    assert pairs(e.where("phase = 'api_calls' and type = 'DependsOn'")) == [("s", made[0].id)]
+    ends = {r.source_id for r in e.collect()} | {r.target_id for r in e.collect()}
+    assert ends <= {r.id for r in after.collect()}
+    counts = {r.phase: r.linked for r in L.phase_counts(found).collect()}
+    assert set(counts) == set(L.PHASES) and counts["documents"] == 0 and counts["api_calls"] == 2
+    from stemma.facade import GraphStore
+
+    store = GraphStore(n, spark.createDataFrame([], "branch string, id string, type string, source_id string, target_id string, properties map<string,string>"), ["main"]).link()
+    nodes_after, edges_after = store.view
+    assert nodes_after.where("type = 'Service'").count() == 2 and nodes_after.where("element_at(properties, 'full_path') = '/api/users'").count() == 1 and edges_after.count() == e.select("id").distinct().count()
+
+
+def test_wildcards_equal_brute_force(spark):
+    import itertools
+
+    parts = ["a", "b", "*", "c"]
+    paths = ["/" + "/".join(p) for k in (1, 2, 3, 4) for p in itertools.islice(itertools.product(parts, repeat=k), 0, None, 1 if k < 3 else 5)]
+    df = spark.createDataFrame([(p, p) for p in paths], "call_id string, path string")
+    keyed = L._segment_keys(df.select("call_id", F.col("path").alias("p")), "p", ["call_id"], True).join(L._segment_keys(df.select(F.col("call_id").alias("endpoint_id"), F.col("path").alias("q")), "q", ["endpoint_id"], False), ["n", "k1", "k2", "k3"])
+    got = sorted((r.p, r.q) for r in keyed.where(X.match_segments(F.col("p"), F.col("q"))).collect())
+    fits = lambda p, q: len(p.split("/")) == len(q.split("/")) and all(a == b or "*" in (a, b) for a, b in zip(p.split("/"), q.split("/")))
+    assert got == sorted((p, q) for p in paths for q in paths if fits(p, q))
+
+
+def test_contained_names_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abé_") for _ in range(n))
+    texts, names = ["", "x" * 700 + "abab"] + [word(rng.randint(0, 30)) for _ in range(60)] + ["ab" * 400], ["", "x" * 300, "abab"] + [word(rng.randint(1, 7)) for _ in range(60)]
+    t, n = spark.createDataFrame([(x, "clash") for x in texts], "t string, name2 string"), spark.createDataFrame([(x,) for x in names], "name string")
+    got = sorted((r.t, r.name) for r in L.contained(t, "t", n, "name", ["t"]).collect())
+    assert got == sorted({(x, y) for x in texts for y in names if y and y in x})
+
+
+def test_event_ends_and_inferred_matches(spark):
+    n = nodes(
+        spark, node("p", name="PublishOrder", path="a/x.go"), node("c", name="run", path="b/y.go", sig="func run(c Consumer)"), node("o", name="other", path="b/z.go"), node("m", "Method", "EmitAll", "a/x.go"),
+        node("f1", "File", "a/x.go", "a/x.go"), node("f2", "File", "b/y.go", "b/y.go"), node("e", "APIEndpoint", "e", "b/y.go", props={"path": "/v1/{id}"}), dep("k1", "k", "a/x.go", kind="api_call", path="/none"), dep("k2", "k", "a/x.go", kind="api_call", path="/v1/7"))
+    assert sorted((r.id, r.service, r.produces, r.consumes) for r in L.event_ends(n).collect()) == [("c", "b", False, True), ("p", "a", True, False)]
+    m = spark.createDataFrame([("a", "/v1/{id}", "high"), ("a", "/unknown", "high"), ("b", "/v1/{id}", None)], "service string, endpoint_path string, confidence string")
+    e = L.link_inferred(n, m)
+    assert pairs(e.where("type = 'Consumes'")) == [("k2", "e")] and e.where("type = 'DependsOn'").count() == 1
+    assert L.link_inferred(n, m.withColumn("confidence", F.lit("low"))).count() == 0
+
+
 def test_implements(spark):
     m = lambda i, name, receiver: node(i, "Method", name, "s.go", props={"receiver": receiver})
     n = nodes(

@@ -56,3 +56,30 @@ def test_sync_plan(spark):
     assert Ev.sync_plan("c2", st, "main", lambda c: st)[0] == "incremental"
     assert Ev.sync_plan("c2", st, "main", lambda c: 1 / 0)[0] == "full"
     assert Ev.auto_import_due(2.0, 1.0) and not Ev.auto_import_due(1.0, 2.0) and Ev.auto_import_due(1.0, None)
+
+
+def test_index_run_parses_what_changed_and_hooks_once(spark):
+    from stemma.facade import GraphStore
+    from stemma.model import EDGE_SCHEMA, NODE_SCHEMA
+
+    at = lambda k: T + timedelta(k)
+    state = spark.createDataFrame([("a.go", at(0)), ("b.go", at(0)), ("gone.go", at(0))], "path string, modification_time timestamp")
+    scan = spark.createDataFrame([("a.go", at(0)), ("b.go", at(1)), ("new/c.go", at(1))], "path string, modification_time timestamp")
+    store = GraphStore(nodes(spark, node("1", path="a.go"), node("2", path="b.go"), node("3", path="gone.go")), edges(spark, ("main", "e", "Calls", "1", "3")), ["main"])
+    ran = []
+
+    def parse(files):
+        return nodes(spark, *[node("n" + r.path, path=r.path) for r in files.collect()]), spark.createDataFrame([], EDGE_SCHEMA)
+
+    def hook(s):
+        ran.append(1)
+        return s
+
+    after, seen = Ev.index_run(store, scan, state, parse, [hook])
+    assert sorted(r.id for r in after.view[0].collect()) == ["1", "nb.go", "nnew/c.go"] and after.view[1].count() == 0 and ran == [1]
+    again, _ = Ev.index_run(after, scan, seen, parse, [hook])
+    assert again is after and ran == [1] and len(NODE_SCHEMA) > 0
+    from stemma.sources.files import changed_files
+
+    ops = {(r.path, r.op) for r in Ev.changes_to_events(changed_files(scan, state)).collect()}
+    assert ops == {("b.go", "Write"), ("new/c.go", "Create"), ("gone.go", "Remove")}

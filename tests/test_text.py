@@ -150,6 +150,44 @@ def test_extract_frames(spark):
     assert E.extract(df.limit(0)).count() == 0
 
 
+def test_go_calls_are_resolved():
+    src = """package shop
+
+import (
+	"fmt"
+	store "example.com/x/kv"
+)
+
+type Cart struct {
+	db, log *store.Client
+	inner   *Part
+}
+
+type Part struct{}
+
+func (p *Part) Add(x int) { helper(x) }
+func (o *Other) Add(x int) {}
+
+func (c *Cart) Pay(x int) error {
+	fmt.Println("helper(")
+	c.db.Put(x)
+	c.inner.Add(len(x))
+	outside(x)
+	outside(2)
+	return helper(x)
+}
+
+func helper(x int) error { return helper(x - 1) }
+"""
+    rows = list(E.records("shop/cart.go", src))
+    ids = {(r[2], r[13].get("receiver", ""), r[3]): r for r in rows if r[0] == "node"}
+    calls = {(r[14], r[15]) for r in rows if r[0] == "edge" and r[2] == "Calls"}
+    at = lambda *k: ids[k][1]
+    pay = at("Method", "Cart", "Pay")
+    assert calls == {(at("Method", "Part", "Add"), at("Function", "", "helper")), (pay, at("Dependency", "", "fmt")), (pay, at("Dependency", "", "example.com/x/kv")), (pay, at("Method", "Part", "Add")), (pay, at("Function", "", "helper"))}
+    assert ids["Method", "Cart", "Pay"][13]["unresolved_calls"] == "outside" and at("Method", "Other", "Add") != at("Method", "Part", "Add")
+
+
 def test_lexer_states():
     """Nested comments, raw strings, lifetimes, templates with code inside, regular expressions and heredocs."""
     rs = 'fn a<\'x>(s: &\'x str) { let c = \'{\'; /* a /* nested } */ } */ let r = r#"}"#; }\n/// Doc\nfn b() { }\n'
@@ -298,3 +336,42 @@ def test_json_array_and_stored_index(spark, tmp_path):
         assert (meta.first().version, meta.first().chunks, meta.first().nodes) == (version, 3, 2)
     assert not R.needs_reindex(meta, "hash", "m") and R.needs_reindex(meta, "hash", "other") and R.needs_reindex(meta.limit(0), "hash", "m")
     assert R.remove_nodes(chunks, spark.createDataFrame([("n1",)], "id string")).count() == 1
+
+
+def _png(x, kind, filters):
+    import struct
+    import zlib
+
+    from stemma.sources import images as I
+
+    h, w, n = x.shape
+    lines = b""
+    for y in range(h):
+        f, row, up = filters[y % len(filters)], x[y].reshape(-1).astype(int), (x[y - 1].reshape(-1) if y else np.zeros(w * n, np.uint8)).astype(int)
+        left, corner = np.r_[np.zeros(n, int), row[:-n]], np.r_[np.zeros(n, int), up[:-n]]
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        lines += bytes([f]) + ((row - (0, left, up, (left + up) // 2, paeth)[f]) % 256).astype(np.uint8).tobytes()
+    chunk = lambda k, body: struct.pack(">I", len(body)) + k + body + b"0000"
+    return I.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_images_are_read_and_brought_down(spark):
+    from stemma.sources import images as I
+
+    rng = np.random.default_rng(3)
+    for kind, n in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        x = rng.integers(0, 256, (9, 7, n), dtype=np.uint8)
+        if n in (2, 4):
+            x[:, :, -1] = 255
+        want = x[:, :, :3] if n >= 3 else np.repeat(x[:, :, :1], 3, axis=2)
+        assert (I.read_png(_png(x, kind, [0, 1, 2, 3, 4])) == want).all()
+    clear = np.zeros((2, 2, 4), np.uint8)
+    assert (I.read_png(_png(clear, 6, [0])) == 255).all()
+    x = rng.integers(0, 256, (40, 80, 3), dtype=np.uint8)
+    assert (I.read_png(I.write_png(x)) == x).all() and (I.shrink(x, 80) == x).all()
+    y = I.shrink(x, 20)
+    assert y.shape == (10, 20, 3) and abs(int(y[3, 4, 1]) - x[12:16, 16:20, 1].mean()) <= 1
+    df = spark.createDataFrame([(1, bytearray(I.write_png(x))), (2, None), (3, bytearray(b"no image")), (4, bytearray())], "i int, content binary")
+    got = {r.i: r.image for r in I.downscale(df, longest=16).collect()}
+    assert (got[1].width, got[1].height, got[1].old_width) == (16, 8, 80) and got[2] is None and got[3] is None and got[4] is None
