@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
@@ -279,11 +279,17 @@ def merge_clusters(labels: DataFrame, names: DataFrame, merge: list[int], into:
 
 
 def split_cluster(faces: DataFrame, labels: DataFrame, cluster: int, least: float, min_pts: int = 2) -> DataFrame:
-    """The cluster divided by DBSCAN: the first part keeps its id, the others get new ones, noise becomes -1."""
-    part = faces.join(labels.where(F.col("cluster") == cluster).select("id"), "id").withColumn("run", F.lit("split"))
-    top = labels.agg(F.max("cluster")).first()[0] or 0
-    sub = cluster_runs(part, "run", "dbscan", least, min_pts).select("id", F.when(F.col("cluster") == 1, cluster).when(F.col("cluster") > 1, F.col("cluster") - 1 + top).otherwise(-1).alias("new"))
-    return labels.join(sub, "id", "left").select("id", F.coalesce("new", "cluster").alias("cluster"))
+    """The cluster divided by DBSCAN: of the parts in the order of their first ids the first keeps the cluster's id, the
+    others get new ones; noise becomes -1. A cluster of any size is divided, along the connected parts of its pairs at or
+    above the threshold; only one row a part is ranked."""
+    part = faces.join(labels.where(F.col("cluster") == cluster).select("id"), "id")
+    top = labels.agg(F.max("cluster").alias("top")).scalar()
+    sub = cut(cluster_whole(part, "dbscan", least, min_pts))
+    first = sub.where("cluster > 0").groupBy("run", "cluster").agg(F.min("id").alias("first"))
+    place = first.withColumn("place", F.row_number().over(Window.orderBy("first")))
+    new = F.when(F.col("place") == 1, cluster).when(F.col("place") > 1, F.col("place") - 1 + F.coalesce(top, F.lit(0))).otherwise(-1)
+    moved = sub.join(place, ["run", "cluster"], "left").select("id", new.cast("int").alias("new"))
+    return labels.join(moved, "id", "left").select("id", F.coalesce("new", "cluster").alias("cluster"))
 
 
 MAX_MEANS_BYTES = 64 << 20
@@ -377,20 +383,13 @@ def suppress(boxes: DataFrame, most: float = 0.3) -> DataFrame:
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["confidence", "idx"], ascending=[False, True])
-        kept: list = []
-        for r in pdf.itertuples():
-            a = max(0, r.max_x - r.min_x) * max(0, r.max_y - r.min_y)
-            ok = True
-            for k in kept:
-                w = max(0, min(r.max_x, k.max_x) - max(r.min_x, k.min_x))
-                h = max(0, min(r.max_y, k.max_y) - max(r.min_y, k.min_y))
-                b = max(0, k.max_x - k.min_x) * max(0, k.max_y - k.min_y)
-                if w * h > most * max(a + b - w * h, 1e-9):
-                    ok = False
-                    break
-            if ok:
-                kept.append(r)
-        return pdf.loc[[k.Index for k in kept], ["image", "idx"]]
+        x0, y0, x1, y1 = (pdf[c].to_numpy(float) for c in ("min_x", "min_y", "max_x", "max_y"))
+        area, kept = np.maximum(0, x1 - x0) * np.maximum(0, y1 - y0), np.zeros(len(pdf), bool)
+        for i in range(len(pdf)):
+            k = np.flatnonzero(kept[:i])
+            both = np.maximum(0, np.minimum(x1[i], x1[k]) - np.maximum(x0[i], x0[k])) * np.maximum(0, np.minimum(y1[i], y1[k]) - np.maximum(y0[i], y0[k]))
+            kept[i] = not (both > most * np.maximum(area[i] + area[k] - both, 1e-9)).any()
+        return pdf.loc[kept, ["image", "idx"]]
 
     src = boxes.where("min_x is not null and confidence is not null").select("image", "idx", F.col("confidence").cast("double").alias("confidence"), *[F.col(c).cast("long").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
     return src.groupBy("image").applyInPandas(go, "image string, idx int")

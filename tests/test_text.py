@@ -375,3 +375,45 @@ def test_images_are_read_and_brought_down(spark):
     df = spark.createDataFrame([(1, bytearray(I.write_png(x))), (2, None), (3, bytearray(b"no image")), (4, bytearray())], "i int, content binary")
     got = {r.i: r.image for r in I.downscale(df, longest=16).collect()}
     assert (got[1].width, got[1].height, got[1].old_width) == (16, 8, 80) and got[2] is None and got[3] is None and got[4] is None
+
+
+def test_a_cluster_is_split_whatever_its_size(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_RUN", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, f"p{i}", (np.eye(8)[i % 3 if i < 30 else 7 - i % 2] + rng.normal(size=8) * 0.02).tolist(), 4 if i < 40 else 9) for i in range(44)]
+    faces = spark.createDataFrame(rows, "id long, image string, embedding array<double>, cluster int")
+    got = {r.id: r.cluster for r in C.split_cluster(faces, faces.select("id", "cluster"), 4, 0.8).collect()}
+    assert {got[i] for i in range(0, 30, 3)} == {4} and all(got[i] == 9 for i in range(40, 44))
+    assert sorted({got[i] for i in range(40)}) == [4, 10, 11, 12, 13] and got[1] == 10 and got[2] == 11
+    pairs = C.suggest_merges(faces, faces.select("id", "cluster"), -1.0)
+    top = {(r.a, r.b): r["max"] for r in C.greatest_similarity(faces, faces.select("id", "cluster"), pairs, block=8).collect()}
+    u = {i: np.array(v) / np.linalg.norm(v) for i, _, v, _ in rows}
+    assert abs(top[4, 9] - max(u[i] @ u[j] for i in range(40) for j in range(40, 44))) < 1e-9
+
+
+def test_ranks_over_all_rows(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice([0.0, 1.0, 0.5, rng.random()])) for i in range(300)]
+    got = {r.id: r["rank"] for r in R.ranked(spark.createDataFrame(rows, "id int, score double")).collect()}
+    assert [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))] == sorted(got, key=got.get) and sorted(got.values()) == list(range(1, 301))
+    assert (R.fetch_size(15), R.fetch_size(30, True), R.tool_fetch_size(15), R.tool_fetch_size(30, True)) == (75, 200, 15, 60)
+
+
+def test_questions_are_answered_end_to_end(spark):
+    from test_store import edges, node, nodes
+
+    n = nodes(spark, *[node(str(i), "Function" if i % 2 else "Document", f"ledger{i}", sig="f()", doc=f"text {i}") for i in range(12)])
+    index = R.embed(R.chunks(R.node_texts(n), "id", "text"), "chunk_text", prefix="search_document: ")
+    got = R.ask(n, edges(spark), index, "how does the ledger3 work", 5, no_docs=True).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and got[0].id == "3" and all(int(r.id) % 2 for r in got)
+
+
+def test_results_as_text(spark):
+    from stemma.functions import render
+
+    df = spark.createDataFrame([("a|b", 1, None), ("c\nd", None, "x")], "name string, n int, t string")
+    assert [r.json for r in render.json_lines(df).collect()] == ['{"name":"a|b","n":1}', '{"name":"c\\nd","t":"x"}']
+    assert render.table_text(df, "T", 1) == "## T\n\n| name | n | t |\n|-|-|-|\n| a\\|b | 1 |  |\n... more than 1 rows\n"
+    assert render.context_text("All", {"one": df, "none": df.limit(0)}).count("##") == 1
