@@ -17,10 +17,10 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import partitions, ship
+from ..session import cut, partitions, ship
 
 LIMIT, OVERLAP, RANGE = 1500, 200, 1 << 16
-PIECES = "item string, range_no long, piece_in_range int, start long, end long, text string"
+PIECES = "item string, range_no long, piece_in_range int, n_in_range int, start long, end long, text string"
 
 _PARAGRAPH = regex.compile(rb"(?:\r?\n[ \t]*){2,}|\r\r")
 _LINE = regex.compile(rb"\r\n|\n|\r")
@@ -104,8 +104,9 @@ def _cut_ranges(limit: int, overlap: int, size: int):
             out = []
             for item, data, origin, total, number in zip(pdf["item"], pdf["data"], pdf["origin"], pdf["total"], pdf["range_no"]):
                 data, origin = bytes(data), int(origin)
-                for k, (a, b) in enumerate(range_pieces(data, origin, int(total), int(number), limit, overlap, size)):
-                    out.append((item, int(number), k, a, b, data[a - origin : b - origin].decode("utf-8", "replace")))
+                found = list(range_pieces(data, origin, int(total), int(number), limit, overlap, size))
+                for k, (a, b) in enumerate(found):
+                    out.append((item, int(number), k, len(found), a, b, data[a - origin : b - origin].decode("utf-8", "replace")))
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in PIECES.split(", ")])
 
     return run
@@ -115,6 +116,11 @@ def _ranges(total: Column, size: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((total - 1) / size)).cast("long"))
 
 
+def _whole(pieces: DataFrame) -> DataFrame:
+    """Numbered pieces of items that are one range: the range's own count is the item's."""
+    return pieces.select("item", F.col("piece_in_range").alias("piece_no"), F.col("n_in_range").alias("n_pieces"), "start", "end", "text")
+
+
 def _numbered(pieces: DataFrame) -> DataFrame:
     """piece_no and n_pieces of the item, by a prefix sum over the small table of pieces per range."""
     counts = pieces.groupBy("item", "range_no").agg(F.count("*").alias("n"))
@@ -151,8 +157,10 @@ def split_items(items: DataFrame, item: str, text: str, limit: int = LIMIT, over
 
 
 def _pieces(ranges: DataFrame, limit: int, overlap: int, size: int) -> DataFrame:
-    spread = ranges.repartition(partitions(ranges.sparkSession), "item", "range_no")
-    return _numbered(spread.select("item", "data", "origin", "total", "range_no").mapInPandas(_cut_ranges(limit, overlap, size), PIECES))
+    """Items of one range are cut and numbered in one pass; only those of several need their ranges' counts."""
+    spread = ranges.repartition(partitions(ranges.sparkSession), "item", "range_no").select("item", "data", "origin", "total", "range_no")
+    pieces = lambda condition: spread.where(condition).mapInPandas(_cut_ranges(limit, overlap, size), PIECES)
+    return _whole(pieces(F.col("total") <= size)).unionByName(_numbered(pieces(F.col("total") > size)))
 
 
 def split_files(files: DataFrame, path: str, length: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
@@ -174,7 +182,8 @@ def split_files(files: DataFrame, path: str, length: str, limit: int = LIMIT, ov
             yield pdf.assign(origin=origins, data=blobs)
 
     loaded = planned.repartition(partitions(files.sparkSession), "item", "range_no").mapInPandas(read, "item string, total long, range_no long, origin long, data binary")
-    return _numbered(loaded.select("item", "data", "origin", "total", "range_no").mapInPandas(_cut_ranges(limit, overlap, size), PIECES))
+    # Every range is read once: its pieces are written before their counts are summed up.
+    return _numbered(cut(loaded.select("item", "data", "origin", "total", "range_no").mapInPandas(_cut_ranges(limit, overlap, size), PIECES)))
 
 
 def _check(limit: int, overlap: int, size: int) -> None:
