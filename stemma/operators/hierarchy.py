@@ -158,9 +158,17 @@ def hierarchies(links: DataFrame, nodes: DataFrame | None = None, max_component:
     if n_large:
         big = cut(tagged.join(large, "component").select("child", "parent"))
         wide = cut(_double(big, with_paths))
-        below = wide.where("depth >= 0").select(F.explode("path").alias("node_id")).groupBy("node_id").agg((F.count("*") - 1).alias("k"))
-        wide = wide.join(below, "node_id", "left").withColumn("n_descendants", F.coalesce("k", F.lit(0))).drop("k")
-        if not with_paths:
+        if with_paths:
+            ways = wide.where("depth >= 0").select("node_id", "path")
+            hanging = cut(wide.where("depth < 0 and not on_loop").select(F.col("node_id").alias("child")))
+            if not hanging.isEmpty():
+                # Without the rings' own links, what hangs on a loop is a tree below the ring's node.
+                inner = cut(_double(big.join(hanging, "child", "left_semi"), True)).select("node_id", "path")
+                ways = cut(ways.unionByName(inner))
+            below = ways.select(F.explode("path").alias("node_id")).groupBy("node_id").agg((F.count("*") - 1).alias("k"))
+            wide = wide.drop("path").join(ways, "node_id", "left").withColumn("path", F.coalesce("path", F.array("node_id")))
+            wide = wide.join(below, "node_id", "left").withColumn("n_descendants", F.coalesce("k", F.lit(0))).drop("k")
+        else:
             wide = wide.withColumn("path", F.lit(None).cast("array<string>")).withColumn("n_descendants", F.lit(None).cast("long"))
         out = out.unionByName(wide.select(out.columns))
     if nodes is not None:

@@ -120,3 +120,12 @@ def test_components_equal_union_find(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links + [(None, 3)], "u long, v long")).collect()}
     assert got == want
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_large_components_give_what_the_walk_gives(spark):
+    """Trees, a loop with trees on it, a loop alone and an edge to itself, walked and by pointer doubling."""
+    links = [("b", "a"), ("c", "b"), ("d", "b"), ("e", "d")] + [("p", "q"), ("q", "r"), ("r", "p"), ("s", "p"), ("t", "s"), ("u", "s"), ("v", "q")] + [("x", "y"), ("y", "x"), ("z", "z"), ("w", "z")]
+    df = spark.createDataFrame(links, "child string, parent string")
+    key = lambda r: (r.node_id, r.parent_id, r.root_id, r.depth, tuple(r.path), r.n_descendants, r.on_loop, r.loop_size)
+    walked, doubled = (sorted(map(key, hierarchies(df, max_component=m).collect())) for m in (1000, 1))
+    assert walked == doubled and len(walked) == 16
