@@ -24,7 +24,7 @@ from ..session import cut, drop_cut
 from .postings import BLOCK, blocks
 from .similar import K, LEAST, lists_of, near_links, posting_lists
 
-WIDTH, PRUNE, INFLATION, ROUNDS, FINISH, STILL = 8, 0.05, 2.0, 100, 200_000, 1e-3
+WIDTH, PRUNE, INFLATION, ROUNDS, FINISH, STILL = 8, 0.05, 2.0, 100, 1 << 19, 1e-3
 # One missed link can part a group, so rows enter more lists than problem 5 needs.
 WIDE_REACH, WIDE_ENTRIES = 0.36, 32
 
