@@ -81,11 +81,17 @@ query("e02_python_imports", """with f as (select path, max(decode(content)) as t
  select distinct path as file_path, case when regexp_matches(s, '^\\s*from\\s') then regexp_extract(s, '^\\s*from\\s+([\\w.]+)\\s+import\\b', 1) else regexp_extract(s, '^\\s*import\\s+([\\w.]+)', 1) end as name from l
  where regexp_matches(s, '^\\s*from\\s+[\\w.]+\\s+import\\b') or regexp_matches(s, '^\\s*import\\s+[\\w.]+')""")(
     lambda g: E.extract(_one(g).where("path like '%.py'")).where("type = 'Dependency' and kind = 'node'").select("file_path", "name"))
-_MD = "with d as (select doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as s from documents where text is not null and not contains(text, '```') and not starts_with(text, '---'))"
-query("e10_markdown_sections", _MD + " select distinct 'd/' || doc_id || '.md' as file_path, trim(regexp_extract(s, '^#{1,6}\\s+(.+)$', 1)) as name from d where regexp_matches(s, '^#{1,6}\\s+.+$')")(
-    lambda g: E.extract(g.table("documents").where("text is not null and not contains(text, '```') and not startswith(text, '---')").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))).where("element_at(properties, 'kind') = 'section'").select("file_path", "name").distinct())
-query("e16_generic_documents", "select 'd/' || doc_id || '.text' as path, 'sha256:' || sha256(text) as hash from documents where text is not null and not contains(text, chr(13))")(
-    lambda g: E.extract(g.table("documents").where("text is not null and not contains(text, '\r')").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".text")).alias("path"), F.col("text").alias("content"))).where("kind = 'node'").select(F.col("file_path").alias("path"), F.element_at("properties", "content_hash").alias("hash")))
+# Fences and front matter as states over the lines: inside a fence only its closing line counts.
+_MD = """with recursive t as (select doc_id, replace(text, chr(13) || chr(10), chr(10)) as t from documents where text is not null),
+ d as (select doc_id, unnest(string_split(t, chr(10))) as s, generate_subscripts(string_split(t, chr(10)), 1) as i from t),
+ f as (select doc_id, i, s, regexp_replace(s, '^\\s+|\\s+$', '', 'g') = '---' as bar, regexp_matches(s, '^```\\w*\\s*$') as op, regexp_matches(s, '^```\\s*$') as cl from d),
+ fm as (select doc_id, case when bool_or(i = 1 and bar) then coalesce(min(i) filter (i > 1 and bar), 0) else 0 end as last from f group by 1),
+ b as (select f.*, last from f join fm using (doc_id)),
+ st as (select doc_id, last + 1 as i, false as inside from fm union all select st.doc_id, st.i + 1, case when inside then not cl else op end from st join b on b.doc_id = st.doc_id and b.i = st.i)"""
+query("e10_markdown_sections", _MD + " select distinct 'd/' || b.doc_id || '.md' as file_path, regexp_replace(regexp_extract(s, '^#{1,6}\\s+(.+)$', 1), '^\\s+|\\s+$', '', 'g') as name from b join st on st.doc_id = b.doc_id and st.i = b.i where not inside and not op and regexp_matches(s, '^#{1,6}\\s+.+$')")(
+    lambda g: E.extract(_documents(g, ".md")).where("element_at(properties, 'kind') = 'section'").select("file_path", "name").distinct())
+query("e16_generic_documents", "select 'd/' || doc_id || '.text' as path, 'sha256:' || sha256(text) as hash from documents where text is not null")(
+    lambda g: E.extract(_documents(g, ".text")).where("kind = 'node'").select(F.col("file_path").alias("path"), F.element_at("properties", "content_hash").alias("hash")))
 
 
 def _documents(g, suffix):
@@ -93,12 +99,9 @@ def _documents(g, suffix):
     return g.table("documents").where("text is not null").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), F.col("text").alias("content"))
 
 
-# The two queries above leave out what their SQL can't follow (fences, front matter, carriage returns); these take every document.
 query("e10_markdown_nodes")(
     lambda g: E.extract(_documents(g, ".md")).where("kind = 'node'").select(
         "file_path", "type", "name", "line", "end_line", *[F.element_at("properties", k).alias(k) for k in ("kind", "level", "lang")], F.to_json(F.map_filter("properties", lambda k, _: k.startswith("fm_"))).alias("front_matter")))
-query("e16_all_documents")(
-    lambda g: E.extract(_documents(g, ".text")).where("kind = 'node'").select(F.col("file_path").alias("path"), F.element_at("properties", "content_hash").alias("hash")))
 query("p13_document_nodes", "select distinct substr(sha256('Document:' || path || ':' || path), 1, 24) as id, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as package, 'sha256:' || sha256(content) as content_hash, length as size from source_files")(
     lambda g: D.document_nodes(_files(g)).select("id", "package", "content_hash", "size").distinct())
 query("b04_cache_misses", "select sha256(content) as hash from source_files where path not like '%.go' and sha256(content) not in (select sha256(content) from source_files where path like '%.go') group by 1")(
