@@ -102,6 +102,7 @@ def _documents(g, suffix):
 query("e10_markdown_nodes")(
     lambda g: E.extract(_documents(g, ".md")).where("kind = 'node'").select(
         "file_path", "type", "name", "line", "end_line", *[F.element_at("properties", k).alias(k) for k in ("kind", "level", "lang")], F.to_json(F.map_filter("properties", lambda k, _: k.startswith("fm_"))).alias("front_matter")))
+QUERIES["e16_all_documents"], ORACLE["e16_all_documents"] = QUERIES["e16_generic_documents"], ORACLE["e16_generic_documents"]
 query("p13_document_nodes", "select distinct substr(sha256('Document:' || path || ':' || path), 1, 24) as id, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as package, 'sha256:' || sha256(content) as content_hash, length as size from source_files")(
     lambda g: D.document_nodes(_files(g)).select("id", "package", "content_hash", "size").distinct())
 query("b04_cache_misses", "select sha256(content) as hash from source_files where path not like '%.go' and sha256(content) not in (select sha256(content) from source_files where path like '%.go') group by 1")(
