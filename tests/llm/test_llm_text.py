@@ -150,6 +150,25 @@ def test_mix_of_sources(spark):
     assert mix.mix(df.limit(0), goal)[0].count() == 0
 
 
+GIVEN = Path("/root/testdata/sf0.01")
+
+
+@VOCABULARY
+@pytest.mark.skipif(not GIVEN.exists(), reason="no test data")
+def test_shares_over_the_given_tables(spark):
+    """Every source with documents misses its goal by less than its largest document, the total being the greatest at
+    which all of them can meet their shares within their caps."""
+    targets = {r.source: r for r in spark.read.parquet(str(GIVEN / "mix_targets.parquet")).collect()}
+    copies, report = mix.mix(spark.read.parquet(str(GIVEN / "documents.parquet")), spark.read.parquet(str(GIVEN / "mix_targets.parquet")))
+    largest = {r.source: r.n for r in copies.groupBy("source").agg(F.max("n_tokens").alias("n")).collect()}
+    rows = [r for r in report.collect() if r.tokens and r.target_share > 0]
+    whole = sum(r.target_share for r in rows)
+    total = min(r.tokens * targets[r.source].max_repeats / (r.target_share / whole) for r in rows)
+    assert len(rows) > 5
+    for r in rows:
+        assert abs(r.used_tokens - r.target_share / whole * total) <= largest[r.source] and r.most_copies <= targets[r.source].max_repeats
+
+
 # ---- 1: files not written by hand -----------------------------------------------------------------------------------------------
 
 HAND = "package a\n\n// We regenerate this page at night.\nfunc Pay(x int) int {\n\tif x > 3 {\n\t\treturn x\n\t}\n\tlog.Println(x)\n\treturn 0\n}\n"
