@@ -7,6 +7,8 @@ or above its threshold connects, so the connected parts of that graph are runs t
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -299,8 +301,8 @@ def suggest_merges(faces: DataFrame, labels: DataFrame, least: float = 0.2) -> D
     """(a, b, avg) of cluster pairs (a < b) whose mean pair similarity exceeds `least`.
 
     The mean over all pairs of unit vectors is the product of the two clusters' mean vectors, so no pairs of rows are
-    formed. The means (checked to fit 64 MiB, some 65,000 clusters) go to all tasks and are multiplied in blocks;
-    only pairs above the threshold leave a task. Clusters beyond that bound have to be given in parts."""
+    formed. The means go to all tasks in slices of at most some 64 MiB (65,000 clusters) and are multiplied in blocks; only
+    pairs above the threshold leave a task."""
     spark = faces.sparkSession
     f = faces.select("id", "embedding").join(labels.where("cluster > 0").select("id", "cluster"), "id").select("cluster", F.col("embedding").cast("array<double>").alias("e"))
 
@@ -319,23 +321,27 @@ def suggest_merges(faces: DataFrame, labels: DataFrame, least: float = 0.2) -> D
     part = f.mapInPandas(sums, "cluster int, k long, s array<double>")  # one row per cluster and batch
     counts = part.select("cluster", "k", F.posexplode("s").alias("i", "x")).groupBy("cluster", "i").agg((F.sum("x") / F.greatest(F.sum("k"), F.lit(1))).alias("x"))
     means = counts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))  # one entry per dimension
-    if (means.agg(F.sum(F.size("v") * 8)).first()[0] or 0) > MAX_MEANS_BYTES:
-        raise ValueError("the clusters' means exceed 64 MiB; suggest merges for parts of them")
-    rows = sorted((r.cluster, r.v) for r in means.collect())
-    shared = spark.sparkContext.broadcast(rows)
-
-    def go(frames):
-        ids = np.array([i for i, _ in shared.value], np.int64)
-        m = np.array([v for _, v in shared.value], np.float64)
-        for pdf in frames:
-            if not len(ids) or pdf.empty:
-                continue
-            s = np.array(pdf["v"].tolist(), np.float64) @ m.T
-            own = pdf["cluster"].to_numpy()
-            r, c = np.nonzero((s > least) & (own[:, None] < ids[None, :]))
-            yield pd.DataFrame({"a": own[r], "b": ids[c], "avg": s[r, c]})
-
-    return means.repartition(partitions(spark), "cluster").mapInPandas(go, "a int, b int, avg double").orderBy(F.col("avg").desc(), "a", "b")
+    means = cut(means)
+    slices = max(1, -(-int(means.agg(F.sum(F.size("v") * 8)).first()[0] or 0) // MAX_MEANS_BYTES))
+
+    def products(part: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(sorted((r.cluster, r.v) for r in part.collect()))
+
+        def go(frames):
+            ids = np.array([i for i, _ in shared.value], np.int64)
+            m = np.array([v for _, v in shared.value], np.float64)
+            for pdf in frames:
+                if not len(ids) or pdf.empty:
+                    continue
+                s = np.array(pdf["v"].tolist(), np.float64) @ m.T
+                own = pdf["cluster"].to_numpy()
+                r, c = np.nonzero((s > least) & (own[:, None] < ids[None, :]))
+                yield pd.DataFrame({"a": own[r], "b": ids[c], "avg": s[r, c]})
+
+        return means.repartition(partitions(spark), "cluster").mapInPandas(go, "a int, b int, avg double")
+
+    found = [products(means.where(F.pmod(F.col("cluster"), F.lit(slices)) == n)) for n in range(slices)]
+    return reduce(DataFrame.unionByName, found).orderBy(F.col("avg").desc(), "a", "b")
 
 
 def greatest_similarity(faces: DataFrame, labels: DataFrame, pairs: DataFrame, block: int = 1024) -> DataFrame:

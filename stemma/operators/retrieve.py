@@ -6,6 +6,7 @@ partition of chunks keeps only its best rows per query before anything is shuffl
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -118,12 +119,20 @@ def needs_reindex(meta: DataFrame, provider: str, model: str) -> bool:
 def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
     """(query, id, score, rank): the k rows of highest cosine for every query, exact, ties to the smaller id.
 
-    queries must fit MAX_QUERY_BYTES (checked); rows of another length, null or zero take no part."""
-    spark = rows.sparkSession
-    ship(spark)
+    The queries are broadcast in slices of at most about MAX_QUERY_BYTES, one after the other; rows of another length, null
+    or zero take no part."""
+    ship(rows.sparkSession)
     size = queries.agg(F.sum(F.size(query_vector) * 8)).first()[0] or 0
-    if size > MAX_QUERY_BYTES:
-        raise ValueError("the query set exceeds 64 MiB; search it in parts")
+    slices = max(1, -(-int(size) // MAX_QUERY_BYTES))
+    part = F.pmod(F.xxhash64(F.col(query_key).cast("long")), F.lit(slices))
+    found = [_knn_slice(rows, key, vector, queries.where(part == n) if slices > 1 else queries, query_key, query_vector, k) for n in range(slices)]
+    w = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _knn_slice(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
+    """(query, id, score): the k best rows of every partition for each query of a slice that fits the broadcast."""
+    spark = rows.sparkSession
     q = queries.select(F.col(query_key).cast("long"), F.col(query_vector).cast("array<double>")).where(F.col(query_vector).isNotNull()).collect()
     shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in q])
 
@@ -151,9 +160,7 @@ def knn(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: s
             first = np.arange(len(row)) - np.searchsorted(row, row) < k
             yield pd.DataFrame({"query": ids[row[first]], "id": key_ids[col[first]], "score": s[row[first], col[first]]})
 
-    found = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, "query long, id long, score double")
-    w = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, "query long, id long, score double")
 
 
 def best_chunk(hits: DataFrame) -> DataFrame:

@@ -417,3 +417,14 @@ def test_results_as_text(spark):
     assert [r.json for r in render.json_lines(df).collect()] == ['{"name":"a|b","n":1}', '{"name":"c\\nd","t":"x"}']
     assert render.table_text(df, "T", 1) == "## T\n\n| name | n | t |\n|-|-|-|\n| a\\|b | 1 |  |\n... more than 1 rows\n"
     assert render.context_text("All", {"one": df, "none": df.limit(0)}).count("##") == 1
+
+
+def test_bounded_broadcasts_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist(), i % 6 + 1) for i in range(60)], "id long, embedding array<double>, cluster int")
+    ask = lambda: sorted(map(tuple, R.knn(rows, "id", "embedding", rows.where("id % 3 = 0"), "id", "embedding", 4).collect()))
+    merge = lambda: sorted((r.a, r.b, round(r.avg, 9)) for r in C.suggest_merges(rows.drop("cluster"), rows.select("id", "cluster"), -1.0).collect())
+    whole = ask(), merge()
+    monkeypatch.setattr(R, "MAX_QUERY_BYTES", 200)
+    monkeypatch.setattr(C, "MAX_MEANS_BYTES", 130)
+    assert (ask(), merge()) == whole and len(whole[0]) == 80 and len(whole[1]) == 15
