@@ -190,7 +190,7 @@ def similarity_groups(vectors: DataFrame, key: str, vector: str, least: float =
     drop_cut(links)
     named = lists.select("list", "id").join(clusters.select("id", "cluster"), "id")
     several = named.groupBy("list").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most")).where("least <> most").select("list")
-    # At most one row per centroid, whose number the index bounds.
+    # At most one row per list, whose number the index bounds.
     few = cut(named.join(several, "list", "left_semi").distinct())
     numbers = few.select("list").distinct()
     check = lists.select("list", "id", "v").join(F.broadcast(numbers), "list", "left_semi").join(few, ["list", "id"])

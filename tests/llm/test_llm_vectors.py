@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stemma.llm import cluster, postings, similar
+from stemma.llm import cells, cluster, postings, similar
 
 DIM = 128
 
@@ -162,3 +162,45 @@ def test_the_check_only_looks_between_clusters():
     check = cluster._between_clusters(0.75)
     assert check(unit_of_work([3] * 6)).num_rows == 0
     assert sorted(zip(*check(unit_of_work([3, 3, 4, 4, 5, 5])).to_pydict().values())) == [(4, 3), (5, 3)]
+
+
+def small_groups(seed=4, groups=700, singles=300):
+    """Groups of two to four, most of which a sample of 60 rows doesn't touch."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(groups):
+        c = postings.unit(rng.normal(size=(1, DIM)))[0]
+        rows += [c + rng.normal(size=DIM) * 0.04 for _ in range(int(rng.integers(2, 5)))]
+    rows += list(rng.normal(size=(singles, DIM)))
+    order = rng.permutation(len(rows))
+    return [(k, [float(v) for v in rows[i]]) for k, i in enumerate(order)]
+
+
+def sampled(monkeypatch, sample=60):
+    fit = postings.fit
+    monkeypatch.setattr(similar, "fit", lambda vectors, vector, key: fit(vectors, vector, key, sample))
+
+
+def test_groups_that_both_samples_miss_are_found(spark, monkeypatch):
+    rows = small_groups()
+    sampled(monkeypatch)
+    found = cluster.similarity_groups(frame(spark, rows), "face_id", "embedding")
+    got, want = {(r.id, r.group) for r in found.select("id", "group").collect()}, brute(rows)[1]
+    assert len(got & want) >= 0.995 * len(want) and len(got - want) <= 0.005 * len(want)
+
+
+@pytest.mark.parametrize("cosine", [0.76, 0.85])
+def test_alike_rows_share_a_cell_in_some_table(cosine):
+    rng = np.random.default_rng(9)
+    a = postings.unit(rng.normal(size=(400, DIM)))
+    z = rng.normal(size=a.shape)
+    z = postings.unit(z - (z * a).sum(1, keepdims=True) * a)
+    b = cosine * a + np.sqrt(1 - cosine**2) * z
+    u = np.r_[a, b].astype(np.float32)
+    v, met = cells.narrow(u), set()
+    width, tables = cells.layout(1_000_000)
+    for t in range(tables):
+        cell = cells.cells(u, cells.directions(t, DIM, 2 * width))
+        order = np.argsort(cell, kind="stable")
+        met |= {(min(p), max(p)) for p in zip(*(order[k].tolist() for k in cells.alike(cell[order], v[order])))}
+    assert len(met & {(k, k + 400) for k in range(400)}) >= 0.98 * 400 and len(met) <= 400
