@@ -189,6 +189,14 @@ def test_groups_that_both_samples_miss_are_found(spark, monkeypatch):
     assert len(got & want) >= 0.995 * len(want) and len(got - want) <= 0.005 * len(want)
 
 
+def test_neighbours_that_both_samples_miss_are_found(spark, monkeypatch):
+    rows = small_groups(7, 400, 200)
+    sampled(monkeypatch)
+    got = {(r.a, r.b) for r in similar.pairs(similar.nearest(frame(spark, rows), "face_id", "embedding")).collect()}
+    near = brute(rows)[0]
+    assert len(got & near) >= 0.995 * len(near) and len(got - near) <= 0.005 * len(near)
+
+
 @pytest.mark.parametrize("cosine", [0.76, 0.85])
 def test_alike_rows_share_a_cell_in_some_table(cosine):
     rng = np.random.default_rng(9)
