@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -212,3 +213,61 @@ def test_alike_rows_share_a_cell_in_some_table(cosine):
         order = np.argsort(cell, kind="stable")
         met |= {(min(p), max(p)) for p in zip(*(order[k].tolist() for k in cells.alike(cell[order], v[order])))}
     assert len(met & {(k, k + 400) for k in range(400)}) >= 0.98 * 400 and len(met) <= 400
+
+
+def beside(rng, u, cosine):
+    """A row for every row of u, of this cosine to it and in a direction of its own."""
+    z = rng.normal(size=u.shape)
+    z = postings.unit(z - (z * u).sum(1, keepdims=True) * u)
+    return cosine * u + np.sqrt(1 - cosine**2) * z
+
+
+def hubs(rng, near):
+    """Sampled hubs with pairs beside them: of each pair one row is `near` from its hub, the other is far from it."""
+    hub = postings.unit(rng.normal(size=(10, DIM)))
+    members = np.concatenate([h + rng.normal(size=(100, DIM)) * 0.02 for h in hub])
+    h = np.repeat(hub, 20, axis=0)
+    a = beside(rng, h, near)
+    off = postings.unit((h * a).sum(1, keepdims=True) * a - h)
+    b = 0.77 * a + np.sqrt(1 - 0.77**2) * (0.8 * off + 0.6 * postings.unit(beside(rng, off, 0.0)))
+    rows = np.r_[members, a, postings.unit(b), rng.normal(size=(300, DIM))]
+    order = rng.permutation(len(rows))
+    at = np.argsort(order)
+    return [(k, [float(v) for v in rows[i]]) for k, i in enumerate(order)], at[1000:1200], at[1200:1400]
+
+
+def test_neighbours_of_which_one_is_near_a_centroid(spark, monkeypatch):
+    rows, a, b = hubs(np.random.default_rng(12), 0.64)
+    sampled(monkeypatch)
+    got = {(r.a, r.b) for r in similar.pairs(similar.nearest(frame(spark, rows), "face_id", "embedding")).collect()}
+    near = brute(rows)[0]
+    want = near & {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+    assert len(want) >= 150 and len(got & want) >= 0.98 * len(want)
+    assert len(got & near) >= 0.98 * len(near) and len(got - near) <= 0.02 * len(near)
+
+
+def test_the_second_sample_is_not_drawn_from_the_first(spark, monkeypatch):
+    rows, sizes, choose = small_groups(5, 400, 600), [], postings.choose_centroids
+    monkeypatch.setattr(postings, "choose_centroids", lambda u: sizes.append(len(u)) or choose(u))
+    sampled(monkeypatch)
+    similar.posting_lists(frame(spark, rows), "face_id", "embedding")
+    assert len(sizes) == 2 and min(sizes) >= 35
+
+
+def test_a_cell_of_many_alike_rows_is_joined_in_bounded_memory():
+    rng = np.random.default_rng(13)
+    x = postings.unit(np.r_[rng.normal(size=(9000, DIM)) * 0.03 + np.eye(DIM)[0], rng.normal(size=(50, DIM)), rng.normal(size=(9000, DIM)) * 0.03 + np.eye(DIM)[1]])
+    tracemalloc.start()
+    a, b = cells.alike(np.zeros(len(x), np.int64), cells.narrow(x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(a) == 2 * 8999 and set(a.tolist()) == {0, 9050} and ((a == 0) == (b < 9000)).all()
+
+
+def test_neighbours_of_which_one_is_near_a_centroid_and_few_are_far(spark, monkeypatch):
+    rows, a, b = hubs(np.random.default_rng(14), 0.64)
+    fit = postings.fit
+    monkeypatch.setattr(similar, "fit", lambda vectors, vector, key: fit(vectors, vector, key, 60 if vector == "embedding" else 10_000))
+    got = {(r.a, r.b) for r in similar.pairs(similar.nearest(frame(spark, rows), "face_id", "embedding")).collect()}
+    want = brute(rows)[0] & {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+    assert len(want) >= 150 and len(got & want) >= 0.98 * len(want)
