@@ -22,9 +22,10 @@ def prop(key: str) -> Column:
     return F.coalesce(F.element_at("properties", key), F.lit(""))
 
 
-def _edges(pairs: DataFrame, edge_type: str, kind: str) -> DataFrame:
-    """pairs(source_id, target_id) as distinct edges of one kind."""
-    return pairs.select("source_id", "target_id").distinct().select(
+def _edges(pairs: DataFrame, edge_type: str, kind: str, distinct: bool = False) -> DataFrame:
+    """pairs(source_id, target_id) as distinct edges of one kind; distinct: they are already, and aren't moved for it."""
+    pairs = pairs.select("source_id", "target_id")
+    return (pairs if distinct else pairs.distinct()).select(
         edge_id(edge_type, F.col("source_id"), F.col("target_id")).alias("id"), F.lit(edge_type).alias("type"), "source_id", "target_id", F.lit(kind).alias("kind"))
 
 
@@ -192,34 +193,39 @@ def match_imports(imports: DataFrame, deps: DataFrame) -> DataFrame:
 
     Tiers: exact name; longest prefix at a slash; first dotted component (normalised, then as is); with two dots a
     contained name. An import stops at its first tier with a match; of several matches those of its own top
-    directory are kept if there are any. Prefixes and contained names are exploded into join keys."""
-    m = deps.select(F.col("id").alias("manifest_id"), F.explode(F.array_distinct(F.array("name", X.normalize_python(F.col("name"))))).alias("key"), X.top_dir(F.col("file_path")).alias("mg"))
-    i = imports.select(F.col("id").alias("import_id"), "name", X.top_dir(F.col("file_path")).alias("ig"))
-    keyed = lambda df, col, tier: df.select("import_id", "ig", col.alias("key")).where("key is not null and key <> ''").withColumn("tier", F.lit(tier))
+    directory are kept if there are any. Prefixes and contained names are exploded into join keys.
+
+    Every tier has one key per name, so the first key that any manifest has is found per distinct name. An import meets the
+    manifests of its own top directory under it, and all of them only if there are none: no pair is made that isn't kept."""
+    m = deps.select(F.col("id").alias("manifest_id"), F.explode(F.array_distinct(F.array("name", X.normalize_python(F.col("name"))))).alias("key"), X.top_dir(F.col("file_path")).alias("group"))
+    i = imports.select(F.col("id").alias("import_id"), "name", X.top_dir(F.col("file_path")).alias("group"))
+    names = i.select("name").distinct()
+    keyed = lambda df, col, tier: df.select("name", col.alias("key")).where("key is not null and key <> ''").withColumn("tier", F.lit(tier))
     parts = F.split("name", "/")
-    prefixes = i.where(F.col("name").contains("/")).select("import_id", "ig", F.explode(F.sequence(F.size(parts) - 1, F.lit(1))).alias("k"), "name")
-    prefixes = prefixes.select("import_id", "ig", F.array_join(F.slice(F.split("name", "/"), 1, F.col("k")), "/").alias("key"), (F.lit(1000000) - F.length(F.array_join(F.slice(F.split("name", "/"), 1, F.col("k")), "/"))).alias("tier"))
-    dotted, first = i.where(F.col("name").contains(".")), F.split_part("name", F.lit("."), F.lit(1))
-    twice = i.where(F.size(F.split("name", r"\.")) >= 3)
+    prefixes = names.where(F.col("name").contains("/")).select("name", F.explode(F.sequence(F.size(parts) - 1, F.lit(1))).alias("k"))
+    prefixes = prefixes.select("name", F.array_join(F.slice(parts, 1, F.col("k")), "/").alias("key")).withColumn("tier", F.lit(1000000) - F.length("key"))
+    dotted, first = names.where(F.col("name").contains(".")), F.split_part("name", F.lit("."), F.lit(1))
+    twice = names.where(F.size(F.split("name", r"\.")) >= 3)
     low = twice.withColumn("low", F.lower("name"))
     dots = deps.select(F.col("name").alias("key"), F.lower(F.replace("name", F.lit("-"), F.lit("."))).alias("sub")).distinct()
     # Which contained name is taken is open; the smallest is.
     within = low.join(contained(low, "low", dots, "sub", ["low"]), "low").join(dots, "sub")
-    within = within.groupBy("import_id", "ig").agg(F.min("key").alias("key")).withColumn("tier", F.lit(5000000))
-    keys = reduce(DataFrame.unionByName, [
-        keyed(i, F.col("name"), 0), prefixes.select("import_id", "ig", "key", "tier"), keyed(dotted, X.normalize_python(first), 3000000), keyed(dotted, first, 4000000), within.select("import_id", "ig", "key", "tier")])
-    hits = keys.join(m, "key")
-    best = hits.groupBy("import_id").agg(F.min("tier").alias("tier"))
-    first_hits = hits.join(best, ["import_id", "tier"])
-    any_same = first_hits.groupBy("import_id").agg(F.max((F.col("mg") == F.col("ig")).cast("int")).alias("same"))
-    kept = first_hits.join(any_same, "import_id").where("same = 0 or mg = ig")
+    within = within.groupBy("name").agg(F.min("key").alias("key")).withColumn("tier", F.lit(5000000))
+    keys = reduce(DataFrame.unionByName, [keyed(names, F.col("name"), 0), prefixes, keyed(dotted, X.normalize_python(first), 3000000), keyed(dotted, first, 4000000), within])
+    best = keys.join(m.select("key").distinct(), "key", "left_semi").groupBy("name").agg(F.min(F.struct("tier", "key")).alias("b"))
+    chosen = i.join(best.select("name", "b.key", "b.tier"), "name").select("import_id", "key", "group", "tier")
+    # Whether an import's own directory has the key is asked of the directories, which are no more than the manifests.
+    held = m.select("key", "group", F.lit(True).alias("own")).distinct()
+    asked = chosen.join(held, ["key", "group"], "left")
+    own = asked.where("own").join(m, ["key", "group"]).select("import_id", "manifest_id", "tier")
+    others = asked.where("own is null and group is not null").select("import_id", "key", "tier").join(m, "key").select("import_id", "manifest_id", "tier")
     tier = F.when(F.col("tier") == 0, 1).when(F.col("tier") <= 1000000, 2).when(F.col("tier") <= 4000000, 3).otherwise(4)
-    return kept.select("import_id", "manifest_id", tier.alias("tier")).distinct()
+    return own.unionByName(others).select("import_id", "manifest_id", tier.alias("tier"))
 
 
 def link_imports(nodes: DataFrame) -> DataFrame:
     imports = nodes.where((F.col("type") == "Dependency") & F.contains(prop("kind"), F.lit("import")))
-    return _edges(match_imports(imports, manifests(nodes)).select(F.col("import_id").alias("source_id"), F.col("manifest_id").alias("target_id")), "DependsOn", "import_to_manifest")
+    return _edges(match_imports(imports, manifests(nodes)).select(F.col("import_id").alias("source_id"), F.col("manifest_id").alias("target_id")), "DependsOn", "import_to_manifest", distinct=True)
 
 
 # ---- Phase 6: implements --------------------------------------------------------------------------------------------

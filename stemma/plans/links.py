@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..model import NODE_COLUMNS, SQL, node_id
 from ..operators import link as L
-from ..session import cut
+from ..session import cut, drop_cut
 from .graph import Graph
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def project(g: Graph):
-    """The nodes of main with the projected ones, written once: the phases read them many times over."""
-    n = cut(g.mn.select(*NODE_COLUMNS))
+#: The columns that imports are matched by.
+IMPORTS = ["id", "type", "name", "file_path", "properties"]
+
+
+def project(g: Graph, columns: list[str] = NODE_COLUMNS):
+    """The nodes of main with the projected ones, written once: the phases read them many times over. Only the columns
+    that are asked for are read, moved and written."""
+    n = cut(g.mn.select(*columns))
     blank = {"branch": F.lit("main"), "qualified_name": F.lit(""), "line": F.lit(0), "end_line": F.lit(0), "package": F.lit(""), "language": F.lit(""), "exported": F.lit(False),
              "signature": F.lit(""), "doc_comment": F.lit(""), "metrics": F.lit(None).cast("map<string,double>")}
-    shape = lambda df, **c: df.select(*[(blank | c)[k].alias(k) for k in NODE_COLUMNS])
+    shape = lambda df, **c: df.select(*[(blank | c)[k].alias(k) for k in columns])
     top = X.top_dir(F.col("file_path"))
     lib = g.table("library_files").groupBy(F.col("library").alias("name")).agg(F.max("version").alias("version"))
     man = n.where("type = 'Dependency'").select(top.alias("top"), "name").distinct().join(lib, "name")
@@ -39,7 +44,9 @@ def project(g: Graph):
     mounts = ends.select(top.alias("top")).distinct()
     mounts = shape(mounts, id=F.concat(F.lit("mount-"), "top"), type=F.lit("Variable"), name=F.lit("router"), file_path=F.concat("top", F.lit("/main.py")),
                    properties=F.create_map(F.lit("kind"), F.lit("router_mount"), F.lit("prefix"), F.concat(F.lit("/"), "top")))
-    return cut(n.unionByName(man).unionByName(calls).unionByName(mounts))
+    out = cut(n.unionByName(man).unionByName(calls).unionByName(mounts))
+    drop_cut(n)
+    return out
 
 
 PRE = SQL + """, top as (select *, case when file_path = '' then '' when not contains(file_path, '/') or starts_with(file_path, '/') then '(root)' else split_part(file_path, '/', 1) end as top from M),
@@ -106,10 +113,10 @@ _IMP = """, mk as (select id as manifest_id, name as key, top as mg from man uni
  f as (select * from t where tier is not null qualify tier = min(tier) over (partition by import_id)),
  k as (select *, max((mg = ig)::int) over (partition by import_id) as same from f),
  mi as (select distinct import_id, manifest_id, case when tier = 0 then 1 when tier <= 1000000 then 2 else 3 end as tier from k where same = 0 or mg = ig)"""
-query("j14_match_imports", _IMP + " select * from mi")(lambda g: (lambda n: L.match_imports(n.where((F.col("type") == "Dependency") & F.contains(L.prop("kind"), F.lit("import"))), L.manifests(n)))(project(g)))
-query("j14_import_edges", _IMP + f", x as (select distinct import_id as s, manifest_id as d from mi) select {_E('DependsOn', 'import_to_manifest')} from x")(lambda g: L.link_imports(project(g)))
+query("j14_match_imports", _IMP + " select * from mi")(lambda g: (lambda n: L.match_imports(n.where((F.col("type") == "Dependency") & F.contains(L.prop("kind"), F.lit("import"))), L.manifests(n)))(project(g, IMPORTS)))
+query("j14_import_edges", _IMP + f", x as (select distinct import_id as s, manifest_id as d from mi) select {_E('DependsOn', 'import_to_manifest')} from x")(lambda g: L.link_imports(project(g, IMPORTS)))
 query("j15_same_service", _IMP + " select import_id, count(*) as n from mi group by 1")(
-    lambda g: (lambda n: L.match_imports(n.where((F.col("type") == "Dependency") & F.contains(L.prop("kind"), F.lit("import"))), L.manifests(n)))(project(g)).groupBy("import_id").agg(F.count("*").alias("n")))
+    lambda g: (lambda n: L.match_imports(n.where((F.col("type") == "Dependency") & F.contains(L.prop("kind"), F.lit("import"))), L.manifests(n)))(project(g, IMPORTS)).groupBy("import_id").agg(F.count("*").alias("n")))
 
 # Structural implements over types of any language: the interface's first method is what a struct must have here.
 _STRUCT = """, rec as (select file_path as rf, properties['receiver'] as r, list_sort(list(distinct name))[1:2] as ms from M where type = 'Method' and coalesce(properties['receiver'], '') <> '' and not contains(name, ',') group by 1, 2),

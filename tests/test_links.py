@@ -72,6 +72,38 @@ def test_imports_prefer_the_longest_prefix_and_the_own_service(spark):
     assert pairs(L.link_imports(n)) == [("i1", "m1"), ("i2", "m4"), ("i3", "m5"), ("i4", "m6"), ("i6", "m3"), ("i6", "m4")]
 
 
+def most_rows(df):
+    """The rows of df and the most rows that a step of its plan put out."""
+    rows, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            out, kids = p.metrics().get("numOutputRows"), p.children()
+            most = max(most, out.get().value() if out.isDefined() else 0)
+            todo += [kids.apply(k) for k in range(kids.size())]
+    return rows, most
+
+
+def test_imports_make_no_pairs_that_are_not_kept(spark):
+    """120 directories with one library: 120 of 14,400 pairs are kept, and no more are made."""
+    n = nodes(spark, *[x for k in range(120) for x in (dep(f"m{k}", "axios", f"s{k}/package.json", kind="manifest_dep"), dep(f"i{k}", "axios", f"s{k}/a.ts", kind="import"))])
+    rows, most = most_rows(L.link_imports(n))
+    assert sorted((r.source_id, r.target_id) for r in rows) == sorted((f"i{k}", f"m{k}") for k in range(120)) and most <= 1000
+
+
+def test_imports_stop_at_their_first_tier_with_a_match(spark):
+    n = nodes(
+        spark, dep("a1", "lib/x", "s1/p", kind="manifest_dep"), dep("a2", "lib", "s2/p", kind="manifest_dep"), dep("b1", "my-pkg", "s1/p", kind="manifest_dep"), dep("b2", "my_pkg", "s3/p", kind="manifest_dep"), dep("b3", "My_Pkg", "s4/p", kind="manifest_dep"),
+        dep("i1", "lib/x/y", "s2/a.ts", kind="import"), dep("i2", "my_pkg.a.b", "s3/a.py", kind="import"), dep("i3", "My_Pkg.a", "s9/a.py", kind="import"), dep("i4", "lib", "", kind="import"))
+    got = sorted(tuple(r) for r in L.match_imports(n.where("id like 'i%'"), L.manifests(n)).collect())
+    assert got == [("i1", "a1", 2), ("i2", "b2", 3), ("i3", "b1", 3), ("i3", "b2", 3), ("i3", "b3", 3), ("i4", "a2", 1)]
+
+
 def test_calls_endpoints_services(spark):
     n = nodes(
         spark, node("e1", "APIEndpoint", "x", "back/api/a.py", props={"path": "/v1/users/{id}"}), node("e2", "APIEndpoint", "y", "back/api/b.py", props={"path": "/v1/data"}), node("r", "Variable", "router", "back/main.py", props={"kind": "router_mount", "prefix": "/api"}),
