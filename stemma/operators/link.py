@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..model import edge_id, node_id
 from ..session import cut
+from .orphans import BloomFilter
 
 EDGES = ["id", "type", "source_id", "target_id", "kind"]
 
@@ -329,19 +330,32 @@ def link_documents(nodes: DataFrame) -> DataFrame:
     """Document documents every code node whose name its text contains (names of 3 bytes, texts of 20 and more,
     case ignored). Names of blanks only are never mentioned.
 
-    A text that contains a name has the name's longest run (of word characters or of marks) within one of its own
-    runs; so the distinct runs of the texts are searched for the names' longest runs, and containment of the whole name is
-    checked on what they bring together."""
+    A text that contains a name has each of the name's runs (of word characters or of marks) within one of its own
+    runs. So the distinct runs of all texts are searched for the names' runs; a name is looked for by the one that fewest texts
+    hold, and one with a run that no text holds by none. Of the texts only the runs that some name is looked for by are
+    moved, told by a Bloom filter. A name of one run is contained where the run is; others are checked against the texts."""
     runs = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)"), F.lit(1))
     docs = nodes.where("type = 'Document'").select(F.col("id").alias("source_id"), F.lower("doc_comment").alias("text")).where(F.octet_length("text") >= 20)
     names = nodes.where(F.col("type").isin(DOCUMENTED)).select(F.col("id").alias("target_id"), F.lower("name").alias("name")).where(F.octet_length("name") >= 3)
-    key = F.reduce(runs("name"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    keyed = names.select("name").distinct().withColumn("key", key).where("key <> ''")
+    longest = F.reduce("_runs", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    parted = names.select("name").distinct().withColumn("_runs", runs("name")).withColumn("_longest", longest)
+    # Short runs are in nearly every text; a name has one of them for a key only if it is its longest.
+    offered = parted.select("name", F.explode(F.array_distinct(F.filter("_runs", lambda x: (F.length(x) >= GRAM) | (x == F.col("_longest"))))).alias("key"))
     words = docs.select("source_id", F.explode(F.array_distinct(runs("text"))).alias("w"))
-    seen = contained(words.select("w").distinct(), "w", keyed, "key", ["w"])
-    pairs = words.join(seen, "w").select("source_id", "key").distinct().join(keyed, "key")
-    hits = pairs.join(docs, "source_id").where(F.contains("text", "name")).select("source_id", "name")
-    out = hits.join(names, "name").select("source_id", "target_id").distinct()
+    texts = cut(words.groupBy("w").agg(F.count("*").alias("texts")))
+    seen = cut(contained(texts, "w", offered, "key", ["w"]))
+    held = seen.join(texts, "w").groupBy("key").agg(F.sum("texts").alias("texts"))
+    rated = offered.join(held, "key", "left").groupBy("name").agg(F.min_by("key", F.struct("texts", "key")).alias("key"), F.count_if(F.col("texts").isNull()).alias("none"))
+    wanted = cut(rated.where("none = 0").join(seen, "key").select("w", "name", (F.col("name") == F.col("key")).alias("whole")))
+    live = wanted.select(F.lit("").alias("branch"), F.col("w").alias("id")).distinct()
+    near = words.where(BloomFilter(live, live.count()).might_contain(F.lit(""), F.col("w")))
+    pairs = cut(near.join(wanted, "w").select("source_id", "name", "whole").distinct())
+    parts = pairs.where("not whole")
+    asked = parts.select(F.lit("").alias("branch"), F.col("source_id").alias("id")).distinct()
+    checked = parts.join(docs.where(BloomFilter(asked, asked.count()).might_contain(F.lit(""), F.col("source_id"))), "source_id").where(F.contains("text", "name")).select("source_id", "name").distinct()
+    hits = pairs.where("whole").select("source_id", "name").unionByName(checked)
+    # Pairs of a text and a name are distinct, so those of their nodes are, and the largest result isn't moved.
+    out = hits.join(names, "name")
     return out.select(
         edge_id("edge", F.col("source_id"), F.concat("target_id", F.lit(":Documents"))).alias("id"), F.lit("Documents").alias("type"), "source_id", "target_id", F.lit("").alias("kind"))
 

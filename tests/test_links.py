@@ -204,3 +204,12 @@ def test_document_mentions_equal_brute_force(spark):
     n = nodes(spark, *[node(i, "Function", x) for i, x in names], *[node(i, "Document", i, doc=t) for i, t in texts])
     want = sorted({(d, i) for d, t in texts if len(t.encode()) >= 20 for i, x in names if len(x.encode()) >= 3 and not x.isspace() and x in t})
     assert pairs(L.link_documents(n)) == want
+
+
+def test_document_mentions_bring_no_names_together_by_a_common_run(spark):
+    """100 files whose longest run is in all of 100 documents, which name one file each: the rarest run finds it, and
+    pairs of a document and a node aren't moved to be made distinct."""
+    path = lambda k: f"surcharge/s{k:03d}x.go"
+    n = nodes(spark, *[node(f"n{k}", "File", path(k)) for k in range(100)], *[node(f"d{k}", "Document", f"d{k}", doc=f"The surcharge is made in {path(k)}, see there.") for k in range(100)])
+    rows, most = most_rows(L.link_documents(n))
+    assert sorted((r.source_id, r.target_id) for r in rows) == sorted((f"d{k}", f"n{k}") for k in range(100)) and most <= 2000
