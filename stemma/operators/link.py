@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..model import edge_id, node_id
-from ..session import cut
+from ..session import cut, drop_cut
 from .orphans import BloomFilter
 
 EDGES = ["id", "type", "source_id", "target_id", "kind"]
@@ -412,6 +412,8 @@ PHASES = {
     "implements": lambda n: structural_implements(n).unionByName(nominal_implements(n)),
     "tests": lambda n: link_test_files(n).unionByName(link_test_functions(n)), "calls": link_calls, "documents": link_documents,
 }
+#: The columns that the phases read.
+READ = ["id", "type", "name", "file_path", "package", "language", "doc_comment", "properties"]
 NEW_PHASES = ["implements", "tests", "calls"]
 
 
@@ -438,22 +440,40 @@ CHANGES = {"services": add_services, "endpoints": add_full_paths}
 
 def chain(nodes: DataFrame, phases: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after the phases in their order: each reads the nodes as the ones before it left them. Edges carry
-    their phase's name. The nodes are written once and once more per phase that changes them, so that the many joins of
-    the phases read narrow columns of a stored table instead of repeating its plan."""
-    now, found = cut(nodes), []
+    their phase's name. The nodes are written once (unless they are a stored table already) and once more per phase that
+    changes them, so that the many joins of the phases read narrow columns of a stored table instead of repeating its plan."""
+    now, found = nodes if hasattr(nodes, "_stemma_path") else cut(nodes), []
     for name in phases or PHASES:
         if name in CHANGES:
-            now = cut(CHANGES[name](now))
+            before, now = now, cut(CHANGES[name](now))
+            if not found and before is not nodes:
+                drop_cut(before)
         found.append(PHASES[name](now).withColumn("phase", F.lit(name)))
     return now, reduce(DataFrame.unionByName, found)
 
 
 def run_phases(nodes: DataFrame, phases: list[str] | None = None) -> DataFrame:
-    """All edges of a chain of phases, with the phase's name."""
-    return chain(nodes, phases)[1]
+    """All edges of a chain of phases, with the phase's name. Only the columns that phases read are written."""
+    return chain(nodes if nodes.columns == READ else nodes.select(*READ), phases)[1]
 
 
 def phase_counts(edges: DataFrame, phases: list[str] | None = None) -> DataFrame:
     """(phase, linked) of every phase that ran, also of those that linked nothing."""
     names = edges.sparkSession.createDataFrame([(p,) for p in phases or PHASES], "phase string")
     return names.join(edges.groupBy("phase").agg(F.count("*").alias("linked")), "phase", "left").fillna(0, ["linked"])
+
+
+def count_phases(nodes: DataFrame, phases: list[str] | None = None) -> DataFrame:
+    """phase_counts of a chain of phases, each counted as soon as the nodes are as it finds them: the driver holds one
+    phase's plan at a time, and nodes that a later phase has changed are dropped."""
+    given = nodes if nodes.columns == READ else nodes.select(*READ)
+    now, linked = given if hasattr(given, "_stemma_path") else cut(given), []
+    for name in phases or PHASES:
+        if name in CHANGES:
+            before, now = now, cut(CHANGES[name](now))
+            if before is not nodes:
+                drop_cut(before)
+        linked.append((name, PHASES[name](now).count()))
+    if now is not nodes:
+        drop_cut(now)
+    return nodes.sparkSession.createDataFrame(linked, "phase string, linked long")

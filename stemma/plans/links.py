@@ -262,8 +262,8 @@ _CHAIN = _FULL + _IMP + f""", dm as (select distinct d.s, M.id as d from (select
   union all select {_E('DependsOn', 'api_dependency')}, 'api_calls' from (select distinct x.service_id as s, y.service_id as d from sd join svc x on x.grp = ctop join svc y on y.grp = etop)
   union all select {_E('DependsOn', 'import_to_manifest')}, 'imports' from (select distinct import_id as s, manifest_id as d from mi)
   union all select substr(sha256('edge:' || s || ':' || d || ':Documents'), 1, 24), 'Documents', s, d, '', 'documents' from dm)"""
-query("a25_phase_counts", _CHAIN + f" select v.phase, count(allp.phase) as linked from (select unnest({list(L.PHASES)}) as phase) v left join allp on allp.phase = v.phase group by 1")(lambda g: L.phase_counts(L.run_phases(project(g))))
-query("u03_all_phases", _CHAIN + " select id, type, source_id, target_id, kind, phase from allp")(lambda g: L.run_phases(project(g)))
+query("a25_phase_counts", _CHAIN + f" select v.phase, count(allp.phase) as linked from (select unnest({list(L.PHASES)}) as phase) v left join allp on allp.phase = v.phase group by 1")(lambda g: L.count_phases(project(g, L.READ)))
+query("u03_all_phases", _CHAIN + " select id, type, source_id, target_id, kind, phase from allp")(lambda g: L.run_phases(project(g, L.READ)))
 query("j35_prerequisites", f""", t as (select id, name, coalesce((select string_agg(name, ' ') from M m2 where m2.package = M.package and m2.type = 'Interface'), '') as pre from M where type in ('Interface'))
  , x as (select distinct a.id as s, b.id as d from (select id, unnest(string_split(pre, ' ')) as w from t) a join t b on b.name = a.w where a.id <> b.id) select {_E('DependsOn', 'prerequisite')} from x""")(
     lambda g: (lambda t: L.link_prerequisites(t.join(t.groupBy("package").agg(F.array_join(F.collect_list("name"), " ").alias("prerequisites")), "package")))(g.mn.where("type = 'Interface'").select("id", "name", "package")))

@@ -213,3 +213,13 @@ def test_document_mentions_bring_no_names_together_by_a_common_run(spark):
     n = nodes(spark, *[node(f"n{k}", "File", path(k)) for k in range(100)], *[node(f"d{k}", "Document", f"d{k}", doc=f"The surcharge is made in {path(k)}, see there.") for k in range(100)])
     rows, most = most_rows(L.link_documents(n))
     assert sorted((r.source_id, r.target_id) for r in rows) == sorted((f"d{k}", f"n{k}") for k in range(100)) and most <= 2000
+
+
+def test_phases_are_counted_one_at_a_time_over_narrow_nodes(spark, monkeypatch):
+    """The counts are those of the chain's edges, and no more columns are written than the phases read."""
+    n = nodes(spark, node("e1", "APIEndpoint", "x", "back/a.py", props={"path": "/users"}), dep("c1", "a", "front/x.ts", kind="api_call", path="/users"), node("f1", "File", "back/a.py", "back/a.py"))
+    written = []
+    monkeypatch.setattr(L, "cut", lambda df, cut=L.cut: (written.append(df.columns), cut(df))[1])
+    got = {r.phase: r.linked for r in L.count_phases(n, ["services", "endpoints", "api_calls"]).collect()}
+    assert got == {"services": 1, "endpoints": 1, "api_calls": 1} and written == [L.READ] * 3
+    assert L.run_phases(n, ["services"]).count() == 1 and written[3:] == [L.READ] * 2
